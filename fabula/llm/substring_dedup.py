@@ -200,7 +200,8 @@ def remove_repeated(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     pieces = base.mapInArrow(_pieces(window), f"id {kind}, th long, a long, n int, k long, p1 long, p2 long")
-    twice = pieces.groupBy("k").agg(F.count("*").alias("c")).where("c >= 2").select("k")
+    # Written first, so that the join that follows can split the pieces of a hot key over tasks.
+    twice = cut(pieces.groupBy("k").agg(F.count("*").alias("c")).where("c >= 2").select("k"), "twice")
     met = cut(pieces.join(twice, "k", "left_semi"), "pieces")  # the pieces whose key occurs twice; few beside all windows
     kinds = cut(met.groupBy("p1", "p2").agg(F.count("*").alias("c"), F.min("k").alias("k"), F.min(F.struct("id", "th", "a", "n")).alias("at")), "kinds")
     whole = met.join(kinds.where("c >= 2").select("p1", "p2"), ["p1", "p2"], "left_semi").select("id", "th", "a", "n")
