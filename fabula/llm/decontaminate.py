@@ -41,7 +41,8 @@ def _fingerprints(texts: DataFrame, window: int, *keep: str) -> DataFrame:
     """texts (with words) -> keep, words, pos, g: the winnowed k-grams."""
     span = window - GRAM + 1  # hashes in a window
     grams = F.when(F.size("words") >= window, F.transform(F.sequence(F.lit(0), F.size("words") - GRAM), lambda i: _hash(i, GRAM)))
-    rows = texts.select(*keep, "words", grams.alias("h")).select(*keep, "words", "h", F.posexplode("h").alias("pos", "g"))
+    # Outer, since for an inner explode Catalyst adds a filter that splits the text anew for every word.
+    rows = texts.select(*keep, "words", grams.alias("h")).select(*keep, "words", "h", F.posexplode_outer("h").alias("pos", "g"))
     left = _run([F.get("h", F.col("pos") - d) > F.col("g") for d in range(1, span)])
     right = _run([F.get("h", F.col("pos") + d) >= F.col("g") for d in range(1, span)])
     return rows.where(left + right + 1 >= span).select(*keep, "words", "pos", "g")
@@ -86,7 +87,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     short = same_words.where(F.size("words") < window)
     for n in sorted(r[0] for r in short.select(F.size("words")).distinct().collect()):  # fewer lengths than the window has words
         known = short.where(F.size("words") == n).select("item", _hash(F.lit(0), n).alias("g"), F.col("words").alias("gram"))
-        rows = texts.where(F.size("words") >= n).select("id", "th", "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("pos")).withColumn("g", _hash(F.col("pos"), n))
+        places = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
+        rows = texts.select("id", "th", "words", F.explode_outer(places).alias("pos")).where("pos IS NOT NULL").withColumn("g", _hash(F.col("pos"), n))
         more = met(rows, known).where(F.slice("words", F.col("pos") + 1, n) == F.col("gram"))
         hits = hits.unionByName(more.select("id", "th", "item", F.col("pos").alias("a"), (F.col("pos") + n).alias("b")))
 

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import substring_dedup
+from . import decontaminate, exact_dedup, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable] = {
     "op3_substring_dedup": substring_dedup.op3,
+    "op6_exact_dedup": exact_dedup.op6,
+    "op8_decontamination": decontaminate.op8,
+    "op9_near_dedup": near_dedup.op9,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op6_exact_dedup": exact_dedup.SQL,
+    "op8_decontamination": decontaminate.SQL,
+}
