@@ -28,11 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: later steps survive lost executors and don't run it again."""
+def cut(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
+    """df written once to the shared folder and read back: later steps survive lost executors and don't run it again.
+
+    sweep: have the driver's JVM collect its garbage, upon which Spark deletes the shuffle files of the steps before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if sweep:
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._fabula_path = path
     return out

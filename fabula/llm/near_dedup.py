@@ -52,18 +52,32 @@ def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return s[new], owner[new]
 
 
-def _count(size: int):
+def _survey(size: int):
+    """Of each document its set's size and fingerprint; of each task, in rows without a document, its shingle counts."""
+
     def run(batches):
         counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
-            s, _ = _shingles(texts_of(batch.column(0)), size)
+            s, owner = _shingles(texts_of(batch.column(1)), size)
             counts += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+            n, f1, f2 = _fingerprint(s, owner, len(batch))
+            yield pa.record_batch([batch.column(0), pa.array(n), f1, f2, pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())], ["id", "n", "f1", "f2", "part", "counts"])
         if counts.any():
-            yield pa.record_batch([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in np.split(counts, PARTS)], pa.binary())], ["part", "counts"])
+            none = [pa.nulls(PARTS, pa.int64())] * 3
+            parts = pa.array([zlib.compress(p.tobytes(), 1) for p in np.split(counts, PARTS)], pa.binary())
+            yield pa.record_batch([pa.nulls(PARTS, batch.column(0).type), *none, pa.array(range(PARTS), pa.int32()), parts], ["id", "n", "f1", "f2", "part", "counts"])
 
     return run
 
 
+def _fingerprint(s: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Of each set its size and two sums of hashes, whatever the order."""
+    n = np.bincount(owner, minlength=texts).astype(np.int64)
+    first = np.concatenate(([0], np.cumsum(n)))
+    sums = [np.concatenate(([np.uint64(0)], np.cumsum(v, dtype=np.uint64))) for v in (s, mix(s))]
+    return n, *(signed(c[first[1:]] - c[first[:-1]]) for c in sums)
+
+
 def _add(_, rows: pa.Table) -> pa.Table:
     total = np.zeros(BUCKETS // PARTS, np.uint32)
     for c in rows["counts"]:
@@ -71,9 +85,9 @@ def _add(_, rows: pa.Table) -> pa.Table:
     return pa.table({"part": rows["part"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def bucket_classes(texts: DataFrame, size: int) -> np.ndarray:
+def bucket_classes(survey: DataFrame) -> np.ndarray:
     """A byte for each bucket that grows with the logarithm of its count over all documents: 1 MB whatever the input."""
-    parts = texts.mapInArrow(_count(size), "part int, counts binary")
+    parts = survey.where("part IS NOT NULL").select("part", "counts")
     some = parts.withColumn("salt", F.spark_partition_id() % 64).groupBy("part", "salt").applyInArrow(lambda k, t: _add(k, t), "part int, counts binary")
     counts = np.zeros((PARTS, BUCKETS // PARTS), np.uint32)
     for r in some.groupBy("part").applyInArrow(lambda k, t: _add(k, t), "part int, counts binary").collect():
@@ -85,16 +99,14 @@ def _sketch(size: int, percent: int, classes):
     def run(batches):
         for batch in batches:
             s, owner = _shingles(texts_of(batch.column(1)), size)
-            n = np.bincount(owner, minlength=len(batch))
+            n, f1, f2 = _fingerprint(s, owner, len(batch))
             ranked = (classes.value[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
             order = np.lexsort((ranked, owner))
             ranked = ranked[order]
             first = np.concatenate(([0], np.cumsum(n)))
             k = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
             keep = np.arange(len(s)) - first[owner] < k[owner]
-            f = [np.concatenate(([np.uint64(0)], np.cumsum(v, dtype=np.uint64))) for v in (s, mix(s))]
-            f1, f2 = (signed(c[first[1:]] - c[first[:-1]]) for c in f)
-            yield pa.record_batch([batch.column(0), pa.array(n.astype(np.int64)), f1, f2, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))), pa.int32()), signed(ranked[keep]))], ["id", "n", "f1", "f2", "sketch"])
+            yield pa.record_batch([batch.column(0), pa.array(n), f1, f2, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))), pa.int32()), signed(ranked[keep]))], ["id", "n", "f1", "f2", "sketch"])
 
     return run
 
@@ -150,16 +162,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     bounded_batches(spark)
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    classes = spark.sparkContext.broadcast(bucket_classes(base.select("text"), shingle))
-    all_sets = cut(base.mapInArrow(_sketch(shingle, percent, classes), f"id {kind}, n long, f1 long, f2 long, sketch array<long>"), "sketches")
-    reps = cut(all_sets.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "reps")
-    members = all_sets.select("id", "n", "f1", "f2").join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    survey = cut(base.mapInArrow(_survey(shingle), f"id {kind}, n long, f1 long, f2 long, part int, counts binary"), "survey")
+    classes = spark.sparkContext.broadcast(bucket_classes(survey))
+    sketched = base.mapInArrow(_sketch(shingle, percent, classes), f"id {kind}, n long, f1 long, f2 long, sketch array<long>")
+    reps = cut(sketched.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "reps", sweep=True)
+    members = survey.where("part IS NULL").select("id", "n", "f1", "f2").join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
 
     lists = reps.select(F.explode("sketch").alias("v"), "rep", "n")
-    lists = cut(lists.join(reps.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "v", "left_semi"), "lists")
+    lists = cut(lists.join(reps.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "v", "left_semi"), "lists", sweep=True)
     sketches = reps.select(F.col("rep").alias("id"), "n", "sketch")
     wanted = lists.select(F.col("rep").alias("id")).distinct()
-    sets = cut(base.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), f"id {kind}, shingles array<long>").dropDuplicates(["id"]), "sets")
+    sets = cut(base.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), f"id {kind}, shingles array<long>").dropDuplicates(["id"]), "sets", sweep=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
         def both(p: DataFrame, what: DataFrame, *cols: str) -> DataFrame:
@@ -169,7 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = both(pairs, sketches, "n", "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_bound(percent), f"a {kind}, b {kind}")
-        return cut(both(cut(near, "near"), sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links")
+        return cut(both(cut(near, "near", sweep=True), sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links", sweep=True)
 
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     links, groups, held = None, None, lists.withColumn("c", F.col("rep"))
