@@ -187,6 +187,20 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_co
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_score(shared, threshold), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
+def filter_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores below the threshold."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast((model.odds, model.bias))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        model = Model(*shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
     rows, rate = training_rows(docs, labels, **bounds)
     return train(rows, rate_of_toxic=rate)
