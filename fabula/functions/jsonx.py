@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _FENCE = re.compile(r"^\s*```[A-Za-z]*\s*\n?(.*?)\n?\s*```\s*$", re.S)
@@ -68,7 +68,6 @@ def extract(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def extract_json(answers: pd.Series) -> pd.Series:
+def extract_json(answers: Column) -> Column:
     """extract() on a column; from_json takes it from there."""
-    return answers.map(extract, na_action=None)
+    return F.pandas_udf(lambda s: s.map(extract, na_action=None), "string")(answers)

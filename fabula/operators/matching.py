@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions.values import cosine, jaccard
+from fabula.operators.folds import fold_groups
 
 
 def match_entities(predicted: DataFrame, gold: DataFrame, keys: list[str], pred_key: str, pred_pos: str, gold_keys: str, gold_id: str, gold_pos: str) -> DataFrame:
@@ -89,17 +90,16 @@ def greedy_pairs(scores: DataFrame, group: list[str], least: float = 0.35) -> Da
     A group is one role's scene, whose size the data model bounds; groups run in parallel.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[rows.score >= least].sort_values(["score", "gi", "pi"], ascending=False, kind="stable")
+    def fold(rows: list[dict]) -> list[dict]:
         used_g, used_p, keep = set(), set(), []
-        for r in rows.itertuples():
-            if r.gi not in used_g and r.pi not in used_p:
-                used_g.add(r.gi)
-                used_p.add(r.pi)
-                keep.append(r.Index)
-        return rows.loc[keep]
+        for r in sorted((r for r in rows if r["score"] >= least), key=lambda r: (r["score"], r["gi"], r["pi"]), reverse=True):
+            if r["gi"] not in used_g and r["pi"] not in used_p:
+                used_g.add(r["gi"])
+                used_p.add(r["pi"])
+                keep.append(r)
+        return keep
 
-    return scores.groupBy(*group).applyInPandas(fold, scores.schema)
+    return fold_groups(scores, group, fold, scores.schema)
 
 
 def same_arc(a_tokens: Column, b_tokens: Column, a_tags: Column, b_tags: Column, gap: Column) -> Column:
@@ -119,14 +119,13 @@ def names_alike(a: str, b: str, least: float = 0.86) -> bool:
     return a == b or a in b or b in a or min(len(a), len(b)) >= 5 and SequenceMatcher(None, a, b).ratio() >= least
 
 
-@F.pandas_udf("boolean")
-def names_alike_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([names_alike(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
 def fuzzy_names(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str) -> DataFrame:
     """Pairs of names of the same block that are alike (see names_alike)."""
-    return left.join(right, block).where(names_alike_udf(F.col(a), F.col(b)))
+
+    def check(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([names_alike(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    return left.join(right, block).where(F.pandas_udf(check, "boolean")(F.col(a), F.col(b)))
 
 
 def skip_finished(jobs: DataFrame, finished: DataFrame, keys: list[str]) -> DataFrame:
