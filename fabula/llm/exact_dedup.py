@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
 
-_STATE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state; without space set aside ahead, which is megabytes for each of the many small stores.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: str) -> F.Column:
@@ -31,8 +34,9 @@ def stream_state(log: DataFrame, files_per_batch: int | None = None) -> DataFram
 
     spark = log.sparkSession
     home = f"{shared_dir(spark)}/exact-{uuid.uuid4().hex}"
-    before = spark.conf.get(_STATE)
-    spark.conf.set(_STATE, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         source = spark.readStream.schema(log.schema)
         if files_per_batch:
@@ -42,7 +46,8 @@ def stream_state(log: DataFrame, files_per_batch: int | None = None) -> DataFram
         query = state.writeStream.outputMode("update").option("checkpointLocation", f"{home}/state").trigger(availableNow=True).foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{home}/out/batch={batch}")).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(_STATE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = log.select("digest", "n_bytes", F.col("id").alias("keep"), F.lit(0).cast("long").alias("size")).schema
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{home}/out")
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
