@@ -198,8 +198,14 @@ def unique_texts(pages: list[list[str]], run: int = RUN_TOKENS) -> list[str]:
     for p, gone in zip(words, repeated_tokens(streams, run), strict=True):
         at, kept = 0, []
         for b in p:
-            rest = [w for w, g in zip(b, gone[at : at + len(b)], strict=True) if not g]
+            covered = gone[at : at + len(b)]
             at += len(b) + 1
+            if not covered.all():  # of a block that has text of its own, only runs of full length go, not words that lie at an end
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
+                covered = covered.copy()
+                for i, j in edge.reshape(-1, 2):
+                    covered[i:j] = j - i >= run
+            rest = [w for w, g in zip(b, covered, strict=True) if not g]
             if rest:
                 kept.append(" ".join(rest))
         out.append("\n\n".join(kept))
