@@ -97,7 +97,7 @@ def jaccard_sets(table):
 
 
 @query("""WITH s AS (SELECT o_custkey AS sample, list(DISTINCT o_orderkey % 40) AS sources FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), x AS (SELECT o_custkey AS sample, list(DISTINCT o_orderkey % 40) AS selected FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1)
-SELECT sample, CASE WHEN len(list_intersect(selected, coalesce(sources, []))) > 0 THEN 1.0 ELSE 0.0 END AS hit, CASE WHEN len(sources) > 0 THEN len(list_intersect(selected, sources)) / len(sources) END AS recall FROM x LEFT JOIN s USING (sample)""")
+SELECT sample, CASE WHEN len(list_intersect(selected, coalesce(sources, []))) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS hit, CASE WHEN len(sources) > 0 THEN len(list_intersect(selected, sources)) / len(sources) END AS recall FROM x LEFT JOIN s USING (sample)""")
 def support_recall_at_k(table):
     rows = table("orders").select(F.col("o_custkey").alias("sample"), (F.col("o_orderkey") % 40).alias("m"), "o_orderstatus")
     each = lambda cond, name: rows.where(cond).groupBy("sample").agg(F.collect_set("m").alias(name))
