@@ -79,8 +79,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
         if (small := checked(known)) is not None:
             return rows.join(small, "g")
         found = rows.drop("words").join(known, "g")  # without the words, which come back for the hits
-        again = texts.dropDuplicates(["id", "th"])
-        return found.join(again, found["id"].eqNullSafe(again["id"]) & found["th"].eqNullSafe(again["th"])).select(found["*"], again["words"])
+        again = texts.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "words").dropDuplicates(["_id", "_th"])
+        return found.join(again, F.col("id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))).drop("_id", "_th")
 
     hits = met(_fingerprints(texts, window, "id", "th"), entries).where(F.slice("words", F.col("pos") + 1, GRAM) == F.col("gram"))
     hits = hits.select("id", "th", "item", (F.col("pos") - back).alias("a"), (F.col("pos") + GRAM + on).alias("b")).where(F.col("b") - F.col("a") >= window)
