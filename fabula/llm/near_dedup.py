@@ -6,8 +6,8 @@ lost. The hash puts shingles of often used buckets (counted over all documents,
 ones; any fixed order is exact, and this one keeps inverted lists short. Inverted lists of retained values generate
 candidates, the union sketch bounds the similarity from above and drops what can't reach t, and the full sets confirm.
 
-Within a list not all pairs are made: each list's members are held against one hub, linked ones become one component,
-lists whose members are all in one component are done, and only pairs across components go on. Equal sets are one
+Within a list not all pairs are made: a list's members are held against one hub, which then leaves the list; linked ones
+become one component, lists whose members are all in one component are done, and only pairs across components go on. Equal sets are one
 representative from the start.
 
 Defined cases: null, empty and wordless texts have no set and no link; a text of fewer words than a shingle has one,
@@ -171,9 +171,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     lists = reps.select(F.explode("sketch").alias("v"), "rep", "n")
     lists = cut(lists.join(reps.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "v", "left_semi"), "lists", sweep=True)
     sketches = reps.select(F.col("rep").alias("id"), "n", "sketch")
-    wanted = lists.select(F.col("rep").alias("id")).distinct()
-    sets = cut(base.join(wanted, "id", "left_semi").mapInArrow(_sets(shingle), f"id {kind}, shingles array<long>").dropDuplicates(["id"]), "sets", sweep=True)
-
     def verified(pairs: DataFrame) -> DataFrame:
         def both(p: DataFrame, what: DataFrame, *cols: str) -> DataFrame:
             for side in ("a", "b"):
@@ -182,21 +179,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = both(pairs, sketches, "n", "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_bound(percent), f"a {kind}, b {kind}")
-        return cut(both(cut(near, "near", sweep=True), sets, "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links", sweep=True)
+        near = cut(near, "near", sweep=True)
+        wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+        sets = base.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(shingle), f"id {kind}, shingles array<long>")
+        return cut(both(near, cut(sets, "sets", sweep=True), "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links", sweep=True)
 
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    links, groups, held = None, None, lists.withColumn("c", F.col("rep"))
+    links, groups, held, rest = None, None, lists.withColumn("c", F.col("rep")), None
     for turn in range(HUB_ROUNDS + 1):
         if groups is not None:
-            now = lists.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c"))
+            now = rest.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c"))
             open_lists = now.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("v")
-            held = cut(now.join(open_lists, "v", "left_semi"), "open")
+            held = cut(now.join(open_lists, "v", "left_semi"), "open", sweep=True)
             if held.isEmpty():
                 break
         if turn < HUB_ROUNDS:
             first = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
             hubs = held.groupBy("v").agg(F.min(F.struct(first.alias("o"), "rep", "n", "c")).alias("h")).select("v", F.col("h.rep").alias("a"), F.col("h.n").alias("m"), F.col("h.c").alias("d"))
-            pairs = held.join(hubs, "v").where("c <> d").where(fits).select("a", F.col("rep").alias("b"))
+            beside = held.join(hubs, "v").where("rep <> a")
+            pairs = beside.where("c <> d").where(fits).select("a", F.col("rep").alias("b"))
+            rest = beside.select("v", "rep", "n")  # the hub has met all others and leaves
         else:
             other = held.select("v", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
             pairs = held.join(other, "v").where("c < d").where(fits).select("a", F.col("rep").alias("b"))
@@ -204,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         links = found if links is None else links.unionByName(found)
         groups = components(links)
     final = members.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    drop_cut(sets, lists)
+    drop_cut(lists)
     return final.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
