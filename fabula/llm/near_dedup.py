@@ -214,3 +214,15 @@ def op9(spark, sf_dir) -> DataFrame:
     from .common import table
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT b, c FROM reach JOIN link ON id = a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT id AS doc_id, min(c) AS component_id FROM reach GROUP BY id) LEFT JOIN n USING (doc_id)
+"""

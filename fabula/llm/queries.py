@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable] = {
 
 SQL: dict[str, str] = {
     "op2_license_scan": licenses.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op6_exact_dedup": exact_dedup.SQL,
     "op8_decontamination": decontaminate.SQL,
+    "op9_near_dedup": near_dedup.SQL,
 }

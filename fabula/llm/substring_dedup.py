@@ -223,3 +223,13 @@ def op3(spark, sf_dir) -> DataFrame:
 
     kept = remove_repeated(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, i, array_to_string(w[i + 1:i + 35], ' ') AS g FROM (SELECT r, w, unnest(range(len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+t AS (SELECT r, i FROM s QUALIFY count(*) OVER (PARTITION BY g) > 1),
+c AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM t),
+k AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS body, count(*) AS n FROM (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS p FROM d) ANTI JOIN c USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
