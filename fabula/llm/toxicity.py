@@ -98,7 +98,13 @@ def train(rows: list[tuple[str, int]], dims: int = 8, sharp: float = 10.0, epoch
     for text, _ in rows:  # each document's distinct words, and every word's bag once
         clean = prepare(text).translate(bytes(c if _WORD[c] else 32 for c in range(256)))
         docs.append(np.array(sorted({known.setdefault(w, len(known)) for w in clean.split()}), np.int64))
-    bags, at = _bags(b" ".join(known))
+    words, parts, at = list(known), [], np.zeros(1, np.int64)
+    for i in range(0, len(words), 20_000):  # in blocks, to bound the driver's memory
+        found, first = _bags(b" ".join(words[i : i + 20_000]))
+        parts.append(found.astype(np.int32))
+        at = np.concatenate((at, first[1:] + at[-1]))
+    bags = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    del words, parts
     rng = np.random.default_rng(seed)
     # Vectors start along the softmax's direction, as far as documents of one label hold a bucket more than is usual.
     held = np.zeros((2, BUCKETS))
