@@ -1,13 +1,14 @@
 """Near-duplicate groups by bottom-k sketches of one hash function (operator 9).
 
 A document's set is its distinct word shingles. Its sketch is the bottom k of one 64-bit hash, k in proportion to the
-set: n - ceil(t n) + 1 values, so that two sets of similarity t or more always share a retained value and no link is
-lost. The hash puts shingles of often used buckets (counted over all documents, in a table of fixed size) above rare
+set: n - ceil(t n) + s values, so that two sets of similarity t or more always share s retained values (or all they have
+in common, if that is fewer) and no link is lost. The hash puts shingles of often used buckets (counted over all documents, in a table of fixed size) above rare
 ones; any fixed order is exact, and this one keeps inverted lists short. Inverted lists of retained values generate
 candidates, the union sketch bounds the similarity from above and drops what can't reach t, and the full sets confirm.
 
-Within a list not all pairs are made: a list's members are held against one hub, which then leaves the list; linked ones
-become one component, lists whose members are all in one component are done, and only pairs across components go on. Equal sets are one
+Lists of bounded size give pairs, whose shared values are counted. A link that shows in too few of them shares a value in
+a large list. There not all pairs are made: a list's members are held against one hub, which then leaves the list; linked
+ones become one component, lists whose members are all in one component are done, and only pairs across components go on. Equal sets are one
 representative from the start.
 
 Defined cases: null, empty and wordless texts have no set and no link; a text of fewer words than a shingle has one,
@@ -30,6 +31,8 @@ from .components import components
 BUCKETS, PARTS = 1 << 20, 16
 #: Rounds in which each open list is held against one hub before the remaining pairs across components are compared.
 HUB_ROUNDS = 3
+#: Sketches are so much longer that pairs which link share this many values, and lists up to this size are paired and counted.
+SHARED, SMALL = 3, 64
 
 
 def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +107,7 @@ def _sketch(size: int, percent: int, classes):
             order = np.lexsort((ranked, owner))
             ranked = ranked[order]
             first = np.concatenate(([0], np.cumsum(n)))
-            k = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+            k = np.minimum(n, n - (percent * n + 99) // 100 + SHARED)
             keep = np.arange(len(s)) - first[owner] < k[owner]
             yield pa.record_batch([batch.column(0), pa.array(n), f1, f2, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))), pa.int32()), signed(ranked[keep]))], ["id", "n", "f1", "f2", "sketch"])
 
@@ -169,7 +172,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     members = survey.where("part IS NULL").select("id", "n", "f1", "f2").join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
 
     lists = reps.select(F.explode("sketch").alias("v"), "rep", "n")
-    lists = cut(lists.join(reps.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("c")).where("c > 1").select("v"), "v", "left_semi"), "lists", sweep=True)
+    sizes = reps.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
+    lists = cut(lists.join(sizes, "v"), "lists", sweep=True)
     sketches = reps.select(F.col("rep").alias("id"), "n", "sketch")
     def verified(pairs: DataFrame) -> DataFrame:
         def both(p: DataFrame, what: DataFrame, *cols: str) -> DataFrame:
@@ -185,14 +189,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         return cut(both(near, cut(sets, "sets", sweep=True), "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links", sweep=True)
 
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    links, groups, held, rest = None, None, lists.withColumn("c", F.col("rep")), None
+    # Small lists: pairs and how many values they share, which is few for texts that only have a word pair in common.
+    short = lists.where(F.col("size") <= SMALL).select("v", "rep", "n")
+    met = short.join(short.select("v", F.col("rep").alias("b"), F.col("n").alias("m")), "v").where("rep < b").where(fits)
+    needed = F.least(F.lit(SHARED), F.ceil(percent * F.greatest("n", "m") / 100))
+    met = met.groupBy("rep", "b", "n", "m").agg(F.count("*").alias("shared")).where(F.col("shared") >= needed)
+    links = verified(met.select(F.col("rep").alias("a"), "b"))
+    groups = components(links)
+    # Large lists: one hub after another.
+    held, rest = None, lists.where(F.col("size") > SMALL).select("v", "rep", "n")
     for turn in range(HUB_ROUNDS + 1):
-        if groups is not None:
-            now = rest.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c"))
-            open_lists = now.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("v")
-            held = cut(now.join(open_lists, "v", "left_semi"), "open", sweep=True)
-            if held.isEmpty():
-                break
+        now = rest.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c"))
+        open_lists = now.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("v")
+        held = cut(now.join(open_lists, "v", "left_semi"), "open", sweep=True)
+        if held.isEmpty():
+            break
         if turn < HUB_ROUNDS:
             first = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
             hubs = held.groupBy("v").agg(F.min(F.struct(first.alias("o"), "rep", "n", "c")).alias("h")).select("v", F.col("h.rep").alias("a"), F.col("h.n").alias("m"), F.col("h.c").alias("d"))
@@ -203,7 +214,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             other = held.select("v", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
             pairs = held.join(other, "v").where("c < d").where(fits).select("a", F.col("rep").alias("b"))
         found = verified(pairs)
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         groups = components(links)
     final = members.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     drop_cut(lists)
