@@ -387,9 +387,8 @@ def _card_rows(table):
     e = F.col("event_type")
     words = F.when(e == "purchase", "decides to lock the window").when(e == "error", "a secret is discovered").when(e == "signup", "belief and comfort").otherwise("introduced as an observer")
     own = Window.partitionBy("role")
-    rows = table("events").select((F.col("user_id") % 200).alias("role"), F.col("event_id").cast("string").alias("scene_id"), "event_id", (F.floor("value").cast("int") % 6).alias("score"), F.when(e == "click", "foreground").otherwise("active").alias("scene_role"), words.alias("role_in_scene"), F.when(F.col("event_id") % 2 == 0, words).otherwise("").alias("goal_shift"), F.when(F.col("event_id") % 3 == 0, words).otherwise("").alias("relation_shift"))
-    rows = rows.withColumn("k", F.row_number().over(own.orderBy("event_id"))).where("k <= 120")  # the shortlist's size: a role has no more cards
-    return rows.withColumn("scene_order", F.col("k").cast("long"))
+    rows = table("events").select(F.col("user_id").alias("role"), F.col("event_id").cast("string").alias("scene_id"), "event_id", (F.floor("value").cast("int") % 6).alias("score"), F.when(e == "click", "foreground").otherwise("active").alias("scene_role"), words.alias("role_in_scene"), F.when(F.col("event_id") % 2 == 0, words).otherwise("").alias("goal_shift"), F.when(F.col("event_id") % 3 == 0, words).otherwise("").alias("relation_shift"))
+    return rows.withColumn("scene_order", F.row_number().over(own.orderBy("event_id")).cast("long"))
 
 
 @query()

@@ -134,3 +134,14 @@ def test_config(tmp_path):
     path.write_text(json.dumps({"profiles": {"default": {"llm": {"model": "m"}, "embed": e}}}))
     with pytest.raises(ValueError, match="base_url"):
         config.load_profile(str(path), env={})
+
+
+def test_milestones_see_all_cards(spark):
+    from fabula.plans import queries
+
+    rows = [(i, u, "click", 5.0 if i == 330 else 0.0) for u in (1, 201) for i in range(u, u + 130)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").cache()
+    assert queries._card_rows(lambda name: events).count() == 260
+    for select in (queries.milestone_select, queries.milestone_select_wide):
+        got = {(r.role, r.scene_order) for r in select(lambda name: events).collect()}
+        assert {u for u, _ in got} == {1, 201} and (201, 130) in got
