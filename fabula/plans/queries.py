@@ -401,8 +401,8 @@ def milestone_select_wide(table):
     return folds.milestones(_card_rows(table).withColumn("budget", F.lit(20)), ["role"], wide=True, checks=14)
 
 
-def _candidate_rows(table):
-    return table("lineitem").select((F.col("l_partkey") % 500).alias("role"), F.col("l_suppkey").cast("string").alias("scene_id"), (F.col("l_orderkey") % 97 + 1).alias("scene_order"), F.col("l_linenumber").alias("beat_index"), (F.col("l_quantity") % 9).cast("int").alias("rank"), F.when(F.col("l_returnflag") == "R", "other").otherwise("career_move").alias("change_type"), (F.col("l_linenumber") % 2).alias("n_quotes"), "l_orderkey")
+def _candidate_rows(table, role="l_partkey % 500"):
+    return table("lineitem").select(F.expr(role).alias("role"), F.col("l_suppkey").cast("string").alias("scene_id"), (F.col("l_orderkey") % 97 + 1).alias("scene_order"), F.col("l_linenumber").alias("beat_index"), (F.col("l_quantity") % 9).cast("int").alias("rank"), F.when(F.col("l_returnflag") == "R", "other").otherwise("career_move").alias("change_type"), (F.col("l_linenumber") % 2).alias("n_quotes"), "l_orderkey")
 
 
 @query()
@@ -413,9 +413,9 @@ def prune_candidates(table):
 @query()
 def repair_nodes(table):
     def fold(rows: list[dict]) -> list[dict]:
-        return folds.repair([r for r in rows if r["change_type"] == "other"][:5], [r for r in rows if r["change_type"] != "other"])
+        return folds.repair([r for r in rows if r["change_type"] == "other"], [r for r in rows if r["change_type"] != "other"])
 
-    return folds.per_role(_candidate_rows(table), ["role"], fold, ["scene_order", "beat_index", "l_orderkey"])
+    return folds.per_role(_candidate_rows(table, "l_partkey"), ["role"], fold, ["scene_order", "beat_index", "l_orderkey"])
 
 
 @query()

@@ -145,3 +145,12 @@ def test_milestones_see_all_cards(spark):
     for select in (queries.milestone_select, queries.milestone_select_wide):
         got = {(r.role, r.scene_order) for r in select(lambda name: events).collect()}
         assert {u for u, _ in got} == {1, 201} and (201, 130) in got
+
+
+def test_repair_sees_all_nodes(spark):
+    from fabula.plans import queries
+
+    rows = [(i, 7, i, 1, 5.0, "R") for i in range(1, 97)] + [(i, 507, i, 1, 8.0, "R") for i in range(1, 9)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string")
+    got = [(r.role, r.scene_order) for r in queries.repair_nodes(lambda name: lines).collect()]
+    assert [r for r, _ in got].count(7) == 9 and [r for r, _ in got].count(507) == 8 and max(o for _, o in got) > 60
