@@ -6,7 +6,8 @@ main element) goes to the host's suffix array: the token streams of its pages ar
 recur on distinct pages are boilerplate and are removed, unique runs stay. Removing repeated runs from articles too
 would lose reposted articles and quoted passages and would keep adverts that appear once (README, operator 4).
 
-Hosts are split into shards of bounded size, so that no task holds a whole large host.
+No task holds a whole large host: beyond SHARD_CHARS, the runs of its pages are counted over the host by their hashes
+instead, with the same result.
 
 Defined cases: null html counts as empty and gives an empty text; pages with equal streams count as one page; repeated
 rows are separate rows of the result; an empty table gives an empty result; other columns are ignored.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut
 
-#: Tokens of a run that counts as boilerplate when it recurs, and characters of a host's pages in one shard.
+#: Tokens of a run that counts as boilerplate when it recurs, and characters of a host's pages that one task may hold.
 RUN_TOKENS, SHARD_CHARS = 8, 8 << 20
 
 # Names of the HTML standard and usual names of page parts.
@@ -34,39 +35,43 @@ _BLOCK = set("address article aside blockquote body center dd details dialog dir
 _NEVER = set("head nav footer aside form button select menu dialog template svg math object audio video canvas datalist".split()) | _RAW
 _NEVER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NEVER_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar cookie cookies consent gdpr notice popup modal overlay comment comments commentlist respond reply replies disqus breadcrumb breadcrumbs pagination pager navbar nav navigation menu footer masthead share sharing social related recommended recommendations newsletter subscribe subscription login signup toolbar".split())
+_COMMENT_WORDS = set("comment comments commentlist respond reply replies disqus".split())
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _kind(tag: str, rest: str) -> tuple[int, bool]:
-    """Of an element: its rank as a holder of content (0: none, 1: main, 2: article), and whether its text is never content."""
+def _kind(tag: str, rest: str) -> tuple[int, int]:
+    """Of an element: its rank as a holder of content (0: none, 1: main, 2: article), and whether its text is no content (0: it may be, 1: by its name only, 2: never)."""
     if tag in _NEVER:
-        return 0, True
+        return 0, 2
+    named = 0
     rank = 2 if tag == "article" else 1 if tag == "main" else 0
     if not rest or rest.isspace():
-        return rank, False
+        return rank, 0
     for m in _ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name == "role":
             if value.lower() in _NEVER_ROLES:
-                return 0, True
+                return 0, 2
             rank = max(rank, {"article": 2, "main": 1}.get(value.lower(), 0))
         elif name == "itemprop" and value == "articleBody":
             rank = 2
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return 0, True
-        elif name in ("class", "id") and any(w.lower() in _NEVER_WORDS for w in _WORDS.findall(value)):
-            return 0, True
-    return rank, False
+            return 0, 2
+        elif name in ("class", "id"):
+            words = {w.lower() for w in _WORDS.findall(value)}
+            if words & _NEVER_WORDS:
+                named = max(named, 2 if words & _COMMENT_WORDS else 1)
+    return (0, named) if named else (rank, 0)
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(rank, text) of each block that isn't boilerplate by markup, in page order; white space runs are one space."""
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, rank, skipped
+    stack: list[tuple[str, int, int]] = []  # tag, rank, skipped (as _kind has it)
     text: list[str] = []
-    rank, skipped, at, end = 0, False, 0, len(page)
+    rank, skipped, at, end = 0, 0, 0, len(page)
 
     def close() -> None:
         if text:
@@ -92,7 +97,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     if tag in _BLOCK:
                         close()
                     del stack[i:]
-                    rank, skipped = stack[-1][1:] if stack else (0, False)
+                    rank, skipped = stack[-1][1:] if stack else (0, 0)
                     break
             else:
                 if tag in _BLOCK:
@@ -102,7 +107,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             close()
             if stack and stack[-1][0] == "p":
                 stack.pop()
-                rank, skipped = stack[-1][1:] if stack else (0, False)
+                rank, skipped = stack[-1][1:] if stack else (0, 0)
         elif tag == "br" and not skipped:
             text.append(" ")
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
@@ -110,14 +115,15 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if tag in _RAW:
             found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             at = found.start() if found else end
-            stack.append((tag, rank, True))
-            skipped = True
+            stack.append((tag, rank, 2))
+            skipped = 2
             continue
         own, never = _kind(tag, m[3])
         if tag == "header" and rank < 2:
-            never = True
+            never = 2
         # An article inside a part that only its name speaks against is content after all, but not inside comments.
-        stack.append((tag, max(rank, own), skipped or never))
+        around = 0 if skipped == 1 and own == 2 else skipped
+        stack.append((tag, max(rank, own), max(around, never)))
         rank, skipped = stack[-1][1:]
     close()
     return out
@@ -189,27 +195,50 @@ def repeated_tokens(streams: list[np.ndarray], run: int) -> list[np.ndarray]:
     return [covered[e - len(s) - 1 : e - 1] for s, e in zip(streams, ends, strict=True)]
 
 
+def _kept(blocks: list[list[str]], gone: np.ndarray, run: int) -> str:
+    """The text of a page's blocks (as words) without the covered tokens; the ends of blocks are tokens too."""
+    at, kept = 0, []
+    for b in blocks:
+        covered = gone[at : at + len(b)]
+        at += len(b) + 1
+        if not covered.all():  # of a block that has text of its own, only runs of full length go, not words that lie at an end
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
+            covered = covered.copy()
+            for i, j in edge.reshape(-1, 2):
+                covered[i:j] = j - i >= run
+        rest = [w for w, g in zip(b, covered, strict=True) if not g]
+        if rest:
+            kept.append(" ".join(rest))
+    return "\n\n".join(kept)
+
+
 def unique_texts(pages: list[list[str]], run: int = RUN_TOKENS) -> list[str]:
-    """Each page's blocks without runs that recur on the other pages; the ends of blocks are tokens too."""
+    """Each page's blocks without runs that recur on the other pages."""
     known: dict[str, int] = {"": 0}
     words = [[b.split(" ") for b in p] for p in pages]
     streams = [np.array([known.setdefault(w, len(known)) for b in p for w in (*b, "")], np.int64) for p in words]
-    out = []
-    for p, gone in zip(words, repeated_tokens(streams, run), strict=True):
-        at, kept = 0, []
-        for b in p:
-            covered = gone[at : at + len(b)]
-            at += len(b) + 1
-            if not covered.all():  # of a block that has text of its own, only runs of full length go, not words that lie at an end
-                edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.view(np.int8), [0]))))
-                covered = covered.copy()
-                for i, j in edge.reshape(-1, 2):
-                    covered[i:j] = j - i >= run
-            rest = [w for w, g in zip(b, covered, strict=True) if not g]
-            if rest:
-                kept.append(" ".join(rest))
-        out.append("\n\n".join(kept))
-    return out
+    return [_kept(p, gone, run) for p, gone in zip(words, repeated_tokens(streams, run), strict=True)]
+
+
+def without_runs(blocks: list[str], starts: list[int], run: int) -> str:
+    """A page's blocks without the runs of tokens that begin at starts."""
+    words = [b.split(" ") for b in blocks]
+    edge = np.zeros(sum(len(b) + 1 for b in words) + 1, np.int64)
+    np.add.at(edge, np.array(starts, np.int64), 1)
+    np.add.at(edge, np.array(starts, np.int64) + run, -1)
+    return _kept(words, np.cumsum(edge)[:-1] > 0, run)
+
+
+def recurring_runs(pages: DataFrame, run: int) -> DataFrame:
+    """host, content, starts: where in the tokens of a content runs begin that other contents of its host have too. pages: host, content, blocks."""
+    one = pages.groupBy("host", "content").agg(F.first("blocks").alias("blocks"))  # rows of equal content have equal blocks
+    tokens = F.flatten(F.transform("blocks", lambda b: F.concat(F.split(b, " "), F.array(F.lit("")))))
+    one = one.select("host", "content", tokens.alias("t")).where(F.size("t") >= run)
+    hashes = F.transform(F.sequence(F.lit(1), F.size("t") - run + 1), lambda i: F.unhex(F.md5(F.array_join(F.slice("t", i, run), "\n"))))
+    runs = one.select("host", "content", F.posexplode(hashes).alias("at", "h"))
+    often = runs.groupBy("host", "h").agg(F.min("content").alias("a"), F.max("content").alias("b")).where("a < b").select("host", "h")
+    often = cut(often, "often")  # written first, so that the join can be split at hot runs
+    return runs.join(often, ["host", "h"]).groupBy("host", "content").agg(F.collect_list("at").alias("starts"))
 
 
 def _decided(batches):
@@ -236,14 +265,23 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     left = cut(base.mapInArrow(_left_open, f"id {types[id_col]}, url string, blocks array<string>"), "open")
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     left = left.withColumn("host", host).withColumn("size", F.length(F.concat_ws(" ", "blocks")))
-    shards = left.groupBy("host").agg(F.ceil(F.sum("size") / shard_chars).alias("shards"))
-    left = left.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("id"), F.greatest("shards", F.lit(1))))
+    sizes = left.groupBy("host").agg((F.sum("size") > shard_chars).alias("large"))
+    left = left.join(sizes, "host")
+    schema = f"id {types[id_col]}, url string, text string"
 
     def unique(rows: pa.Table) -> pa.Table:
         texts = unique_texts(rows["blocks"].to_pylist(), run)
         return pa.table({"id": rows["id"], "url": rows["url"], "text": pa.array(texts, pa.string())})
 
-    rest = left.select("host", "shard", "id", "url", "blocks").groupBy("host", "shard").applyInArrow(unique, f"id {types[id_col]}, url string, text string")
+    def clean(batches):
+        for batch in batches:
+            texts = [without_runs(b, at or [], run) for b, at in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
+
+    rest = left.where("NOT large").select("host", "id", "url", "blocks").groupBy("host").applyInArrow(unique, schema)
+    large = left.where("large").withColumn("content", F.sha2(F.concat_ws("\n", "blocks"), 256))  # no block has a line end
+    found = large.join(recurring_runs(large.select("host", "content", "blocks"), run), ["host", "content"], "left")
+    rest = rest.unionByName(found.select("id", "url", "blocks", "starts").mapInArrow(clean, schema))
     both = sure.unionByName(rest)
     return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
 

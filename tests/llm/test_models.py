@@ -127,6 +127,22 @@ def test_html_pages(spark):
     assert [(r.text, r.n_chars) for r in html_extract.extract_text(pages.where("page_id = 4")).collect()] == [("", 0)]
 
 
+def test_html_article_in_named_part():
+    assert html_extract.read("<body class='has-sidebar'><p>menu</p><article><p>a<p class='ad'>no</article>")[0] == "a"
+    assert html_extract.read("<div id='comments'><article>no</article></div><aside><article>no</article></aside><p>x") == (None, ["x"])
+
+
+def test_html_large_host(spark):
+    rnd = random.Random(5)
+    words = lambda n: " ".join(rnd.choice("abcdefgh") for _ in range(n))
+    shared = [words(12) for _ in range(8)]
+    rows = [(i, f"http://{'hk'[i % 2]}/{i}", f"<p>{words(9)}</p><div>{shared[i // 4]} {words(5)}</div><p>{words(3)}") for i in range(24)]
+    pages = spark.createDataFrame([*rows, rows[0], (24, "http://h/24", rows[2][2]), (25, "http://h/25", "<p>b")], "page_id long, url string, html string")
+    for run in (3, 8):
+        got = [sorted(map(tuple, html_extract.extract_text(pages, run=run, shard_chars=size).collect())) for size in (html_extract.SHARD_CHARS, 40)]
+        assert got[0] == got[1] and len(got[0]) == 27
+
+
 def test_warc_round_trip(spark, tmp_path):
     source = warc.response(7, "http://h/ä", PAGE, "2024-01-01T00:00:00Z")
     data = source.to_bytes() + source.to_bytes()
