@@ -45,6 +45,9 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: Letters of a segment whose distinct words are counted before those of the whole.
+_START = 4096
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,12 +76,14 @@ def license_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
     known = template_rows(templates)
     admitted = _admitted(docs.sparkSession, known, percent)
     least, most = min(min(_bounds(len(g), percent)) for _, g in known), max(max(_bounds(len(g), percent)) for _, g in known)
-    longest = 2 * max(len(g) for _, g in known) + most  # words: a segment's distinct bigrams may be fewer than its words
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER).alias("body"))
     parts = F.array_distinct(F.concat(F.split("body", "\n"), F.split("body", "\n[ \t\r]*\n"), F.array("body")))
     lines = base.select("id", "th", F.explode_outer(parts).alias("line")).select("id", "th", F.trim(F.regexp_replace("line", "[^a-z0-9]+", " ")).alias("line"))
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))  # bigrams, repeated ones too
-    short = lines.where((count >= least) & (count <= longest)).select("id", "th", F.split("line", " ").alias("w"))
+    # n distinct bigrams have at most n + 1 distinct words; the start of a segment may end in part of one.
+    start = F.size(F.array_distinct(F.split(F.substring("line", 1, _START), " "))) <= most + 2
+    short = lines.where((count >= least) & ((count <= most) | start)).select("id", "th", F.split("line", " ").alias("w"))
+    short = short.where(F.size(F.array_distinct("w")) <= most + 1)
     grams = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     short = short.select("id", "th", grams.alias("grams")).withColumn("n", F.size("grams"))
     both = short.join(F.broadcast(admitted), "n")  # a table that the templates fix

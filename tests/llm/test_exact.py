@@ -190,3 +190,10 @@ def test_license_bounds():
     for size in range(1, 60):
         allowed = set(licenses._bounds(size, 80))
         assert {n for n in range(1, 200) if 200 * min(n, size) >= 80 * (n + size)} <= allowed
+
+
+def test_license_repeats(spark):
+    notice = licenses.TEMPLATES["Apache-2.0"][1]
+    text = [" ".join([notice] * 4), "Released under the MIT License. " * 60, "Released under the MIT License. " * 900, " ".join(f"w{i}" for i in range(5000)), "one two " * 5000]
+    got = [r.license_ids for r in licenses.license_matches(spark.createDataFrame(enumerate(text), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["Apache-2.0", "MIT", "MIT", "", ""]
