@@ -17,6 +17,7 @@ import gzip
 import hashlib
 import html
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -121,21 +122,21 @@ def record_id(*parts: str) -> str:
 
 def visible_text(page: str) -> str:
     """Everything a page shows, block by block: markup, scripts and styles gone, references decoded."""
-    out, at, gone = [], 0, ""
-    for m in _TAG.finditer(page):
-        tag = (m[2] or "").lower()
-        if gone:
-            if tag == gone and m[1]:
-                gone, at = "", m.end()
-            continue
-        out.append(page[at : m.start()])
-        at = m.end()
+    out, at, end = [], 0, len(page)
+    while at < end:
+        m = _TAG.search(page, at)
+        out.append(page[at : m.start() if m else end])
+        if not m:
+            break
+        at, tag = m.end(), (m[2] or "").lower()
         if tag in _BLOCK or tag == "br":
             out.append("\n")
-        if tag in _RAW - {"title", "textarea"} and not m[1]:
-            gone = tag
-    if not gone:
-        out.append(page[at:])
+        if tag in _RAW and not m[1]:  # no markup inside: only its own closing tag ends it
+            found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            stop = found.start() if found else end
+            if tag in ("title", "textarea"):
+                out.append(page[at:stop])
+            at = stop
     lines = (" ".join(html.unescape(line).split()) for line in "".join(out).split("\n"))
     return "\n".join(line for line in lines if line)
 

@@ -143,6 +143,11 @@ def test_html_large_host(spark):
         assert got[0] == got[1] and len(got[0]) == 27
 
 
+def test_warc_raw_elements():
+    assert warc.visible_text("<script>for(i=0;i<n;i++){f(i)}</script><p>text") == "text"
+    assert warc.visible_text("<title>a<b c</title><style>x<y</STYLE ><p>d<script>e</scripts>") == "a<b c\nd"
+
+
 def test_warc_round_trip(spark, tmp_path):
     source = warc.response(7, "http://h/ä", PAGE, "2024-01-01T00:00:00Z")
     data = source.to_bytes() + source.to_bytes()
