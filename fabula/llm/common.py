@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,24 +22,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a folder of our own, which only a local master can share."""
     global _own_dir
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     _own_dir = _own_dir or tempfile.mkdtemp(prefix="fabula-")
     return f"file://{_own_dir}"
 
 
-def cut(df: DataFrame, name: str, sweep: bool = False) -> DataFrame:
-    """df written once to the shared folder and read back: later steps survive lost executors and don't run it again.
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
-    sweep: have the driver's JVM collect its garbage, upon which Spark deletes the shuffle files of the steps before.
-    """
-    spark = df.sparkSession
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is written to the shared folder inside is deleted at the end, when its readers must be done."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, known to the scratch() around the call."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    return path
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: later steps survive lost executors and don't run it again."""
+    spark = df.sparkSession
+    path = own_path(spark, name)
     df.write.parquet(path)
-    if sweep:
-        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._fabula_path = path
     return out
@@ -47,9 +73,7 @@ def drop_cut(*frames: DataFrame) -> None:
     """Delete the files behind cut() tables that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_fabula_path", None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete(df.sparkSession, path)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
@@ -105,8 +129,45 @@ class Rolling:
         return mix((prefix[end] - prefix[start]) * self._down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+class Residues:
+    """As Rolling, but by two polynomials modulo primes, so that no sequence cancels itself out as it may modulo a power of two."""
+
+    _MODULI = ((2147483647, 1103515245), (2147483629, 1664525009))
+
+    def __init__(self) -> None:
+        self._tables = [(np.ones(1, np.uint64), np.ones(1, np.uint64))] * 2
+
+    @staticmethod
+    def _powers(base: int, modulus: int, n: int) -> np.ndarray:
+        out, done = np.ones(n, np.uint64), 1
+        while done < n:
+            step = min(done, n - done)
+            out[done : done + step] = out[:step] * np.uint64(pow(base, done, modulus)) % np.uint64(modulus)
+            done += step
+        return out
+
+    def prefix(self, values: np.ndarray) -> list[np.ndarray]:
+        n = len(values) + 1
+        if len(self._tables[0][0]) < n:
+            size = 1 << (n - 1).bit_length()
+            self._tables = [(self._powers(b, m, size), self._powers(pow(b, -1, m), m, size)) for m, b in self._MODULI]
+        out = []
+        for (m, _), (up, _) in zip(self._MODULI, self._tables, strict=True):
+            terms = np.zeros(n, np.uint64)
+            np.cumsum(values % np.uint64(m) * up[: n - 1] % np.uint64(m), out=terms[1:])
+            out.append(terms)
+        return out
+
+    def spans(self, prefix: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = (
+            (sums[end] - sums[start]) % np.uint64(m) * down[start] % np.uint64(m)
+            for sums, (m, _), (_, down) in zip(prefix, self._MODULI, self._tables, strict=True)
+        )
+        return mix((a << np.uint64(32) | b) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 #: Odd numbers; changing them changes hashes, not results.
-BYTES, FIRST, SECOND = Rolling(0x9F3B62C7D1E8A4B5), Rolling(0xC2B2AE3D27D4EB4F), Rolling(0xB5297A4D3F84D5A9)
+BYTES, FIRST, SECOND = Rolling(0x9F3B62C7D1E8A4B5), Rolling(0xC2B2AE3D27D4EB4F), Residues()
 _SEGMENT = 2 << 20
 
 
@@ -121,6 +182,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: A random number for each byte at each of the first places of a word.
+_PLACES = 64
+_BYTE_AT = mix(np.arange(1, 256 * _PLACES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
+def hash_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[starts:stops]: each byte adds a number that its value and its place in the word fix, so words don't cancel out."""
+    size = stops - starts
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(size) - size
+    place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+    letters = data[place + np.repeat(starts, size)]
+    numbers = _BYTE_AT[np.minimum(place, _PLACES - 1) << 8 | letters]
+    if len(far := np.flatnonzero(place >= _PLACES)):
+        numbers[far] = mix((place[far].astype(np.uint64) << np.uint64(8) | letters[far]) * np.uint64(0xA24BAED4963EE407))
+    return mix(np.add.reduceat(numbers, first) + size.astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes], lower: bool = False, is_word: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and where each text's words begin (one more entry than texts)."""
     hashes, counts = [], np.zeros(len(texts) + 1, np.int64)
@@ -145,7 +225,7 @@ def word_hashes(texts: list[bytes], lower: bool = False, is_word: np.ndarray = W
             flags = np.concatenate(([0], is_word[piece].view(np.int8), [0]))
             edges = np.diff(flags)
             starts, stops = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-            parts.append(BYTES.spans(BYTES.prefix(piece.astype(np.uint64) + np.uint64(1)), starts, stops))
+            parts.append(hash_words(piece, starts, stops))
             places.append(starts + at)
             at = stop
         hashes += parts

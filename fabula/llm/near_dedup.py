@@ -1,18 +1,24 @@
 """Near-duplicate groups by bottom-k sketches of one hash function (operator 9).
 
-A document's set is its distinct word shingles. Its sketch is the bottom k of one 64-bit hash, k in proportion to the
-set: n - ceil(t n) + s values, so that two sets of similarity t or more always share s retained values (or all they have
-in common, if that is fewer) and no link is lost. The hash puts shingles of often used buckets (counted over all documents, in a table of fixed size) above rare
-ones; any fixed order is exact, and this one keeps inverted lists short. Inverted lists of retained values generate
-candidates, the union sketch bounds the similarity from above and drops what can't reach t, and the full sets confirm.
-
-Lists of bounded size give pairs, whose shared values are counted. A link that shows in too few of them shares a value in
-a large list. There not all pairs are made: a list's members are held against one hub, which then leaves the list; linked
-ones become one component, lists whose members are all in one component are done, and only pairs across components go on. Equal sets are one
-representative from the start.
-
-Defined cases: null, empty and wordless texts have no set and no link; a text of fewer words than a shingle has one,
-its whole sequence; repeated rows are one class; an empty table gives an empty result.
+A document's set is its distinct word shingles. The hash deals the set into parts, and what a sketch holds is the bottom
+k of the parts' hashes; a part's hash is made of all its shingles, so that two documents that merely share a frequent
+shingle share no retained value. Sets of similarity t or more differ in at most (1 - t) / (1 + t) of their summed sizes,
+each difference spoils one part, and with k two more than that bound such sets always share two retained values,
+whatever the order; the order puts parts without a rare shingle last. Sizes are dealt into levels; a level fixes the
+number of parts, and a document has a sketch for each level in which a partner of its size can be the larger one.
+Sketches have at most MOST values. Where the bound asks for more (sets of more than some 400 shingles), values are in
+random order, at least 0.22 of the parts of two linked sets agree, and fewer than two agreeing values among MOST have a
+probability below 1e-9 for a pair of similarity t, and far less above it.
+
+Inverted lists of retained values generate candidates. Not all pairs of a list are made: in each turn a list's members
+are held against a few of it (at first one for each document), which then leave; linked documents become one component,
+and lists whose members are all in one component are done. The union sketch (the bottom UNION shingle hashes of both) estimates the similarity, drops what is far below t, and the
+full sets confirm the rest. Equal sets are one from the start.
+
+Defined cases: null, empty and wordless texts have no set and no link; a text of fewer words than a shingle has one, its
+whole sequence; rows that share an id are documents of their own by their texts, and both get the least id that either
+reaches; a null id counts only where a component has no other; repeated rows are alike; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +35,13 @@ from .components import components
 
 #: Buckets of the table of shingle counts and its parts; the table is broadcast as one byte a bucket.
 BUCKETS, PARTS = 1 << 20, 16
-#: Rounds in which each open list is held against one hub before the remaining pairs across components are compared.
-HUB_ROUNDS = 3
-#: Sketches are so much longer that pairs which link share this many values, and lists up to this size are paired and counted.
-SHARED, SMALL = 3, 64
+#: Most values of a sketch, and shingle hashes of the union sketch.
+MOST, UNION = 96, 64
+#: A level's largest size over the level's before, and how many parts there are for each that must be kept.
+STEP, SPARE = 1.4, 1.25
+#: Most members of a list that all others are held against in a turn, and words of a set's odd sketch.
+HUBS, ODD = 64, 8
+_ODD = [f"odd{k}" for k in range(ODD)]
 
 
 def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,16 +68,17 @@ def _survey(size: int):
     """Of each document its set's size and fingerprint; of each task, in rows without a document, its shingle counts."""
 
     def run(batches):
-        counts = np.zeros(BUCKETS, np.uint32)
+        counts = np.zeros(BUCKETS, np.uint64)
         for batch in batches:
-            s, owner = _shingles(texts_of(batch.column(1)), size)
-            counts += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+            s, owner = _shingles(texts_of(batch.column(2)), size)
+            counts += np.bincount((s >> np.uint64(44)).astype(np.int64), minlength=BUCKETS).astype(np.uint64)
             n, f1, f2 = _fingerprint(s, owner, len(batch))
-            yield pa.record_batch([batch.column(0), pa.array(n), f1, f2, pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())], ["id", "n", "f1", "f2", "part", "counts"])
+            nulls = pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), f1, f2, *nulls], ["id", "th", "n", "f1", "f2", "part", "counts"])
         if counts.any():
-            none = [pa.nulls(PARTS, pa.int64())] * 3
+            none = [pa.nulls(PARTS, pa.int64())] * 4
             parts = pa.array([zlib.compress(p.tobytes(), 1) for p in np.split(counts, PARTS)], pa.binary())
-            yield pa.record_batch([pa.nulls(PARTS, batch.column(0).type), *none, pa.array(range(PARTS), pa.int32()), parts], ["id", "n", "f1", "f2", "part", "counts"])
+            yield pa.record_batch([pa.nulls(PARTS, batch.column(0).type), *none, pa.array(range(PARTS), pa.int32()), parts], ["id", "th", "n", "f1", "f2", "part", "counts"])
 
     return run
 
@@ -82,62 +92,126 @@ def _fingerprint(s: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarr
 
 
 def _add(_, rows: pa.Table) -> pa.Table:
-    total = np.zeros(BUCKETS // PARTS, np.uint32)
+    total = np.zeros(BUCKETS // PARTS, np.uint64)
     for c in rows["counts"]:
-        total += np.frombuffer(zlib.decompress(c.as_py()), np.uint32)
+        total += np.frombuffer(zlib.decompress(c.as_py()), np.uint64)
     return pa.table({"part": rows["part"][:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def bucket_classes(survey: DataFrame) -> np.ndarray:
-    """A byte for each bucket that grows with the logarithm of its count over all documents: 1 MB whatever the input."""
+def bucket_bits(survey: DataFrame) -> np.ndarray:
+    """How much each bucket of shingles tells: a byte, by the logarithm of its share of all shingles; 1 MB whatever the input."""
     parts = survey.where("part IS NOT NULL").select("part", "counts")
     some = parts.withColumn("salt", F.spark_partition_id() % 64).groupBy("part", "salt").applyInArrow(lambda k, t: _add(k, t), "part int, counts binary")
-    counts = np.zeros((PARTS, BUCKETS // PARTS), np.uint32)
+    counts = np.zeros((PARTS, BUCKETS // PARTS), np.float64)
     for r in some.groupBy("part").applyInArrow(lambda k, t: _add(k, t), "part int, counts binary").collect():
-        counts[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    return np.minimum(255, 8 * np.log2(counts.reshape(-1) + 1.0)).astype(np.uint8)
-
-
-def _sketch(size: int, percent: int, classes):
+        counts[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
+    share = (counts.reshape(-1) + 1) * BUCKETS / (counts.sum() + BUCKETS)  # 1 is a usual bucket
+    return np.clip(np.round(16 - 2 * np.log2(share)), 1, 24).astype(np.int64)
+
+
+def level_sizes(most: int) -> np.ndarray:
+    """The largest set size of each level, as far as sizes up to `most` need."""
+    out = [8]
+    while out[-1] < most:
+        out.append(int(out[-1] * STEP))
+    return np.array(out, np.int64)
+
+
+def _levels(n: np.ndarray, percent: int) -> tuple[np.ndarray, ...]:
+    """Of each sketch to make: the document's position, the level, the level's parts, how many values to retain, whether by rarity."""
+    largest = n * 100 // percent  # of a partner
+    tops = level_sizes(int(largest.max(initial=1)))
+    own, high = np.searchsorted(tops, n), np.searchsorted(tops, largest)
+    doc = np.repeat(np.arange(len(n)), high - own + 1)
+    level = np.arange(len(doc)) - np.repeat(np.cumsum(high - own + 1) - (high - own + 1), high - own + 1) + own[doc]
+    apart, whole = 100 - percent, 100 + percent
+    worst = 2 * tops * apart // whole + 2  # as many as a pair of the level may ask for
+    parts = np.ceil(SPARE * worst).astype(np.int64)
+    keep = (n[doc] + np.minimum(tops[level], largest[doc])) * apart // whole + 2
+    needed = (n[doc] > 0) & (keep > 2)  # without differences only equal sets are linked
+    return tuple(x[needed] for x in (doc, level, parts[level], np.minimum(keep, MOST), (worst <= MOST)[level]))
+
+
+def sketches(s: np.ndarray, n: np.ndarray, percent: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Retained values of each document's sketches, and where each document's begin (one more entry than documents)."""
+    doc, level, parts, keep, rare = _levels(n, percent)
+    first = np.cumsum(n) - n
+    size = n[doc]
+    begin = np.cumsum(size) - size
+    at = np.repeat(first[doc] - begin, size) + np.arange(int(size.sum()))
+    which = np.repeat(np.arange(len(doc)), size)  # sketch of each shingle
+    x = s[at]
+    turned = mix(x + (level[which].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    base = np.cumsum(parts) - parts
+    part = ((turned >> np.uint64(32)) * parts[which].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[which]
+    total = int(parts.sum())
+    sums, sizes, rarity = np.zeros(total, np.uint64), np.zeros(total, np.int64), np.zeros(total, np.int64)
+    np.add.at(sums, part, mix(turned))
+    np.add.at(sizes, part, 1)
+    np.add.at(rarity, part, bits[(x >> np.uint64(44)).astype(np.int64)])
+    sketch = np.repeat(np.arange(len(doc)), parts)
+    index = np.arange(total) - base[sketch]
+    value = mix(sums + mix((level[sketch].astype(np.uint64) << np.uint64(32)) + index.astype(np.uint64) + np.uint64(1)))
+    order = np.where(rare[sketch], 254 - np.minimum(rarity, 254), 3 - np.minimum(sizes, 3))
+    order = np.where(sizes > 0, order, 255).astype(np.uint64)  # empty parts come last in any case
+    value = (order << np.uint64(56)) | (value >> np.uint64(8))
+    sort = np.lexsort((value, sketch))
+    value = value[sort]
+    held = index < keep[sketch]  # places within the sorted sketch are as the indexes were
+    counts = np.zeros(len(n) + 1, np.int64)
+    np.add.at(counts, doc + 1, np.minimum(keep, parts))
+    return value[held], np.cumsum(counts)
+
+
+def _keys(size: int, percent: int, bits):
     def run(batches):
         for batch in batches:
-            s, owner = _shingles(texts_of(batch.column(1)), size)
+            s, owner = _shingles(texts_of(batch.column(2)), size)
             n, f1, f2 = _fingerprint(s, owner, len(batch))
-            ranked = (classes.value[(s >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
-            order = np.lexsort((ranked, owner))
-            ranked = ranked[order]
-            first = np.concatenate(([0], np.cumsum(n)))
-            k = np.minimum(n, n - (percent * n + 99) // 100 + SHARED)
-            keep = np.arange(len(s)) - first[owner] < k[owner]
-            yield pa.record_batch([batch.column(0), pa.array(n), f1, f2, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(k))), pa.int32()), signed(ranked[keep]))], ["id", "n", "f1", "f2", "sketch"])
+            values, at = sketches(s, n, percent, bits.value)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n), f1, f2, pa.ListArray.from_arrays(pa.array(at, pa.int32()), signed(values))], ["id", "th", "n", "f1", "f2", "keys"])
 
     return run
 
 
+def odd_sketch(s: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+    """ODD words of 64 bits a set: of each bit's hashes, whether their number is odd. Sets differ in no fewer elements than their sketches in bits."""
+    place = owner * (64 * ODD) + ((mix(s) >> np.uint64(32)) * np.uint64(64 * ODD) >> np.uint64(32)).astype(np.int64)
+    odd = (np.bincount(place, minlength=texts * 64 * ODD) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64).reshape(texts, ODD)
+
+
 def _sets(size: int):
     def run(batches):
         for batch in batches:
             s, owner = _shingles(texts_of(batch.column(1)), size)
             n = np.bincount(owner, minlength=len(batch))
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), signed(s))], ["id", "shingles"])
+            at = np.concatenate(([0], np.cumsum(n)))
+            low = np.arange(len(s)) - at[owner] < UNION
+            ends = np.concatenate(([0], np.cumsum(np.minimum(n, UNION))))
+            odd = odd_sketch(s, owner, len(batch))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(s[low])), pa.ListArray.from_arrays(pa.array(at, pa.int32()), signed(s))
+            yield pa.record_batch([batch.column(0), pa.array(n), *(pa.array(odd[:, k]) for k in range(ODD)), *lists], ["id", "n", *_ODD, "low", "shingles"])
 
     return run
 
 
-def _bound(percent: int):
-    """Which pairs' union sketch leaves the similarity possible: values in the union's bottom k that one side lacks are in one set only."""
+def estimate(x: np.ndarray, y: np.ndarray) -> float:
+    """The similarity of two sets by their union's bottom UNION hashes (exact for sets that are no larger)."""
+    union = np.union1d(x, y)[:UNION]
+    both = np.intersect1d(x, y, assume_unique=True)
+    return np.count_nonzero(both <= union[-1]) / len(union)
+
+
+def _estimated(percent: int):
+    """The pairs whose estimate is at least half of what is asked: from 64 hashes, a linked pair falls below with a probability under 1e-10."""
 
     def run(batches):
         for batch in batches:
-            a, b, na, nb = (batch.column(i) for i in range(4))
-            keep = []
-            for x, y, m, n in zip(batch.column(4), batch.column(5), na.to_pylist(), nb.to_pylist(), strict=True):
-                u, v = (z.values.to_numpy(zero_copy_only=False).view(np.uint64) for z in (x, y))
-                top = min(u[-1], v[-1])
-                u, v = u[: np.searchsorted(u, top, "right")], v[: np.searchsorted(v, top, "right")]
-                odd = len(u) + len(v) - 2 * len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * (m + n - odd) >= percent * (m + n + odd))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            low = (batch.column(i) for i in (2, 3))
+            x, y = ([z.values.to_numpy(zero_copy_only=False).view(np.uint64) for z in c] for c in low)
+            keep = [200 * estimate(u, v) >= percent for u, v in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -155,76 +229,86 @@ def _confirm(percent: int):
     return run
 
 
+def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}")), side)
+    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) that are near: by the union sketch, then by the full sets."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = cut(_beside(pairs, sets, "low").mapInArrow(_estimated(percent), "a long, b long"), "near")
+    return cut(_beside(near, sets, "shingles").mapInArrow(_confirm(percent), "a long, b long"), "links")
+
+
+def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """(v, rep, c, lesser): members, with their components, of the lists that hold more than one component; lesser: not of the list's largest one."""
+    now = lists.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("c"))
+    held = now.groupBy("v", "c").agg(F.count("*").alias("size"))
+    several = held.groupBy("v").agg(F.count("*").alias("n"), F.max(F.struct("size", "c")).alias("most")).where("n > 1").select("v", F.col("most.c").alias("largest"))
+    several = cut(several, "several")  # written first, so that the join can be split at a hot value
+    return cut(now.join(several, "v").select("v", "rep", "c", (F.col("c") != F.col("largest")).alias("lesser")), "open")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_shingles, component_id (the smallest id reachable over links), kept.
+    """One row for each row of docs: id, n_shingles, component_id (the smallest id reachable over links), kept, text_hash.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their sets of `shingle`-word shingles,
-    words being runs without ASCII white space with A-Z lower-cased.
+    words being runs without ASCII white space with A-Z lower-cased. text_hash is the row's xxhash64(text).
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = dict(docs.dtypes)[id_col]
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    survey = cut(base.mapInArrow(_survey(shingle), f"id {kind}, n long, f1 long, f2 long, part int, counts binary"), "survey")
-    classes = spark.sparkContext.broadcast(bucket_classes(survey))
-    sketched = base.mapInArrow(_sketch(shingle, percent, classes), f"id {kind}, n long, f1 long, f2 long, sketch array<long>")
-    reps = cut(sketched.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), F.first("sketch").alias("sketch")), "reps", sweep=True)
-    members = survey.where("part IS NULL").select("id", "n", "f1", "f2").join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-
-    lists = reps.select(F.explode("sketch").alias("v"), "rep", "n")
-    sizes = reps.select(F.explode("sketch").alias("v")).groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
-    lists = cut(lists.join(sizes, "v"), "lists", sweep=True)
-    sketches = reps.select(F.col("rep").alias("id"), "n", "sketch")
-    def verified(pairs: DataFrame) -> DataFrame:
-        def both(p: DataFrame, what: DataFrame, *cols: str) -> DataFrame:
-            for side in ("a", "b"):
-                p = p.join(what.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in cols)), side)
-            return p
-
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near = both(pairs, sketches, "n", "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_bound(percent), f"a {kind}, b {kind}")
-        near = cut(near, "near", sweep=True)
-        wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
-        sets = base.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(shingle), f"id {kind}, shingles array<long>")
-        return cut(both(near, cut(sets, "sets", sweep=True), "shingles").select("a", "b", "shingles_a", "shingles_b").mapInArrow(_confirm(percent), f"a {kind}, b {kind}"), "links", sweep=True)
-
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    # Small lists: pairs and how many values they share, which is few for texts that only have a word pair in common.
-    short = lists.where(F.col("size") <= SMALL).select("v", "rep", "n")
-    met = short.join(short.select("v", F.col("rep").alias("b"), F.col("n").alias("m")), "v").where("rep < b").where(fits)
-    needed = F.least(F.lit(SHARED), F.ceil(percent * F.greatest("n", "m") / 100))
-    met = met.groupBy("rep", "b", "n", "m").agg(F.count("*").alias("shared")).where(F.col("shared") >= needed)
-    links = verified(met.select(F.col("rep").alias("a"), "b"))
-    groups = components(links)
-    # Large lists: one hub after another.
-    held, rest = None, lists.where(F.col("size") > SMALL).select("v", "rep", "n")
-    for turn in range(HUB_ROUNDS + 1):
-        now = rest.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("c"))
-        open_lists = now.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("v")
-        held = cut(now.join(open_lists, "v", "left_semi"), "open", sweep=True)
-        if held.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            first = F.col("rep") if turn == 0 else F.xxhash64("rep", F.lit(turn))
-            hubs = held.groupBy("v").agg(F.min(F.struct(first.alias("o"), "rep", "n", "c")).alias("h")).select("v", F.col("h.rep").alias("a"), F.col("h.n").alias("m"), F.col("h.c").alias("d"))
-            beside = held.join(hubs, "v").where("rep <> a")
-            pairs = beside.where("c <> d").where(fits).select("a", F.col("rep").alias("b"))
-            rest = beside.select("v", "rep", "n")  # the hub has met all others and leaves
-        else:
-            other = held.select("v", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"))
-            pairs = held.join(other, "v").where("c < d").where(fits).select("a", F.col("rep").alias("b"))
-        found = verified(pairs)
-        links = links.unionByName(found)
-        groups = components(links)
-    final = members.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    drop_cut(lists)
-    return final.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    survey = cut(base.mapInArrow(_survey(shingle), f"id {kind}, th long, n long, f1 long, f2 long, part int, counts binary"), "survey")
+    bits = spark.sparkContext.broadcast(bucket_bits(survey))
+    rows = survey.where("part IS NULL").select("id", "th", "n", "f1", "f2")
+    keyed = base.mapInArrow(_keys(shingle, percent, bits), f"id {kind}, th long, n long, f1 long, f2 long, keys array<long>").where("n > 0")
+    sets = keyed.groupBy("f1", "f2", "n").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("at"), F.first("keys").alias("keys"))
+    sets = cut(sets.withColumn("rep", F.monotonically_increasing_id()), "distinct")  # written, so that the numbers stay
+
+    keys = sets.select(F.explode("keys").alias("v"), "rep")
+    shared = cut(keys.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    lists = cut(keys.join(shared, "v"), "lists")
+    wanted = cut(sets.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "at"), "wanted")
+    full = base.join(wanted, base["id"].eqNullSafe(wanted["at.id"]) & (base["th"] == wanted["at.th"])).select("rep", "text").dropDuplicates(["rep"])
+    full = cut(full.mapInArrow(_sets(shingle), f"id long, n long, {', '.join(f'{o} long' for o in _ODD)}, low array<long>, shingles array<long>"), "sets")
+
+    # At first each document meets one: of its lists' most central members, which are in the largest lists, the one it meets most often.
+    ranked = lists.join(lists.groupBy("rep").agg(F.sum("size").alias("score")), "rep")
+    central = ranked.groupBy("v").agg(F.max(F.struct("score", "rep")).alias("c")).select("v", F.col("c.rep").alias("hub"))
+    met = lists.join(central, "v").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("met")).groupBy("rep").agg(F.max(F.struct("met", "hub")).alias("c"))
+    groups = components(_linked(met.select(F.col("rep").alias("a"), F.col("c.hub").alias("b")), full, percent))
+    marks = full.select(F.col("id").alias("rep"), "n", *_ODD)
+    rest, turn = lists.select("v", "rep"), 0
+    while not (held := _open(rest, groups)).isEmpty():
+        # Members outside a list's largest component meet all others, some of each list at a time, and leave: at last one component remains.
+        order = F.xxhash64("rep", F.lit(turn))
+        hubs = held.where("lesser").groupBy("v", F.pmod(order, F.lit(min(4 << turn, HUBS)))).agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"))
+        hubs = cut(hubs.select("h.rep").distinct(), "hubs")
+        both = held.join(marks, "rep").select("v", "rep", "c", "n", *_ODD)
+        first = both.join(hubs, "rep", "left_semi").select("v", F.col("rep").alias("a"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(o).alias(f"{o}_a") for o in _ODD))
+        odd = " + ".join(f"bit_count({o} ^ {o}_a)" for o in _ODD)
+        near = both.join(first, "v").where(f"c <> d AND 100 * least(n, m) >= {percent} * greatest(n, m) AND ({100 + percent}) * ({odd}) <= ({100 - percent}) * (n + m)")
+        found = _linked(near.select("a", F.col("rep").alias("b")), full, percent)
+        rest = held.join(hubs, "rep", "left_anti").select("v", "rep")
+        if not found.isEmpty():
+            groups = components(found.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        turn += 1
+    drop_cut(lists, full, shared, wanted)
+    ids = sets.select("f1", "f2", "n", "rep", "least")
+    roots = ids.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", "least", F.coalesce("component", "rep").alias("root"))
+    least = ids.join(groups.select(F.col("id").alias("rep"), "component").unionByName(groups.select(F.col("component").alias("rep"), "component").distinct()), "rep").groupBy("component").agg(F.min("least").alias("of_all"))
+    roots = roots.join(least, F.col("root") == F.col("component"), "left").select("f1", "f2", "n", F.when(F.col("component").isNotNull(), F.col("of_all")).otherwise(F.col("least")).alias("least"), F.lit(True).alias("known"))
+    out = rows.join(roots, ["f1", "f2", "n"], "left").select("id", "n", F.when(F.col("known"), F.col("least")).otherwise(F.col("id")).alias("component"), "th")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"), F.col("th").alias("text_hash"))
 
 
 def op9(spark, sf_dir) -> DataFrame:
     from .common import table
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("text_hash")
 
 
 SQL = r"""
