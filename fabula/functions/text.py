@@ -10,8 +10,22 @@ from pyspark.sql import functions as F
 
 CJK = "一-鿿"
 
-# English words that carry no meaning of their own.
-STOP_WORDS = "the and for with that this from into his her their they them then than are was were has have had not but you your its out who what when where which will would".split()
+# English words that no keyword is, lines in capitals that no speaker is, and the patterns of a speaker's
+# line, of the marks behind a speaker's name and of a heading.
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "to", "of", "for", "in", "on", "at", "by", "with", "from",
+    "is", "are", "was", "were", "be", "been", "being", "that", "this", "these", "those", "his", "her",
+    "their", "them", "he", "she", "they", "it", "as", "into", "over", "under", "after", "before", "during",
+    "while", "through", "about", "because", "when", "then", "than", "very", "more", "most", "just", "still",
+]
+NO_SPEAKERS = [
+    "INT", "EXT", "CUT TO", "CONTINUED", "ANGLE", "LATER", "MORNING", "NIGHT", "DAY",
+    "EVENING", "CLOSE", "VOICE", "OMITTED", "MONTAGE", "FADE OUT", "FADE IN", "TITLE",
+    "SUPER", "THE END", "MUSIC", "INSERT", "FLASHBACK", "BACK TO SCENE", "WIDE SHOT",
+]
+SPEAKER_LINE = r"^[A-Z][A-Z .\-']{1,40}$"
+SPEAKER_MARKS = r"(?i)\s*\((?:O\.S\.|V\.O\.|OS|VO|CONT'D|OFF)\)\s*"
+HEADING = r"(?i)^(?:[A-Z0-9'\" .-]{0,8})?(?:INT\.|EXT\.|INT/EXT\.|I/E\.|EST\.|OMITTED|TITLE:)"
 
 
 def _text(c) -> Column:
@@ -50,7 +64,7 @@ def safe_name(c) -> Column:
 
 def strip_speaker_variant(c) -> Column:
     """A speaker's name without marks such as (V.O.), (O.S.) and (CONT'D)."""
-    return clean_text(F.regexp_replace(_text(c), r"(?i)\(\s*(?:v\.?\s*o\.?|o\.?\s*s\.?|o\.?\s*c\.?|cont['’]?d|continued)\s*\)", " "))
+    return clean_text(F.regexp_replace(clean_text(c), SPEAKER_MARKS, " "))
 
 
 def stable_id(prefix: str, *parts) -> Column:
@@ -90,24 +104,33 @@ def lines(c) -> Column:
     return F.filter(F.transform(F.split(_text(c), r"\R"), lambda x: F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))), lambda x: x != "")
 
 
+def speaker(line: Column) -> Column:
+    """The line in capitals that names who speaks, as it stands without marks and points at its ends; null for any other line."""
+    bare = F.replace(F.replace(line, F.lit("(O.S.)"), F.lit("")), F.lit("(V.O.)"), F.lit(""))
+    bare = F.regexp_replace(bare, r"^[ .:\-]+|[ .:\-]+$", "")
+    return F.when(bare.rlike(SPEAKER_LINE) & (F.size(F.split(clean_text(bare), " ")) <= 4), bare)
+
+
+def speaker_name(found: Column) -> Column:
+    return clean_text(F.replace(title_case(found), F.lit(" '"), F.lit("'")))
+
+
 def speaker_names(c) -> Column:
-    """Distinct speakers of a scene in order: lines of at most four words in ASCII capitals, without variants, title-cased."""
-    caps = F.filter(F.transform(lines(c), strip_speaker_variant), lambda x: x.rlike(r"^[A-Z][A-Z0-9 .'\-]{1,38}$") & (F.size(F.split(x, " ")) <= 4))
-    return F.array_distinct(F.transform(caps, title_case))
+    """Distinct names of those who speak in a scene, in order."""
+    return F.array_distinct(F.transform(F.filter(F.transform(lines(c), speaker), lambda x: x.isNotNull()), speaker_name))
 
 
 def alias_score(title, content, speakers: Column, aliases: Column) -> Column:
-    """How strongly a scene is about a role: of each alias +3 in the title, +3 in the content, +1 if a piece of three letters or more is there, +4 if it speaks, +2 if a speaker's name has such a piece."""
+    """How strongly a scene is about a role: of each alias +3 in the title, +3 in the content, +1 if one of its words of three letters or more is in the content, +4 if a speaker has its name, +2 if a speaker's whole name is such a word."""
     head, body = match_key(title), match_key(content)
-    names = F.transform(speakers, lambda s: F.lower(s))
+    names = F.transform(speakers, match_key)
+    worth = lambda condition, points: F.when(condition, points).otherwise(0)
 
     def one(alias: Column) -> Column:
         a = match_key(alias)
         pieces = F.filter(F.split(a, " "), lambda p: F.length(p) >= 3)
-        points = F.when(F.contains(head, a), 3).otherwise(0) + F.when(F.contains(body, a), 3).otherwise(0)
-        points += F.when(F.exists(pieces, lambda p: F.contains(head, p) | F.contains(body, p)), 1).otherwise(0)
-        points += F.when(F.array_contains(names, a), 4).otherwise(F.when(F.exists(pieces, lambda p: F.exists(names, lambda n: F.contains(n, p))), 2).otherwise(0))
-        return F.when(a == "", 0).otherwise(points)
+        there = worth(F.contains(head, a), 3) + worth(F.contains(body, a), 3) + worth(F.exists(pieces, lambda p: F.contains(body, p)), 1)
+        return worth(a != "", there + worth(F.array_contains(names, a), 4) + worth(F.arrays_overlap(names, pieces), 2))
 
     return F.aggregate(F.transform(aliases, one), F.lit(0), lambda x, y: x + y)
 
@@ -149,17 +172,25 @@ def public_scene_id(c) -> Column:
     return F.when(x.rlike(r"^[0-9]+$"), (x.cast("decimal(38,0)") + 1).cast("string")).otherwise(x)
 
 
+# How summaries begin that no model wrote.
+PLACEHOLDERS = ["Milestone-based timeline for ", "基于 milestone 的"]
+
+
+def is_placeholder_summary(c) -> Column:
+    x = clean_text(c)
+    return x.startswith(PLACEHOLDERS[0]) | x.startswith(PLACEHOLDERS[1])
+
+
 def summary_needs_repair(c, language) -> Column:
     """Whether a summary is empty, a placeholder, or too short or long (zh 20 to 140 letters, else 12 to 110 words)."""
     x = clean_text(c)
     words = F.size(F.split(x, " "))
     size = F.when(language == "zh", ~F.length(x).between(20, 140)).otherwise(~words.between(12, 110))
-    return (x == "") | F.lower(x).startswith("placeholder") | size
+    return (x == "") | is_placeholder_summary(x) | size
 
 
 def is_slug_line(c) -> Column:
-    """A scene heading inside a scene: six letters or more, mostly capitals, beginning like INT., EXT. or a transition."""
-    x = clean_text(c)
-    letters = F.regexp_replace(x, "[^A-Za-z]", "")
-    capitals = F.regexp_replace(x, "[^A-Z]", "")
-    return (F.length(x) >= 6) & (F.length(capitals) > 0.7 * F.length(letters)) & x.rlike(r"^(?:INT|EXT|I/E|INT/EXT|FADE|CUT TO|DISSOLVE|ANGLE|CLOSE|LATER|MONTAGE|BACK TO)\b")
+    """A scene heading inside a scene: six letters or more without points at its ends, mostly capitals, beginning as headings do."""
+    x = F.regexp_replace(F.regexp_replace(_text(c), r"(?U)^\s+|\s+$", ""), r"^[ .:\-]+|[ .:\-]+$", "")
+    letters, capitals = F.regexp_replace(x, r"[^\p{L}]", ""), F.regexp_replace(x, r"[^\p{Lu}]", "")
+    return (F.length(x) >= 6) & (F.length(capitals) > 0.7 * F.length(letters)) & x.rlike(HEADING)

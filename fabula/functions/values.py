@@ -19,10 +19,9 @@ def enum_clamp(c: Column, allowed: list[str], default: str) -> Column:
 
 
 def parse_bool(c: Column) -> Column:
-    """A judge's answer: true, yes, 1 or false, no, 0 as first word, else whether it has true and no false."""
-    x = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    word = F.regexp_extract(x, r"^([a-z0-9]+)[.!]?$", 1)
-    return F.when(word.isin("true", "yes", "1"), True).when(word.isin("false", "no", "0"), False).otherwise(F.contains(x, F.lit("true")) & ~F.contains(x, F.lit("false")))
+    """A judge's answer: true, yes, 1 or false, no, 0 alone, else whether it has true and no false."""
+    x = F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", ""))
+    return F.when(x.isin("true", "yes", "1"), True).when(x.isin("false", "no", "0"), False).otherwise(F.contains(x, F.lit("true")) & ~F.contains(x, F.lit("false")))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -88,7 +87,7 @@ def node_budget_wide(n: Column, medium: Column, high: Column, very_high: Column,
 
 
 # Points of a candidate's kind of change.
-CHANGE_POINTS = {"status_win": 4, "injury_or_loss": 4, "career_move": 3, "legal_or_addiction_setback": 3, "explicit_decision": 3, "relationship_shift": 2, "family_conflict": 2, "reconciliation": 2, "other": 0, "unknown": 0}
+CHANGE_POINTS = {"status_win": 4, "injury_or_loss": 4, "career_move": 3, "legal_or_addiction_setback": 3, "explicit_decision": 3, "relationship_shift": 2, "family_conflict": 2, "reconciliation": 2, "other": 0}
 
 
 def rank_score(score: Column, change_type: Column, n_quotes: Column, development: Column, goal: Column, result: Column) -> Column:
@@ -97,8 +96,12 @@ def rank_score(score: Column, change_type: Column, n_quotes: Column, development
     return score + points + F.when(n_quotes > 0, 1).otherwise(0) + F.when(F.length(development) > 40, 1).otherwise(0) + F.when(F.trim(goal) != "", 1).otherwise(0) + F.when(F.trim(result) != "", 1).otherwise(0)
 
 
+def is_core(importance: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(importance, F.lit("")))) == "core"
+
+
 def salience(importance: Column, goal: Column, result: Column, issue: Column, development: Column, n_quotes: Column) -> Column:
     """0 to 7: core 2; goal, result and open issue 1 each; a development of 80 letters or more 1; two quotes 1."""
     one = lambda c: F.when(c, 1).otherwise(0)
     filled = lambda c: one(F.trim(F.coalesce(c, F.lit(""))) != "")
-    return 2 * one(importance == "core") + filled(goal) + filled(result) + filled(issue) + one(F.length(F.coalesce(development, F.lit(""))) >= 80) + one(n_quotes >= 2)
+    return 2 * one(is_core(importance)) + filled(goal) + filled(result) + filled(issue) + one(F.length(F.coalesce(development, F.lit(""))) >= 80) + one(n_quotes >= 2)

@@ -7,15 +7,18 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from fabula.functions.text import HEADING
+
 # Sizes in letters and lines.
 FLUSH_LETTERS, BLANK_LINES, SMALL, MOST_LINES, MOST_LETTERS, CHUNK, OVERLAP = 160, 80, 180, 120, 8000, 72, 10
-_SLUG = re.compile(r"^(?:INT|EXT|I/E|INT/EXT|FADE|CUT TO|DISSOLVE|ANGLE|CLOSE|LATER|MONTAGE|BACK TO)\b")
+_HEADING = re.compile(HEADING)
 
 
 def is_slug(line: str) -> bool:
-    text = " ".join(line.split())
-    letters = [c for c in text if c.isascii() and c.isalpha()]
-    return len(text) >= 6 and sum(c.isupper() for c in letters) > 0.7 * len(letters) and bool(_SLUG.match(text))
+    """As functions.text.is_slug_line."""
+    bare = line.strip().strip(" .:-")
+    letters = [c for c in bare if c.isalpha()]
+    return len(bare) >= 6 and sum(map(str.isupper, letters)) > 0.7 * len(letters) and bool(_HEADING.match(bare))
 
 
 def _chunks(lines: list[str]) -> list[list[str]]:
@@ -35,18 +38,19 @@ def _chunks(lines: list[str]) -> list[list[str]]:
 def split_beats(content: str | None, title: str = "") -> list[tuple[int, str, str]]:
     """(beat_index, heading, text) of a scene; an empty scene is one beat."""
     beats: list[tuple[str, list[str]]] = []
-    heading, held = title, []
+    heading: str = title
+    held: list[str] = []
 
     def flush() -> None:
-        if any(x.strip() for x in held):
-            beats.append((heading, list(held)))
+        if text := "\n".join(held).strip():
+            beats.append((heading, text.splitlines()))
         held.clear()
 
     for line in (x.rstrip() for x in (content or "").splitlines()):
         if is_slug(line):
             if len("\n".join(held).strip()) >= FLUSH_LETTERS:
                 flush()
-            heading = line.strip()
+            heading = " ".join(line.split())
             held.append(line)
         else:
             held.append(line)
@@ -64,7 +68,8 @@ def split_beats(content: str | None, title: str = "") -> list[tuple[int, str, st
     for head, lines in merged:
         long = len(lines) > MOST_LINES or len("\n".join(lines)) > MOST_LETTERS
         for part in _chunks(lines) if long else [lines]:
-            out.append((len(out), head, "\n".join(part).strip()))
+            if text := "\n".join(part).strip():
+                out.append((len(out), head, text))
     return out or [(0, title, "")]
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fabula.functions.values import cosine, jaccard
@@ -53,8 +53,21 @@ def band_neighbours(hits: DataFrame, rows: DataFrame, keys: list[str], order: st
 
 
 def substring_quotes(texts: DataFrame, text: str, quotes: DataFrame, quote: str, keys: list[str]) -> DataFrame:
-    """Pairs of texts and quotes of the same keys in which the quote is part of the text."""
-    return texts.join(quotes, keys).where(F.contains(F.col(text), F.col(quote)) & (F.col(quote) != ""))
+    """Pairs of texts and quotes, of the same keys if there are any, in which the quote is part of the text.
+
+    A quote's words but the first and the last stand in such a text as words too, so a quote of three words or more
+    meets the texts that have the longest of these; the few shorter ones are held against all texts of their keys.
+    """
+    words = lambda c: F.split(F.col(c), r"\s+")
+    inner = F.slice(words(quote), 2, F.greatest(F.size(words(quote)) - 2, F.lit(0)))
+    longest = F.element_at(F.array_sort(F.transform(F.array_distinct(inner), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    asked = quotes.where(F.col(quote) != "").withColumn("_word", F.when(F.size(inner) > 0, longest))
+    wordy = asked.where("_word <> ''")
+    places = texts.select("*", F.explode(F.array_distinct(words(text))).alias("_word"))
+    met = places.join(wordy, [*keys, "_word"]).where(F.contains(F.col(text), F.col(quote)))
+    short = asked.where("_word IS NULL OR _word = ''")
+    rest = texts.join(short, keys or F.lit(True)).where(F.contains(F.col(text), F.col(quote)))
+    return met.drop("_word").unionByName(rest.drop("_word"))
 
 
 def strict_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,30 +115,28 @@ def greedy_pairs(scores: DataFrame, group: list[str], least: float = 0.35) -> Da
     return fold_groups(scores, group, fold, scores.schema)
 
 
-def same_arc(a_tokens: Column, b_tokens: Column, a_tags: Column, b_tags: Column, gap: Column) -> Column:
-    """Whether two cards tell the same small arc: near with like words, or both of intimacy only within 6 places, or both of boundary or reveal within 4."""
-    alike = jaccard(a_tokens, b_tokens)
-    has = lambda tags, *names: F.exists(tags, lambda t: t.isin(*names))
-    other = lambda tags: has(tags, "boundary", "reveal", "worldview", "action")
-    intimate = F.array_contains(a_tags, "intimacy") & F.array_contains(b_tags, "intimacy") & ~other(a_tags) & ~other(b_tags)
-    turning = has(a_tags, "boundary", "reveal") & has(b_tags, "boundary", "reveal")
-    return ((gap <= 2) & (alike >= 0.16)) | (intimate & (gap <= 6)) | (turning & (gap <= 4) & (alike >= 0.10))
-
-
 def names_alike(a: str, b: str, least: float = 0.86) -> bool:
     """Equal keys, one inside the other, or a sequence ratio of `least` where both have five letters."""
     if not a or not b:
         return False
-    return a == b or a in b or b in a or min(len(a), len(b)) >= 5 and SequenceMatcher(None, a, b).ratio() >= least
+    return a in b or b in a or min(len(a), len(b)) >= 5 and SequenceMatcher(None, a, b).ratio() >= least
+
 
+def fuzzy_names(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str, least: float = 0.86) -> DataFrame:
+    """Pairs of names of the same block that are alike (see names_alike; a is the alias, b the name sought).
 
-def fuzzy_names(left: DataFrame, right: DataFrame, block: list[str], a: str, b: str) -> DataFrame:
-    """Pairs of names of the same block that are alike (see names_alike)."""
+    The ratio is twice the letters in common over all letters, so lengths that can't reach it are dropped before it is
+    taken.
+    """
 
     def check(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([names_alike(p or "", q or "") for p, q in zip(x, y, strict=True)], dtype=bool)
+        return pd.Series([names_alike(p, q, least) for p, q in zip(x, y, strict=True)], dtype=bool)
 
-    return left.join(right, block).where(F.pandas_udf(check, "boolean")(F.col(a), F.col(b)))
+    x, y = F.col(a), F.col(b)
+    inside = F.contains(x, y) | F.contains(y, x)
+    fits = (F.least(F.length(x), F.length(y)) >= 5) & (2 * F.least(F.length(x), F.length(y)) >= least * (F.length(x) + F.length(y)))
+    pairs = left.where((x.isNotNull()) & (x != "")).join(right.where((y.isNotNull()) & (y != "")), block).where(inside | fits)
+    return pairs.where(inside | F.pandas_udf(check, "boolean")(x, y))
 
 
 def skip_finished(jobs: DataFrame, finished: DataFrame, keys: list[str]) -> DataFrame:

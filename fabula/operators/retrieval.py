@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabula.functions.values import temporal_bucket
+from fabula.functions.values import dot, temporal_bucket, unit
 from fabula.operators.matching import band_neighbours
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -35,17 +35,19 @@ def top_k(scores: DataFrame, group: list[str], k: int, *ties, digits: int = 9) -
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def unit_vectors(rows: DataFrame, vector: str, out: str = "unit") -> DataFrame:
-    n = F.greatest(F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), F.lit(1e-12))
-    return rows.withColumn(out, F.transform(vector, lambda x: x.cast("double") / n))
-
-
 def vector_scores(docs: DataFrame, queries: DataFrame, index: list[str], doc: str, query: str, vector: str) -> DataFrame:
-    """Dot products of normalised vectors of the same index; the query set is stated, so this is a query set against all rows."""
-    from fabula.functions.values import dot
+    """Dot products of normalised vectors of each stated query with the rows of its index, or with all rows where index is empty.
 
-    d, q = unit_vectors(docs, vector).select(*index, doc, "unit"), unit_vectors(queries, vector, "_q").select(*index, query, "_q")
-    return d.join(q, index).select(*index, query, doc, dot(F.col("unit"), F.col("_q")).alias("score"))
+    The queries then travel to the rows, as blocks that are broadcast where their size allows, not the rows to them.
+    """
+    d = docs.select(*index, doc, unit(F.col(vector)).alias("unit"))
+    q = queries.select(*index, query, unit(F.col(vector)).alias("_q"))
+    if index:
+        met = d.join(q, index)
+    else:
+        blocks = q.groupBy(F.pmod(F.xxhash64(query), F.lit(64)).alias("_block")).agg(F.collect_list(F.struct(query, "_q")).alias("_queries"))
+        met = d.crossJoin(blocks).select(doc, "unit", F.explode("_queries").alias("_asked")).select(doc, "unit", f"_asked.{query}", "_asked._q")
+    return met.select(*index, query, doc, dot(F.col("unit"), F.col("_q")).alias("score"))
 
 
 def reciprocal_rank_fusion(ranked: DataFrame, group: list[str], doc: str, k: int, constant: int = 60) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fabula.functions.values import coverage_width, phase_bucket, salience, temporal_bucket
+from fabula.functions.values import coverage_width, is_core, phase_bucket, salience, temporal_bucket
 
 
 def with_buckets(rows: DataFrame, group: list[str], order: str) -> DataFrame:
@@ -47,15 +47,17 @@ def transition_pairs(nodes: DataFrame, group: list[str]) -> DataFrame:
     most = F.max("scene_order").over(Window.partitionBy(*group))
     strength = salience(F.col("importance"), F.col("goal_state"), F.col("resulting_state"), F.col("unresolved_issue"), F.col("salient_development"), F.col("n_quotes"))
     rows = nodes.withColumns({"phase": phase_bucket(F.col("scene_order"), most), "salience": strength})
-    fields = ["node_id", "scene_id", "scene_order", "importance", "goal_state", "resulting_state", "unresolved_issue", "phase", "salience"]
+    fields = ["node_id", "scene_id", "scene_order", "importance", "goal_state", "resulting_state", "unresolved_issue", "salient_development", "phase", "salience"]
     node = F.struct(*fields)
     pairs = rows.select(*group, node.alias("a"), F.lead(node).over(w).alias("b")).where("b IS NOT NULL")
     one = lambda c: F.when(c, 1).otherwise(0)
     has = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
-    core_a, core_b = F.col("a.importance") == "core", F.col("b.importance") == "core"
+    core_a, core_b = is_core(F.col("a.importance")), is_core(F.col("b.importance"))
     gap = F.greatest(F.lit(0), F.col("b.scene_order") - F.col("a.scene_order"))
     change = F.col("a.phase") != F.col("b.phase")
-    sparse = lambda p: F.col(f"{p}.salience") <= 1
+    states = ("goal_state", "resulting_state", "unresolved_issue")
+    development = lambda p: F.length(F.trim(F.coalesce(F.col(f"{p}.salient_development"), F.lit(""))))
+    sparse = lambda p: ~is_core(F.col(f"{p}.importance")) & ~(has(f"{p}.{states[0]}") | has(f"{p}.{states[1]}") | has(f"{p}.{states[2]}")) & (development(p) < 70)
     anchored = has("a.resulting_state") | has("b.goal_state") | has("b.resulting_state") | has("b.unresolved_issue")
     score = (
         2 * one(core_a | core_b) + one(core_a & core_b) + F.greatest("a.salience", "b.salience") + one(has("a.resulting_state")) + one(has("b.goal_state"))
@@ -65,5 +67,5 @@ def transition_pairs(nodes: DataFrame, group: list[str]) -> DataFrame:
     label = F.when(change, F.concat("a.phase", F.lit("->"), "b.phase")).otherwise(F.col("a.phase"))
     return pairs.select(
         *group, F.col("a.node_id").alias("prev_id"), F.col("b.node_id").alias("next_id"), F.col("a.scene_order").alias("prev_order"), F.col("b.scene_order").alias("next_order"), gap.alias("scene_gap"), label.alias("phase_label"),
-        F.col("a.phase").alias("prev_phase"), F.col("b.phase").alias("next_phase"), score.alias("pair_score"), anchored.alias("anchored"), (F.col("a.scene_id") == F.col("b.scene_id")).alias("same_scene"), core_a.alias("prev_core"), core_b.alias("next_core"),
+        F.col("a.phase").alias("prev_phase"), F.col("b.phase").alias("next_phase"), score.alias("pair_score"), anchored.alias("anchored"), core_a.alias("prev_core"), core_b.alias("next_core"),
     )

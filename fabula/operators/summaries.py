@@ -31,13 +31,13 @@ def status_counts(rows: DataFrame, group: list[str], status: str, names: list[st
 
 def run_summary(rows: DataFrame, status: str, mode: str, role: str, score: str, finished: list[str]) -> DataFrame:
     """Counts and mean scores (finished rows only) by status, by mode, by role and by role and mode in one pass over the rows."""
-    rows.createOrReplaceTempView("_run_summary")
     done = ", ".join(f"'{s}'" for s in finished)
-    return rows.sparkSession.sql(f"""
+    text = f"""
         SELECT CASE WHEN grouping({status}) = 0 THEN 'status' WHEN grouping({role}) = 0 AND grouping({mode}) = 0 THEN 'role_mode' WHEN grouping({mode}) = 0 THEN 'mode' ELSE 'role' END AS level,
                CAST({status} AS STRING) AS status, CAST({mode} AS STRING) AS mode, CAST({role} AS STRING) AS role, count(*) AS n,
                avg(CASE WHEN _status IN ({done}) THEN {score} END) AS mean_score
-        FROM (SELECT *, {status} AS _status FROM _run_summary) GROUP BY GROUPING SETS (({status}), ({mode}), ({role}), ({role}, {mode}))""")
+        FROM (SELECT *, {status} AS _status FROM {{rows}}) GROUP BY GROUPING SETS (({status}), ({mode}), ({role}), ({role}, {mode}))"""
+    return rows.sparkSession.sql(text, rows=rows)
 
 
 def vote_means(rows: DataFrame, group: list[str], votes: list[str]) -> DataFrame:
@@ -49,9 +49,8 @@ def vote_means(rows: DataFrame, group: list[str], votes: list[str]) -> DataFrame
 
 def speaker_counts(scenes: DataFrame, group: list[str], order: str, title: str, content: str, most: int = 20) -> DataFrame:
     """Speakers of each group: utterances, scenes, the first three scenes' titles; the `most` busiest, ties to the first seen."""
-    caps = F.transform(T.lines(content), T.strip_speaker_variant)
-    said = scenes.select(*group, order, title, F.posexplode(caps).alias("_line", "_name")).where(F.col("_name").rlike(r"^[A-Z][A-Z0-9 .'\-]{1,38}$") & (F.size(F.split("_name", " ")) <= 4))
-    said = said.withColumn("name", T.title_case("_name"))
+    said = scenes.select(*group, order, title, F.posexplode(F.transform(T.lines(content), T.speaker)).alias("_line", "_said"))
+    said = said.where(F.col("_said").isNotNull() & ~F.col("_said").isin(T.NO_SPEAKERS)).withColumn("name", T.speaker_name(F.col("_said")))
     by_scene = said.groupBy(*group, "name", order).agg(F.count("*").alias("_n"), F.min("_line").alias("_line"), F.first(title).alias("_title"))
     firsts = by_scene.withColumn("_k", F.row_number().over(Window.partitionBy(*group, "name").orderBy(order)))
     out = firsts.groupBy(*group, "name").agg(F.sum("_n").alias("utterance_count"), F.count("*").alias("scene_count"), F.min(F.struct(order, "_line")).alias("_first"), F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") <= 3, F.struct("_k", "_title")))), lambda x: x["_title"]).alias("sample_scenes"))
@@ -59,25 +58,39 @@ def speaker_counts(scenes: DataFrame, group: list[str], order: str, title: str,
     return out.withColumn("rank", rank).where(F.col("rank") <= most).drop("_first")
 
 
-def merge_candidates(speakers: DataFrame, beats: DataFrame, group: list[str], most: int = 48) -> DataFrame:
-    """Speakers and the characters of beats as one list: counts are added up over equal name keys, the `most` strongest stay.
+def merge_candidates(speakers: DataFrame, present: DataFrame, updates: DataFrame, group: list[str], most: int = 48) -> DataFrame:
+    """Speakers, the characters of beats and those of updates as one list by name key; the `most` strongest stay.
 
-    speakers: name, utterance_count, scene_count; beats: name, scene_id, importance, durable_change.
+    speakers: name, utterance_count, scene_count, pos; present: name, pos; updates: name, importance, durable_change,
+    pos. pos is the place in its list; ties go to who is named first, speakers before the rest, in which a beat's
+    characters and updates share one order. Returns the first spelling, all spellings in order, the counts and the rank.
     """
-    s = speakers.select(*group, T.name_key("name").alias("key"), "name", F.col("utterance_count").cast("long").alias("u"), F.col("scene_count").cast("long").alias("s"))
-    b = beats.groupBy(*group, T.name_key("name").alias("key")).agg(F.min("name").alias("name"), F.count("*").alias("b"), F.countDistinct("scene_id").alias("bs"), F.count_if(F.col("importance") == "core").alias("core"), F.count_if("durable_change").alias("durable"))
     zero = F.lit(0).cast("long")
-    both = s.select(*group, "key", "name", "u", "s", *(zero.alias(c) for c in ("b", "bs", "core", "durable"))).unionByName(b.select(*group, "key", "name", zero.alias("u"), zero.alias("s"), "b", "bs", "core", "durable"))
-    out = both.where("key <> ''").groupBy(*group, "key").agg(F.min("name").alias("name"), F.max("u").alias("utterance_count"), F.max("s").alias("scene_count"), F.sum("b").alias("beat_count"), F.max("bs").alias("beat_scene_count"), F.sum("core").alias("core_count"), F.sum("durable").alias("durable_count"))
-    order = [F.desc(c) for c in ("durable_count", "core_count", "beat_scene_count", "beat_count", "utterance_count", "scene_count")]
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order, "key"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= most)
+    columns = ["utterance_count", "scene_count", "presence_count", "update_count", "durable_count", "core_count"]
+
+    def rows(df: DataFrame, where: int, **values) -> DataFrame:
+        name = T.strip_speaker_variant("name")
+        given = [values.get(c, zero).cast("long").alias(c) for c in columns]
+        return df.select(*group, T.name_key(name).alias("key"), name.alias("name"), F.struct(F.lit(where).alias("list"), F.col("pos").cast("long").alias("pos")).alias("at"), *given)
+
+    one = F.lit(1)
+    parts = [
+        rows(speakers, 0, utterance_count=F.col("utterance_count"), scene_count=F.col("scene_count")),
+        rows(present, 1, presence_count=one),
+        rows(updates, 1, update_count=one, durable_count=F.when(F.col("durable_change"), 1).otherwise(0), core_count=F.when(F.col("importance") == "core", 1).otherwise(0)),
+    ]
+    spelt = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(*group, "key", "name").agg(F.min("at").alias("at"), *((F.max if c in columns[:2] else F.sum)(c).alias(c) for c in columns))
+    names = F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"])
+    out = spelt.groupBy(*group, "key").agg(F.min("at").alias("at"), names.alias("aliases"), *((F.max if c in columns[:2] else F.sum)(c).alias(c) for c in columns))
+    order = [F.desc(c) for c in ("durable_count", "core_count", "update_count", "presence_count", "scene_count", "utterance_count")]
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order, "at", "key"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= most).select(*group, "key", F.col("aliases")[0].alias("name"), F.filter("aliases", lambda x: x != "").alias("aliases"), *columns, "rank")
 
 
 def budgets(cards: DataFrame, group: list[str], score: str, role: str) -> DataFrame:
     """Both milestone budgets of each role from its cards' scores and kinds of part."""
     s, active = F.col(score), F.count_if(F.col(role).isin("foreground", "active"))
-    n = cards.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(s >= 2).alias("medium"), F.count_if(s >= 3).alias("high"), F.count_if(s >= 4).alias("very_high"), active.alias("active"))
+    n = cards.groupBy(*group).agg(F.count("*").alias("n"), F.count_if(s >= 3).alias("medium"), F.count_if(s >= 4).alias("high"), F.count_if(s >= 5).alias("very_high"), active.alias("active"))
     c = F.col
     return n.withColumns({"budget": node_budget(c("n"), c("medium"), c("high"), c("active")), "budget_wide": node_budget_wide(c("n"), c("medium"), c("high"), c("very_high"), c("active"))})
 

@@ -44,7 +44,8 @@ def token_totals(table):
     return table("documents").select("source", "lang", n.alias("t")).groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("t").alias("n_tokens"), F.max("t").alias("most"))
 
 
-@query(f"""SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+')), lambda w: length(w) > 2 AND NOT list_contains([{', '.join(f"'{w}'" for w in T.STOP_WORDS)}], w))), ' ') AS words FROM documents""")
+@query("""SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+')), lambda w: length(w) > 2 AND NOT list_contains(string_split(
+'the a an and or but to of for in on at by with from is are was were be been being that this these those his her their them he she they it as into over under after before during while through about because when then than very more most just still', ' '), w))), ' ') AS words FROM documents""")
 def keyword_sets(table):
     return table("documents").select("doc_id", F.array_join(T.keyword_set("text", F.col("lang")), " ").alias("words"))
 
@@ -181,13 +182,13 @@ def theta_mini_arc(table):
     return both.where(((gap <= 2) & (F.col("ta") == F.col("event_type"))) | ((F.col("ta") == "purchase") & F.col("event_type").isin("purchase", "signup"))).select("a", F.col("event_id").alias("b"))
 
 
-@query("""WITH f AS (SELECT source, min_by(lower(substr(text, 1, 5)), doc_id) AS quote FROM documents GROUP BY source), d AS (SELECT doc_id, source, lower(text) AS body FROM documents)
-SELECT doc_id, quote, (length(body) - length(replace(body, quote, ''))) // length(quote) AS n FROM d JOIN f USING (source) WHERE contains(body, quote)""")
+@query("""WITH q AS (SELECT DISTINCT item_id, unnest(string_split(text, chr(10))) AS quote FROM benchmark)
+SELECT doc_id, item_id, quote, (length(text) - length(replace(text, quote, ''))) // length(quote) AS n FROM documents JOIN q ON quote <> '' AND contains(text, quote)""")
 def substring_quotes(table):
-    docs = table("documents").select("doc_id", "source", F.lower("text").alias("body"))
-    opening = table("documents").groupBy("source").agg(F.min_by(F.lower(T.excerpt("text", 5)), "doc_id").alias("quote"))
-    times = ((F.length("body") - F.length(F.replace("body", F.col("quote"), F.lit("")))) / F.length("quote")).cast("long")
-    return matching.substring_quotes(docs, "body", opening, "quote", ["source"]).select("doc_id", "quote", times.alias("n"))
+    """Which lines of the benchmark's texts stand in which documents, and how often."""
+    quotes = table("benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("quote")).distinct()
+    times = ((F.length("text") - F.length(F.replace("text", F.col("quote"), F.lit("")))) / F.length("quote")).cast("long")
+    return matching.substring_quotes(table("documents").select("doc_id", "text"), "text", quotes, "quote", []).select("doc_id", "item_id", "quote", times.alias("n"))
 
 
 _PLACE = "SELECT doc_id, source, o, max(o) OVER (PARTITION BY source) AS m FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS o FROM documents)"
@@ -218,15 +219,18 @@ def coverage_window_best(table):
 
 
 _NODES = """n AS (SELECT l_orderkey AS role, (l_linenumber * 10000000 + l_partkey) * 100000 + l_suppkey AS node_id, l_suppkey AS scene_id, CAST(l_linenumber * 2 + l_suppkey % 3 AS BIGINT) AS scene_order, CASE WHEN l_returnflag = 'R' THEN 'core' ELSE 'supporting' END AS importance,
-CASE WHEN l_linestatus = 'O' THEN 'g' ELSE '' END AS goal, CASE WHEN l_quantity > 25 THEN 'r' ELSE '' END AS res, CASE WHEN l_discount > 0.05 THEN 'u' ELSE '' END AS issue, CAST(l_quantity AS INTEGER) % 4 AS q FROM lineitem)"""
+CASE WHEN l_linestatus = 'O' THEN 'g' ELSE '' END AS goal, CASE WHEN l_quantity > 25 THEN 'r' ELSE '' END AS res, CASE WHEN l_discount > 0.05 THEN 'u' ELSE '' END AS issue, CAST(l_partkey % 100 AS INTEGER) AS d, CAST(l_quantity AS INTEGER) % 4 AS q FROM lineitem)"""
 
 
-@query(f"""WITH {_NODES}, s AS (SELECT *, 2 * (importance = 'core')::INT + (goal <> '')::INT + (res <> '')::INT + (issue <> '')::INT + (q >= 2)::INT AS sal, max(scene_order) OVER (PARTITION BY role) AS m FROM n),
+_PAIRS = """s AS (SELECT *, 2 * (importance = 'core')::INT + (goal <> '')::INT + (res <> '')::INT + (issue <> '')::INT + (d >= 80)::INT + (q >= 2)::INT AS sal, importance <> 'core' AND goal = '' AND res = '' AND issue = '' AND d < 70 AS thin, max(scene_order) OVER (PARTITION BY role) AS m FROM n),
 p AS (SELECT *, CASE WHEN scene_order / m <= 0.34 THEN 'early' WHEN scene_order / m <= 0.67 THEN 'middle' ELSE 'late' END AS phase FROM s),
-x AS (SELECT role, node_id AS prev_id, lead(node_id) OVER w AS next_id, greatest(0, lead(scene_order) OVER w - scene_order) AS gap, phase, lead(phase) OVER w AS phase2, importance = 'core' AS c1, lead(importance) OVER w = 'core' AS c2, sal, lead(sal) OVER w AS sal2, res, lead(goal) OVER w AS goal2, lead(res) OVER w AS res2, lead(issue) OVER w AS issue2 FROM p WINDOW w AS (PARTITION BY role ORDER BY scene_order, node_id))
-SELECT role, prev_id, next_id, gap AS scene_gap, CASE WHEN phase = phase2 THEN phase ELSE phase || '->' || phase2 END AS phase_label,
-CAST(2 * (c1 OR c2)::INT + (c1 AND c2)::INT + greatest(sal, sal2) + (res <> '')::INT + (goal2 <> '')::INT + (res2 <> '')::INT + (issue2 <> '')::INT + (phase <> phase2)::INT + (gap BETWEEN 2 AND 12)::INT - (NOT c1 AND NOT c2)::INT - (gap > 12)::INT - (gap <= 1 AND phase = phase2)::INT - (sal <= 1 AND sal2 <= 1)::INT AS BIGINT) AS pair_score
-FROM x WHERE next_id IS NOT NULL""")
+x AS (SELECT role, node_id AS prev_id, lead(node_id) OVER w AS next_id, scene_order AS prev_order, lead(scene_order) OVER w AS next_order, greatest(0, lead(scene_order) OVER w - scene_order) AS gap, phase, lead(phase) OVER w AS phase2, importance = 'core' AS c1, lead(importance) OVER w = 'core' AS c2, sal, lead(sal) OVER w AS sal2, thin, lead(thin) OVER w AS thin2, res, lead(goal) OVER w AS goal2, lead(res) OVER w AS res2, lead(issue) OVER w AS issue2 FROM p WINDOW w AS (PARTITION BY role ORDER BY scene_order, node_id)),
+pairs AS (SELECT role, prev_id, next_id, prev_order, next_order, gap AS scene_gap, CASE WHEN phase = phase2 THEN phase ELSE phase || '->' || phase2 END AS phase_label, phase AS prev_phase, phase2 AS next_phase, c1 AS prev_core, c2 AS next_core, res, goal2, res2, issue2,
+CAST(2 * (c1 OR c2)::INT + (c1 AND c2)::INT + greatest(sal, sal2) + (res <> '')::INT + (goal2 <> '')::INT + (res2 <> '')::INT + (issue2 <> '')::INT + (phase <> phase2)::INT + (gap BETWEEN 2 AND 12)::INT - (NOT c1 AND NOT c2)::INT - (gap > 12)::INT - (gap <= 1 AND phase = phase2)::INT - (thin AND thin2)::INT AS BIGINT) AS pair_score
+FROM x WHERE next_id IS NOT NULL)"""
+
+
+@query(f"WITH {_NODES}, {_PAIRS} SELECT role, prev_id, next_id, scene_gap, phase_label, pair_score FROM pairs")
 def transition_pairs(table):
     return sequence.transition_pairs(_nodes(table), ["role"]).select("role", "prev_id", "next_id", F.col("scene_gap").cast("long").alias("scene_gap"), "phase_label", F.col("pair_score").cast("long").alias("pair_score"))
 
@@ -235,13 +239,13 @@ def _nodes(table):
     some = lambda cond, x: F.when(F.expr(cond), x).otherwise("")
     return table("lineitem").select(
         F.col("l_orderkey").alias("role"), ((F.col("l_linenumber").cast("long") * 10000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("node_id"), F.col("l_suppkey").alias("scene_id"), (F.col("l_linenumber") * 2 + F.col("l_suppkey") % 3).alias("scene_order"), F.lit(0).alias("beat_index"), F.when(F.col("l_returnflag") == "R", "core").otherwise("supporting").alias("importance"),
-        some("l_linestatus = 'O'", "g").alias("goal_state"), some("l_quantity > 25", "r").alias("resulting_state"), some("l_discount > 0.05", "u").alias("unresolved_issue"), F.lit("").alias("salient_development"), (F.col("l_quantity").cast("int") % 4).alias("n_quotes"),
+        some("l_linestatus = 'O'", "g").alias("goal_state"), some("l_quantity > 25", "r").alias("resulting_state"), some("l_discount > 0.05", "u").alias("unresolved_issue"), F.repeat(F.lit("d"), (F.col("l_partkey") % 100).cast("int")).alias("salient_development"), (F.col("l_quantity").cast("int") % 4).alias("n_quotes"),
     )
 
 
-@query("""SELECT doc_id, k FROM (SELECT doc_id, lower(substr(text, 1, 12)) AS k, row_number() OVER (PARTITION BY source, lower(substr(text, 1, 12)) ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
+@query(r"""SELECT doc_id, md5(k) AS k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY source, k ORDER BY doc_id) AS n FROM (SELECT doc_id, source, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\x{4E00}-\x{9FFF}]+', ' ', 'g')) AS k FROM documents)) WHERE n = 1""")
 def dedup_first(table):
-    rows = table("documents").select("doc_id", "source", F.lower(T.excerpt("text", 12)).alias("k"))
+    rows = table("documents").select("doc_id", "source", F.md5(T.name_key("text").cast("binary")).alias("k"))
     return sequence.first_of_equals(rows, ["source", "k"], ["doc_id"]).select("doc_id", "k")
 
 
@@ -322,7 +326,7 @@ def shortlist_capped(table):
 _ROLES = "CASE event_type WHEN 'click' THEN 'foreground' WHEN 'view' THEN 'active' WHEN 'purchase' THEN 'indirect' ELSE 'absent' END"
 
 
-@query(f"""WITH c AS (SELECT user_id, CAST(floor(value) AS BIGINT) % 6 AS s, {_ROLES} AS r FROM events), n AS (SELECT user_id, count(*) AS n, count(*) FILTER (s >= 2) AS medium, count(*) FILTER (s >= 3) AS high, count(*) FILTER (s >= 4) AS very_high, count(*) FILTER (r IN ('foreground', 'active')) AS active FROM c GROUP BY user_id)
+@query(f"""WITH c AS (SELECT user_id, CAST(floor(value) AS BIGINT) % 6 AS s, {_ROLES} AS r FROM events), n AS (SELECT user_id, count(*) AS n, count(*) FILTER (s >= 3) AS medium, count(*) FILTER (s >= 4) AS high, count(*) FILTER (s >= 5) AS very_high, count(*) FILTER (r IN ('foreground', 'active')) AS active FROM c GROUP BY user_id)
 SELECT *, least(14, 9 + (n >= 18)::BIGINT + (n >= 30)::BIGINT + (medium >= 8)::BIGINT + (high >= 5)::BIGINT + (active >= 12)::BIGINT) AS budget, least(24, 20 + (n >= 18)::BIGINT + (n >= 28)::BIGINT + (n >= 40)::BIGINT + (medium >= 10)::BIGINT + (high >= 8)::BIGINT + (very_high >= 5)::BIGINT + (active >= 16)::BIGINT) AS budget_wide FROM n""")
 def node_budgets(table):
     part = F.when(F.col("event_type") == "click", "foreground").when(F.col("event_type") == "view", "active").when(F.col("event_type") == "purchase", "indirect").otherwise("absent")
@@ -337,11 +341,11 @@ def rank_scores(table):
     return table("lineitem").select("l_orderkey", "l_linenumber", score.alias("rank_score"))
 
 
-@query("""SELECT event_id, greatest(1, least(5, coalesce(CAST(round_even(TRY_CAST(s AS DOUBLE), 0) AS INTEGER), 1))) AS score, CASE WHEN t IN ('click', 'view') THEN t ELSE 'other' END AS kind, a IN ('true', 'yes') OR a = 'mostly true' AS verdict
-FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(floor(value) / 2 AS VARCHAR) END AS s, event_type AS t, CASE event_type WHEN 'click' THEN 'true' WHEN 'view' THEN 'yes' WHEN 'error' THEN 'mostly true' ELSE 'false' END AS a FROM events)""")
+@query("""SELECT event_id, greatest(1, least(5, coalesce(CAST(round_even(TRY_CAST(s AS DOUBLE), 0) AS INTEGER), 1))) AS score, CASE WHEN t IN ('click', 'view') THEN t ELSE 'other' END AS kind, CASE WHEN a IN ('true', 'yes', '1') THEN true WHEN a IN ('false', 'no', '0') THEN false ELSE contains(a, 'true') AND NOT contains(a, 'false') END AS verdict
+FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'n/a' ELSE CAST(floor(value) / 2 AS VARCHAR) END AS s, event_type AS t, CASE event_type WHEN 'click' THEN 'true.' WHEN 'view' THEN 'yes!' WHEN 'signup' THEN 'yes' WHEN 'error' THEN 'mostly true' ELSE 'no' END AS a FROM events)""")
 def judged_values(table):
     s = F.when(F.col("event_id") % 5 == 0, "n/a").otherwise((F.floor("value") / 2).cast("string"))
-    answer = F.when(F.col("event_type") == "click", "True.").when(F.col("event_type") == "view", "YES").when(F.col("event_type") == "error", "mostly true").otherwise("No")
+    answer = F.when(F.col("event_type") == "click", "True.").when(F.col("event_type") == "view", "yes!").when(F.col("event_type") == "signup", " YES ").when(F.col("event_type") == "error", "mostly true").otherwise("No")
     return table("events").select("event_id", V.score_clamp(s).alias("score"), V.enum_clamp(F.upper("event_type"), ["click", "view"], "other").alias("kind"), V.parse_bool(answer).alias("verdict"))
 
 
@@ -402,12 +406,26 @@ def milestone_select_wide(table):
 
 
 def _candidate_rows(table, role="l_partkey % 500"):
-    return table("lineitem").select(F.expr(role).alias("role"), F.col("l_suppkey").cast("string").alias("scene_id"), (F.col("l_orderkey") % 97 + 1).alias("scene_order"), F.col("l_linenumber").alias("beat_index"), (F.col("l_quantity") % 9).cast("int").alias("rank"), F.when(F.col("l_returnflag") == "R", "other").otherwise("career_move").alias("change_type"), (F.col("l_linenumber") % 2).alias("n_quotes"), "l_orderkey")
+    return table("lineitem").select(F.expr(role).alias("role"), F.col("l_suppkey").cast("string").alias("scene_id"), (F.col("l_orderkey") % 97 + 1).alias("scene_order"), F.col("l_linenumber").alias("beat_index"), (F.col("l_quantity") % 9).cast("int").alias("rank"), (F.col("l_quantity") % 7).cast("int").alias("candidate_score"), F.when(F.col("l_returnflag") == "R", "other").otherwise("career_move").alias("change_type"), (F.col("l_linenumber") % 2).alias("n_quotes"), "l_orderkey")
 
 
-@query()
+_CANDIDATES = """SELECT l_partkey % 500 AS role, CAST(l_suppkey AS VARCHAR) AS scene_id, l_orderkey % 97 + 1 AS scene_order, l_linenumber AS beat_index, CAST(l_quantity % 9 AS INTEGER) AS rank, CAST(l_quantity % 7 AS INTEGER) AS candidate_score,
+CASE WHEN l_returnflag = 'R' THEN 'other' ELSE 'career_move' END AS change_type, l_linenumber % 2 AS n_quotes, l_orderkey FROM lineitem"""
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT *, max(scene_order) OVER (PARTITION BY role) AS m FROM ({_CANDIDATES})),
+u AS (SELECT *, CASE WHEN m <= 1 THEN 2 WHEN (greatest(1, scene_order) - 1) / greatest(1, m - 1) < 0.34 THEN 1 WHEN (greatest(1, scene_order) - 1) / greatest(1, m - 1) < 0.67 THEN 2 ELSE 3 END AS third,
+      row_number() OVER (PARTITION BY role ORDER BY rank DESC, scene_order DESC, beat_index DESC, l_orderkey, scene_id, candidate_score, change_type, n_quotes) AS i FROM c WHERE change_type <> 'other' OR n_quotes > 0),
+q AS (SELECT role, CASE WHEN count(DISTINCT third) = 3 THEN 3 ELSE 2 END AS quota FROM u GROUP BY role),
+a AS (SELECT role, phase, i, scene_id, scene_id || '/' || beat_index AS place, row_number() OVER (PARTITION BY role ORDER BY phase, i) AS k FROM (SELECT *, third AS phase FROM u UNION ALL SELECT *, 4 AS phase FROM u)),
+r AS (SELECT role, 0::BIGINT AS k, 0 AS phase, 0 AS n, []::BIGINT[] AS kept, []::VARCHAR[] AS places, []::VARCHAR[] AS scenes FROM q
+      UNION ALL SELECT role, k, phase, n + f::INT, CASE WHEN f THEN list_append(kept, i) ELSE kept END, CASE WHEN f THEN list_append(places, place) ELSE places END, CASE WHEN f THEN list_append(scenes, scene_id) ELSE scenes END
+      FROM (SELECT *, len(kept) < 14 AND NOT list_contains(places, place) AND len(list_filter(scenes, lambda x: x = scene_id)) < 2 AND (phase = 4 OR n < quota) AS f
+            FROM (SELECT r.role, a.k, a.phase, CASE WHEN a.phase = r.phase THEN r.n ELSE 0 END AS n, kept, places, scenes, a.i, a.place, a.scene_id, quota FROM r JOIN a ON a.role = r.role AND a.k = r.k + 1 JOIN q ON q.role = r.role))),
+f AS (SELECT role, unnest(arg_max(kept, k)) AS i FROM r GROUP BY role)
+SELECT role, scene_id, scene_order, beat_index, rank, candidate_score, change_type, n_quotes, l_orderkey FROM u JOIN f USING (role, i)""")
 def prune_candidates(table):
-    return folds.per_role(_candidate_rows(table), ["role"], folds.prune, ["scene_order", "beat_index", "l_orderkey"])
+    return folds.per_role(_candidate_rows(table), ["role"], folds.prune, ["scene_order", "beat_index", "l_orderkey", "scene_id", "candidate_score", "change_type", "n_quotes"])
 
 
 @query()
@@ -418,13 +436,37 @@ def repair_nodes(table):
     return folds.per_role(_candidate_rows(table, "l_partkey"), ["role"], fold, ["scene_order", "beat_index", "l_orderkey"])
 
 
-@query()
+def _important_sql() -> str:
+    """The picks one after the other: across thirds, not trivial, early to middle, middle to late, one of each third, then the best left."""
+    fits = ["near AND prev_phase <> next_phase", "near AND scene_gap >= 2", "near AND phase_label = 'early->middle'", "near AND phase_label = 'middle->late'"]
+    fits += [f"near AND (phase_label = '{b}' OR prev_phase = '{b}')" for b in ("early", "middle", "late")] + ["true"] * 4
+    steps = ["k0 AS MATERIALIZED (SELECT role, i FROM m WHERE false)"]
+    for n, fit in enumerate(fits, 1):
+        room = "" if n <= 4 else f" AND (SELECT count(*) FROM k{n - 1} k WHERE k.role = m.role) < {'4' if n <= 7 else 'least(4, pairs)'}"
+        steps.append(f"k{n} AS MATERIALIZED (SELECT * FROM k{n - 1} UNION ALL SELECT role, arg_max(i, key) FROM m WHERE pool AND {fit} AND NOT EXISTS (SELECT 1 FROM k{n - 1} k WHERE k.role = m.role AND k.i = m.i){room} GROUP BY role)")
+    return f"""WITH {_NODES}, {_PAIRS},
+g AS (SELECT *, res <> '' OR goal2 <> '' OR res2 <> '' OR issue2 <> '' AS anchored, row_number() OVER (PARTITION BY role ORDER BY prev_order, prev_id) AS i, count(*) OVER (PARTITION BY role) AS pairs FROM pairs),
+h AS (SELECT *, anchored AND scene_gap BETWEEN 1 AND 6 AS near, scene_gap <= CASE WHEN phase_label = 'early->late' THEN 6 ELSE 10 END AND (scene_gap > 0 OR anchored) AS usable FROM g),
+m AS MATERIALIZED (SELECT *, CASE WHEN bool_or(usable AND near) OVER (PARTITION BY role) THEN usable AND near WHEN bool_or(usable) OVER (PARTITION BY role) THEN usable ELSE true END AS pool,
+     (anchored::INT, (scene_gap BETWEEN 1 AND 6)::INT, (scene_gap <> 0)::INT, (scene_gap < 8)::INT, pair_score, (prev_phase <> next_phase AND scene_gap <= 8)::INT, prev_core::INT, next_core::INT, -scene_gap, -i) AS key FROM h),
+{', '.join(steps)},
+z AS (SELECT role, i, row_number() OVER (PARTITION BY role ORDER BY i) AS n FROM k{len(fits)})
+SELECT role, prev_id, next_id, prev_order, next_order, scene_gap, phase_label, prev_phase, next_phase, pair_score, anchored, prev_core, next_core FROM m JOIN z USING (role, i) WHERE n <= 4"""
+
+
+@query(_important_sql())
 def important_pairs(table):
     pairs = sequence.transition_pairs(_nodes(table), ["role"])
-    return folds.per_role(pairs, ["role"], lambda rows: [rows[i] for i in folds.important_pairs(rows)], ["prev_order", "prev_id"])
+    out = folds.per_role(pairs, ["role"], lambda rows: [rows[i] for i in folds.important_pairs(rows)], ["prev_order", "prev_id"])
+    return out.withColumns({c: F.col(c).cast("long") for c in ("prev_order", "next_order", "scene_gap", "pair_score")})
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT g.l_orderkey, g.l_linenumber AS gi, p.l_linenumber AS pi, 1 - abs(g.l_quantity - p.l_quantity) / 50 AS score FROM lineitem g JOIN lineitem p USING (l_orderkey) WHERE g.l_returnflag <> 'N' AND p.l_returnflag <> 'R'),
+s AS (SELECT DISTINCT l_orderkey, gi, pi, score FROM c WHERE score >= 0.35), o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, gi DESC, pi DESC) AS k FROM s),
+r AS (SELECT l_orderkey, 0::BIGINT AS k, []::INTEGER[] AS gs, []::INTEGER[] AS ps, []::STRUCT(gi INTEGER, pi INTEGER, score DOUBLE)[] AS kept FROM (SELECT DISTINCT l_orderkey FROM o)
+      UNION ALL SELECT r.l_orderkey, r.ok, CASE WHEN f THEN list_append(gs, gi) ELSE gs END, CASE WHEN f THEN list_append(ps, pi) ELSE ps END, CASE WHEN f THEN list_append(kept, {gi: gi, pi: pi, score: score}) ELSE kept END
+      FROM (SELECT r.*, o.k AS ok, o.gi, o.pi, o.score, NOT list_contains(gs, o.gi) AND NOT list_contains(ps, o.pi) AS f FROM r JOIN o ON o.l_orderkey = r.l_orderkey AND o.k = r.k + 1) r)
+SELECT l_orderkey, x.gi AS gi, x.pi AS pi, x.score AS score FROM (SELECT l_orderkey, unnest(arg_max(kept, k)) AS x FROM r GROUP BY l_orderkey)""")
 def greedy_match(table):
     rows = table("lineitem").select("l_orderkey", F.col("l_linenumber").alias("i"), "l_quantity", "l_returnflag")
     gold, pred = rows.where("l_returnflag <> 'N'").select("l_orderkey", F.col("i").alias("gi"), F.col("l_quantity").alias("a")), rows.where("l_returnflag <> 'R'").select("l_orderkey", F.col("i").alias("pi"), F.col("l_quantity").alias("b"))
@@ -444,10 +486,18 @@ def fuzzy_names(table):
     return matching.fuzzy_names(left, right, ["n"], "a", "b")
 
 
-@query()
+@query(rf"""WITH RECURSIVE t AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '{_WS}', ' ', 'g')) AS x FROM conversations),
+r AS (SELECT conv_id, turn, '- none' || chr(10) || 'user: ' || x AS prompt FROM t WHERE turn = 0
+      UNION ALL SELECT t.conv_id, t.turn, '- ' || b.role || ': ' || b.x || chr(10) || '- model: ' || substr(sha256(r.prompt), 1, 16) || chr(10) || 'user: ' || t.x FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn + 1 JOIN t b ON b.conv_id = r.conv_id AND b.turn = r.turn)
+SELECT conv_id, turn, prompt, substr(sha256(prompt), 1, 16) AS answer FROM r""")
 def dialogue_fold(table):
-    turns = table("conversations").where("role = 'user'")
-    return dialogue.play_episodes(turns, ["conv_id"], "turn", "text")
+    """Every turn is answered after a history of the turn before and the model's own answer to it."""
+    turns = table("conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    line = lambda speaker, text, fill: F.struct(speaker.alias("speaker"), text.alias("text"), F.lit(fill).cast("string").alias("fill_with"), (F.col("turn") - 1).alias("source_turn_index"))
+    before = F.array(line(F.lag("role").over(w), F.lag("text").over(w), None), line(F.lit("model"), F.lit(""), dialogue.ANSWER))
+    turns = turns.withColumn("history", F.when(F.col("turn") > 0, before))
+    return dialogue.play_episodes(turns, ["conv_id"], "turn", "text", "history")
 
 
 @query()

@@ -31,9 +31,28 @@ def test_text(spark):
     assert one(spark, T.public_scene_id("t"), t=s("0")) == "1"
     assert one(spark, T.public_scene_id("t"), t=s("12a")) == "12a"
     assert one(spark, T.speaker_names("t"), t=s("INTRO\nBARRY (V.O.)\nhello\nLENA\nBARRY\n")) == ["Intro", "Barry", "Lena"]
+    assert one(spark, T.speaker_names("t"), t=s("R2D2\n.LENA:\nA\nTHE MAN IN THE HAT\nO'NEIL\n")) == ["Lena", "O'Neil"]
     assert one(spark, T.bullets(F.array(F.lit(" "))), t=s("")) == "- none"
 
 
+def test_headings(spark):
+    from fabula.operators import beats
+
+    for line, expected in (("12 INT. HOUSE - DAY", True), ("EST. CITY", True), ("OMITTED", True), ("TITLE: ONE", True), ("FADE TO BLACK", False), ("LATER THAT DAY", False), ("INT HOUSE", False), ("INT. A", True), ("INT.:", False), ("Int. house", False)):
+        assert one(spark, T.is_slug_line("t"), t=s(line)) is expected and beats.is_slug(line) is expected, line
+
+
+def test_alias_score(spark):
+    def score(title, content, speakers, aliases):
+        names = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+        return one(spark, T.alias_score("a", "b", names(speakers), names(aliases)), a=s(title), b=s(content))
+
+    assert score("Barry goes", "nothing", [], ["Barry"]) == 3  # a word in the title alone is worth nothing
+    assert score("", "Barry waits", [], ["Barry Egan"]) == 1
+    assert score("", "barry", ["Barry"], ["Barry"]) == 3 + 1 + 4 + 2
+    assert score("", "", ["Barry Egan"], ["Barry"]) == 0 and score("", "", ["Barry"], ["Barry Egan"]) == 2
+
+
 def test_summary_length(spark):
     for n, expected in ((11, True), (12, False), (110, False), (111, True)):
         assert one(spark, T.summary_needs_repair("t", F.lit("en")), t=s(" ".join(["w"] * n))) is expected
@@ -47,7 +66,7 @@ def test_quotes(spark):
 def test_scores(spark):
     for raw, expected in (("7", 5), ("0", 1), (None, 1), ("2.5", 2), ("3.5", 4), ("x", 1)):
         assert one(spark, V.score_clamp(F.col("v")), v=s(raw)) == expected
-    for raw, expected in (("TRUE.", True), ("No", False), ("true or false", False), ("it is true", True), (None, False)):
+    for raw, expected in (("TRUE.", True), (" Yes ", True), ("yes.", False), ("1!", False), ("No", False), ("true or false", False), ("it is true", True), (None, False)):
         assert one(spark, V.parse_bool(F.col("v")), v=s(raw)) is expected
 
 

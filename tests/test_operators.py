@@ -99,10 +99,100 @@ def test_targets():
     assert sum(t.values()) == 12 and min(t.values()) >= 3
 
 
+def _card(order, score=3, part="active", scene=None, **fields):
+    return Card(scene or str(order), order, score, part, fields)
+
+
+def test_arcs():
+    love = lambda o, more="": _card(o, role_in_scene=f"a kiss {more}")
+    assert folds.same_arc(love(1, "here now"), love(7, "other words"))
+    assert not folds.same_arc(love(1), love(8))
+    assert not folds.same_arc(_card(1, role_in_scene="a kiss, comfort one two"), _card(6, role_in_scene="some kiss three four"))  # support in either card
+    a, b = _card(1, role_in_scene="secret alpha beta gamma"), _card(5, role_in_scene="alpha delta epsilon")
+    assert folds.same_arc(a, b)  # a reveal in one card is enough
+    assert not folds.same_arc(_card(1, role_in_scene="alpha beta gamma"), _card(5, role_in_scene="alpha beta gamma"))
+    assert folds.same_arc(_card(1, role_in_scene="alpha beta gamma"), _card(3, role_in_scene="alpha beta gamma"))
+
+
+def test_priority():
+    assert _card(1, 2, "foreground", role_in_scene="x").priority == (22, 2, 0, 2)
+    assert _card(1, 2, "active", role_in_scene="a kiss and comfort").strength == 20 + 1 + 4 - 4  # support doesn't waive what intimacy costs
+    assert _card(1, 0, "", role_in_scene="comfort and belief").strength == 4 + 8
+    assert _card(1, 0, "", role_in_scene="her family decides").strength == 7 + 4 + 2
+
+
+def test_novelty():
+    chosen = [_card(1, role_in_scene="alpha beta gamma"), _card(2, role_in_scene="alpha beta gamma")]
+    assert folds.novelty(_card(3, role_in_scene="alpha beta gamma"), []) == (0, 2, 1, 0)
+    assert folds.novelty(_card(3, role_in_scene="alpha beta gamma", goal_shift="alpha"), chosen) == (1, 1, 0, -2)
+    assert folds.novelty(_card(3, role_in_scene="alpha beta gamma"), chosen) == (0, 0, 0, -2)
+    assert folds.novelty(_card(9, role_in_scene="she decides to pick a window lock"), chosen) == (0, 2, 1, 0)
+
+
+def test_observers():
+    assert folds.weak_observer(_card(1, 3, role_in_scene="An Observer")) and not folds.weak_observer(_card(1, 4, role_in_scene="observer"))
+    assert not folds.weak_observer(_card(1, 3, milestone_reason="observer"))
+
+
+def test_rebalance_stops_at_the_neediest_third():
+    cards = [_card(o, 3) for o in (1, 2, 3)] + [_card(10, 4), _card(19, 3), _card(20, 3)]
+    chosen = cards[:3]
+    # late lacks most and has no strong card, so nothing is swapped although middle has one
+    assert folds.rebalance(chosen, cards, {"early": 1, "middle": 1, "late": 2}, 20) == chosen
+    assert [c.scene_order for c in folds.rebalance(chosen, cards, {"early": 1, "middle": 2, "late": 1}, 20)] == [2, 3, 10]
+
+
+def test_refine():
+    held = _card(5, 5, role_in_scene="comfort")
+    better = _card(6, 4, role_in_scene="comfort and belief")
+    assert folds.heuristic_judge(better, held) == "b" and folds.heuristic_judge(better, _card(5, 4, role_in_scene="comfort belief")) == "a"
+    assert folds.refine([held], [held, better], 1, 8) == [better]  # both are strong: the judge decides
+    assert folds.refine([held], [held, _card(6, 3, role_in_scene="comfort and belief")], 1, 8) == [held]
+    assert folds.refine([held], [held, better], 1, 0) == [held] and folds.refine([held], [held, better], 2, 8) == [held, better]
+
+
+def _node(order, beat=0, rank=5, scene=None, kind="x", quotes=1, **more):
+    return {"scene_id": scene or str(order), "scene_order": order, "beat_index": beat, "rank": rank, "candidate_score": rank, "change_type": kind, "n_quotes": quotes, **more}
+
+
+def test_prune_rules():
+    assert len(folds.prune([_node(1, 0), _node(1, 0, 9)])) == 1  # a beat once
+    assert [n["beat_index"] for n in folds.prune([_node(1, b, b) for b in range(4)])] == [2, 3]
+    # the last place is that of a dropped node, so places 1 and 2 are both early: two seats by quota, then the rest by rank
+    assert len(folds.prune([_node(1, b, scene=f"s{b}") for b in range(3)] + [_node(90, kind=" Other ", quotes=0)])) == 3
+    assert folds.prune([_node(3, kind="other", quotes=0)]) == [] and len(folds.prune([_node(None, None)])) == 1
+    many = [_node(o, 0, r) for o, r in zip(range(1, 31), range(30, 0, -1), strict=True)]
+    kept = [n["scene_order"] for n in folds.prune(many)]
+    assert kept == [1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 13, 21, 22, 23]
+
+
+def test_repair_rules():
+    nodes = [_node(2), _node(1)]
+    assert folds.repair(nodes, []) == nodes  # nothing to repair with
+    pool = [_node(o, 0, r) for o, r in ((10, 5), (11, 5), (50, 3), (90, 1))]
+    got = folds.repair([], pool)
+    assert [n["scene_order"] for n in got] == [10, 11, 50, 90]
+    got = folds.repair([_node(o, 0, 5, candidate_score=o) for o in range(1, 13)], [_node(30, 0, 1, candidate_score=0)])
+    assert len(got) == 9 and [n["scene_order"] for n in got] == [5, 6, 7, 8, 9, 10, 11, 12, 30][-9:]  # the least candidate scores of the fullest third go
+
+
+def test_important_pairs_rules():
+    def pair(gap, label="early", score=1, anchored=True, **more):
+        a, _, b = label.partition("->")
+        return {"scene_gap": gap, "phase_label": label, "prev_phase": a, "next_phase": b or a, "pair_score": score, "anchored": anchored, "prev_core": False, "next_core": False, **more}
+
+    assert folds.important_pairs([]) == []
+    assert folds.important_pairs([pair(0, anchored=False), pair(11)]) == [0, 1]  # none is usable: all may be
+    assert folds.important_pairs([pair(8, anchored=False), pair(3)]) == [1]  # anchored and near ones are the pool
+    assert folds.important_pairs([pair(9), pair(7, "early->late"), pair(10, anchored=False)]) == [0, 2]
+    rows = [pair(1, score=9), pair(2, "early->middle"), pair(3, "middle"), pair(4, "middle->late"), pair(5, "late"), pair(6, "late", 8)]
+    assert folds.important_pairs(rows) == [0, 1, 3, 5]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 20), st.integers(0, 3), st.integers(0, 9)), max_size=25))
 def test_prune_and_repair(rows):
-    nodes = [{"scene_id": str(o), "scene_order": o, "beat_index": b, "rank": r, "change_type": "x", "n_quotes": 1, "i": i} for i, (o, b, r) in enumerate(rows)]
+    nodes = [{"scene_id": str(o), "scene_order": o, "beat_index": b, "rank": r, "candidate_score": r, "change_type": "x", "n_quotes": 1, "i": i} for i, (o, b, r) in enumerate(rows)]
     kept = folds.prune(nodes)
     assert len(kept) <= 14 and all(sum(k["scene_id"] == n["scene_id"] for k in kept) <= 2 for n in kept)
     assert len(folds.repair(nodes[:3], nodes[3:])) <= 9

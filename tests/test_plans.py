@@ -97,12 +97,13 @@ def test_providers(spark):
 
 
 def test_dialogue(spark):
-    assert dialogue.render_history([{"speaker": "a", "fill_with": dialogue.ANSWER, "source_turn_index": 1}], {1: "hi"}) == [{"speaker": "a", "text": "hi"}]
-    with pytest.raises(KeyError):
-        dialogue.render_history([{"fill_with": dialogue.ANSWER, "source_turn_index": 1}], {})
-    turns = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "e int, turn_index int, text string")
-    got = dialogue.play_episodes(turns, ["e"]).orderBy("turn_index").collect()
-    assert got[0].prompt == "user: a" and got[1].prompt.startswith("user: a\nassistant: " + got[0].answer)
+    place = {"speaker": "a", "fill_with": dialogue.ANSWER, "source_turn_index": 1}
+    assert dialogue.render_history([place], {1: "hi"}) == [{"speaker": "a", "text": "hi", "source_turn_index": 1}]
+    assert [x["text"] for x in dialogue.render_history([place, {"text": " b  c "}], {})] == ["", "b c"]
+    rows = [(1, 2, "b", [("a", "", dialogue.ANSWER, 1), ("u", "x", None, None)]), (1, 1, "a", None)]
+    turns = spark.createDataFrame(rows, "e int, turn_index int, text string, history array<struct<speaker:string,text:string,fill_with:string,source_turn_index:int>>")
+    got = dialogue.play_episodes(turns, ["e"], history="history").orderBy("turn_index").collect()
+    assert got[0].prompt == "- none\nuser: a" and got[1].prompt == f"- a: {got[0].answer}\n- u: x\nuser: b"
 
 
 def test_status_stream(spark, tmp_path):
@@ -151,6 +152,7 @@ def test_repair_sees_all_nodes(spark):
     from fabula.plans import queries
 
     rows = [(i, 7, i, 1, 5.0, "R") for i in range(1, 97)] + [(i, 507, i, 1, 8.0, "R") for i in range(1, 9)]
+    rows += [(96, p, 300, 1, 1.0, "A") for p in (7, 507)]  # without candidates nothing would change
     lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string")
     got = [(r.role, r.scene_order) for r in queries.repair_nodes(lambda name: lines).collect()]
-    assert [r for r, _ in got].count(7) == 9 and [r for r, _ in got].count(507) == 8 and max(o for _, o in got) > 60
+    assert [r for r, _ in got].count(7) == 9 and [r for r, _ in got].count(507) == 9 and max(o for _, o in got) > 60
