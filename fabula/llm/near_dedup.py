@@ -40,7 +40,7 @@ MOST, UNION = 96, 64
 #: A level's largest size over the level's before, and how many parts there are for each that must be kept.
 STEP, SPARE = 1.4, 1.25
 #: Most members of a list that all others are held against in a turn, and words of a set's odd sketch.
-HUBS, ODD = 64, 8
+HUBS, ODD = 512, 8
 _ODD = [f"odd{k}" for k in range(ODD)]
 
 
@@ -204,42 +204,42 @@ def estimate(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def _estimated(percent: int):
-    """The pairs whose estimate is at least half of what is asked: from 64 hashes, a linked pair falls below with a probability under 1e-10."""
+    """Whether a pair's estimate is at least half of what is asked: from 64 hashes, a linked pair falls below with a probability under 1e-10."""
+    return lambda u, v: 200 * estimate(u, v) >= percent
 
-    def run(batches):
-        for batch in batches:
-            low = (batch.column(i) for i in (2, 3))
-            x, y = ([z.values.to_numpy(zero_copy_only=False).view(np.uint64) for z in c] for c in low)
-            keep = [200 * estimate(u, v) >= percent for u, v in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+def _confirmed(percent: int):
+    def fits(u: np.ndarray, v: np.ndarray) -> bool:
+        both = len(np.intersect1d(u, v, assume_unique=True))
+        return 100 * both >= percent * (len(u) + len(v) - both)
+
+    return fits
+
 
+def _kept(fits):
+    """The pairs whose two arrays (the third column, in either order) fit."""
 
-def _confirm(percent: int):
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = (z.values.to_numpy(zero_copy_only=False) for z in (x, y))
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * both >= percent * (len(u) + len(v) - both))
+            both = batch.column(2)
+            keep = [fits(*(x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in p.values)) for p in both]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}")), side)
-    return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+def _fitting(pairs: DataFrame, sets: DataFrame, column: str, fits) -> DataFrame:
+    """Those of the written pairs (a, b) whose arrays fit. Only the arrays that a pair needs travel, to the pair."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
+    both = sets.select("id", F.col(column).alias("x")).join(needed, "id").groupBy("a", "b").agg(F.collect_list("x").alias("both"))
+    return both.mapInArrow(_kept(fits), "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are near: by the union sketch, then by the full sets."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = cut(_beside(pairs, sets, "low").mapInArrow(_estimated(percent), "a long, b long"), "near")
-    return cut(_beside(near, sets, "shingles").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    near = cut(_fitting(pairs, sets, "low", _estimated(percent)), "near")
+    return cut(_fitting(near, sets, "shingles", _confirmed(percent)), "links")
 
 
 def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     words being runs without ASCII white space with A-Z lower-cased. text_hash is the row's xxhash64(text).
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, mb=2)
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     survey = cut(base.mapInArrow(_survey(shingle), f"id {kind}, th long, n long, f1 long, f2 long, part int, counts binary"), "survey")
@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     while not (held := _open(rest, groups)).isEmpty():
         # Members outside a list's largest component meet all others, some of each list at a time, and leave: at last one component remains.
         order = F.xxhash64("rep", F.lit(turn))
-        hubs = held.where("lesser").groupBy("v", F.pmod(order, F.lit(min(4 << turn, HUBS)))).agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"))
+        slots = F.pmod(order, F.lit(min(8 << 2 * turn, HUBS)))
+        hubs = held.where("lesser").groupBy("v", slots).agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"))
         hubs = cut(hubs.select("h.rep").distinct(), "hubs")
         both = held.join(marks, "rep").select("v", "rep", "c", "n", *_ODD)
         first = both.join(hubs, "rep", "left_semi").select("v", F.col("rep").alias("a"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(o).alias(f"{o}_a") for o in _ODD))
