@@ -9,7 +9,8 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of the contracts: U+0020 and U+0009 to U+000D.
 ASCII_SPACE = (9, 10, 11, 12, 13, 32)
@@ -51,18 +52,21 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def own_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, known to the scratch() around the call."""
+def own_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A new path in the shared folder, known to the scratch() around the call (outer: to the one around that)."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append((spark, path))
+    if len(_scopes) > outer:
+        _scopes[-1 - outer].append((spark, path))
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back: later steps survive lost executors and don't run it again."""
+def cut(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """df written once to the shared folder and read back: later steps survive lost executors and don't run it again.
+
+    outer: the table outlives the scratch() around the call.
+    """
     spark = df.sparkSession
-    path = own_path(spark, name)
+    path = own_path(spark, name, outer)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._fabula_path = path
@@ -82,6 +86,17 @@ def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def text_hash(text: str) -> Column:
+    """What tells rows of one id apart by their text; null is as empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose id and text_hash are in gone (a written table: Catalyst broadcasts it while it is small, and texts then don't move)."""
+    keys = gone.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"))
+    return docs.join(keys, docs[id_col].eqNullSafe(F.col("_id")) & (text_hash(text_col) == F.col("_th")), "left_anti")
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 of a string column; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

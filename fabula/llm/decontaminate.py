@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_hash
+
 #: Words of a k-gram, and the most benchmark fingerprints that are broadcast (each row is some hundred bytes).
 GRAM, BROADCAST_ROWS = 6, 200_000
 
@@ -57,14 +59,14 @@ def _entries(items: DataFrame, window: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", one_in: int = 20) -> DataFrame:
-    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row for each row of docs: id, n_words, n_hit, n_items, items_sha256, contaminated, text_hash.
 
     A word is hit inside any occurrence of a window of `window` consecutive item words (all words of a shorter item);
     contaminated: n_hit > 0 and one_in * n_hit >= n_words.
     """
     if window < GRAM:
         raise ValueError(f"window must be {GRAM} words at least")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), words_of(text_col).alias("words"))
+    texts = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("th"), words_of(text_col).alias("words"))
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), words_of(item_text_col).alias("words")).where("size(words) > 0")
     items = items.withColumn("item", F.sha2(F.concat_ws(" ", "words"), 256))
     same_words = items.select("item", "words").dropDuplicates(["item"])
@@ -97,14 +99,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     spots = spots.select("id", "th", n_hit.alias("n_hit"), F.explode("items").alias("item")).join(items.select("item", "item_id"), "item")
     spots = spots.groupBy("id", "th").agg(F.first("n_hit").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("ids"))
     rows = texts.select("id", "th", F.size("words").cast("long").alias("n_words"))
-    out = rows.join(spots, rows["id"].eqNullSafe(spots["id"]) & rows["th"].eqNullSafe(spots["th"]), "left").select(rows["id"].alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
-    return out.select(id_col, "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.encode(F.concat_ws(",", "ids"), "UTF-8"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    out = rows.join(spots, rows["id"].eqNullSafe(spots["id"]) & rows["th"].eqNullSafe(spots["th"]), "left").select(rows["id"].alias(id_col), rows["th"].alias("text_hash"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    return out.select(id_col, "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.encode(F.concat_ws(",", "ids"), "UTF-8"), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "text_hash")
 
 
 def op8(spark, sf_dir) -> DataFrame:
     from .common import table
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 SQL = r"""

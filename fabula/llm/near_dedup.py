@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, drop_cut, mix, signed, texts_of, word_hashes
+from .common import bounded_batches, cut, mix, scratch, signed, text_hash, texts_of, word_hashes
 from .components import components
 
 #: Buckets of the table of shingle counts and its parts; the table is broadcast as one byte a bucket.
@@ -258,52 +258,53 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     words being runs without ASCII white space with A-Z lower-cased. text_hash is the row's xxhash64(text).
     """
     spark = docs.sparkSession
-    bounded_batches(spark, mb=2)
-    kind = dict(docs.dtypes)[id_col]
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
-    survey = cut(base.mapInArrow(_survey(shingle), f"id {kind}, th long, n long, f1 long, f2 long, part int, counts binary"), "survey")
-    bits = spark.sparkContext.broadcast(bucket_bits(survey))
-    rows = survey.where("part IS NULL").select("id", "th", "n", "f1", "f2")
-    keyed = base.mapInArrow(_keys(shingle, percent, bits), f"id {kind}, th long, n long, f1 long, f2 long, keys array<long>").where("n > 0")
-    sets = keyed.groupBy("f1", "f2", "n").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("at"), F.first("keys").alias("keys"))
-    sets = cut(sets.withColumn("rep", F.monotonically_increasing_id()), "distinct")  # written, so that the numbers stay
-
-    keys = sets.select(F.explode("keys").alias("v"), "rep")
-    shared = cut(keys.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    lists = cut(keys.join(shared, "v"), "lists")
-    wanted = cut(sets.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "at"), "wanted")
-    full = base.join(wanted, base["id"].eqNullSafe(wanted["at.id"]) & (base["th"] == wanted["at.th"])).select("rep", "text").dropDuplicates(["rep"])
-    full = cut(full.mapInArrow(_sets(shingle), f"id long, n long, {', '.join(f'{o} long' for o in _ODD)}, low array<long>, shingles array<long>"), "sets")
-
-    # At first each document meets one: of its lists' most central members, which are in the largest lists, the one it meets most often.
-    ranked = lists.join(lists.groupBy("rep").agg(F.sum("size").alias("score")), "rep")
-    central = ranked.groupBy("v").agg(F.max(F.struct("score", "rep")).alias("c")).select("v", F.col("c.rep").alias("hub"))
-    met = lists.join(central, "v").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("met")).groupBy("rep").agg(F.max(F.struct("met", "hub")).alias("c"))
-    groups = components(_linked(met.select(F.col("rep").alias("a"), F.col("c.hub").alias("b")), full, percent))
-    marks = full.select(F.col("id").alias("rep"), "n", *_ODD)
-    rest, turn = lists.select("v", "rep"), 0
-    while not (held := _open(rest, groups)).isEmpty():
-        # Members outside a list's largest component meet all others, some of each list at a time, and leave: at last one component remains.
-        order = F.xxhash64("rep", F.lit(turn))
-        slots = F.pmod(order, F.lit(min(8 << 2 * turn, HUBS)))
-        hubs = held.where("lesser").groupBy("v", slots).agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"))
-        hubs = cut(hubs.select("h.rep").distinct(), "hubs")
-        both = held.join(marks, "rep").select("v", "rep", "c", "n", *_ODD)
-        first = both.join(hubs, "rep", "left_semi").select("v", F.col("rep").alias("a"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(o).alias(f"{o}_a") for o in _ODD))
-        odd = " + ".join(f"bit_count({o} ^ {o}_a)" for o in _ODD)
-        near = both.join(first, "v").where(f"c <> d AND 100 * least(n, m) >= {percent} * greatest(n, m) AND ({100 + percent}) * ({odd}) <= ({100 - percent}) * (n + m)")
-        found = _linked(near.select("a", F.col("rep").alias("b")), full, percent)
-        rest = held.join(hubs, "rep", "left_anti").select("v", "rep")
-        if not found.isEmpty():
-            groups = components(found.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        turn += 1
-    drop_cut(lists, full, shared, wanted)
-    ids = sets.select("f1", "f2", "n", "rep", "least")
-    roots = ids.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", "least", F.coalesce("component", "rep").alias("root"))
-    least = ids.join(groups.select(F.col("id").alias("rep"), "component").unionByName(groups.select(F.col("component").alias("rep"), "component").distinct()), "rep").groupBy("component").agg(F.min("least").alias("of_all"))
-    roots = roots.join(least, F.col("root") == F.col("component"), "left").select("f1", "f2", "n", F.when(F.col("component").isNotNull(), F.col("of_all")).otherwise(F.col("least")).alias("least"), F.lit(True).alias("known"))
-    out = rows.join(roots, ["f1", "f2", "n"], "left").select("id", "n", F.when(F.col("known"), F.col("least")).otherwise(F.col("id")).alias("component"), "th")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"), F.col("th").alias("text_hash"))
+    with scratch():
+        bounded_batches(spark, mb=2)
+        kind = dict(docs.dtypes)[id_col]
+        base = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
+        survey = cut(base.mapInArrow(_survey(shingle), f"id {kind}, th long, n long, f1 long, f2 long, part int, counts binary"), "survey")
+        bits = spark.sparkContext.broadcast(bucket_bits(survey))
+        rows = survey.where("part IS NULL").select("id", "th", "n", "f1", "f2")
+        keyed = base.mapInArrow(_keys(shingle, percent, bits), f"id {kind}, th long, n long, f1 long, f2 long, keys array<long>").where("n > 0")
+        sets = keyed.groupBy("f1", "f2", "n").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("at"), F.first("keys").alias("keys"))
+        sets = cut(sets.withColumn("rep", F.monotonically_increasing_id()), "distinct")  # written, so that the numbers stay
+
+        keys = sets.select(F.explode("keys").alias("v"), "rep")
+        shared = cut(keys.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+        lists = cut(keys.join(shared, "v"), "lists")
+        wanted = cut(sets.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "at"), "wanted")
+        full = base.join(wanted, base["id"].eqNullSafe(wanted["at.id"]) & (base["th"] == wanted["at.th"])).select("rep", "text").dropDuplicates(["rep"])
+        full = cut(full.mapInArrow(_sets(shingle), f"id long, n long, {', '.join(f'{o} long' for o in _ODD)}, low array<long>, shingles array<long>"), "sets")
+
+        # At first each document meets one: of its lists' most central members, which are in the largest lists, the one it meets most often.
+        ranked = lists.join(lists.groupBy("rep").agg(F.sum("size").alias("score")), "rep")
+        central = ranked.groupBy("v").agg(F.max(F.struct("score", "rep")).alias("c")).select("v", F.col("c.rep").alias("hub"))
+        met = lists.join(central, "v").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("met")).groupBy("rep").agg(F.max(F.struct("met", "hub")).alias("c"))
+        groups = components(_linked(met.select(F.col("rep").alias("a"), F.col("c.hub").alias("b")), full, percent))
+        marks = full.select(F.col("id").alias("rep"), "n", *_ODD)
+        rest, turn = lists.select("v", "rep"), 0
+        while not (held := _open(rest, groups)).isEmpty():
+            # Members outside a list's largest component meet all others, some of each list at a time, and leave: at last one component remains.
+            order = F.xxhash64("rep", F.lit(turn))
+            slots = F.pmod(order, F.lit(min(8 << 2 * turn, HUBS)))
+            hubs = held.where("lesser").groupBy("v", slots).agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"))
+            hubs = cut(hubs.select("h.rep").distinct(), "hubs")
+            both = held.join(marks, "rep").select("v", "rep", "c", "n", *_ODD)
+            first = both.join(hubs, "rep", "left_semi").select("v", F.col("rep").alias("a"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(o).alias(f"{o}_a") for o in _ODD))
+            odd = " + ".join(f"bit_count({o} ^ {o}_a)" for o in _ODD)
+            near = both.join(first, "v").where(f"c <> d AND 100 * least(n, m) >= {percent} * greatest(n, m) AND ({100 + percent}) * ({odd}) <= ({100 - percent}) * (n + m)")
+            found = _linked(near.select("a", F.col("rep").alias("b")), full, percent)
+            rest = held.join(hubs, "rep", "left_anti").select("v", "rep")
+            if not found.isEmpty():
+                groups = components(found.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+            turn += 1
+        ids = sets.select("f1", "f2", "n", "rep", "least")
+        roots = ids.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n", "least", F.coalesce("component", "rep").alias("root"))
+        least = ids.join(groups.select(F.col("id").alias("rep"), "component").unionByName(groups.select(F.col("component").alias("rep"), "component").distinct()), "rep").groupBy("component").agg(F.min("least").alias("of_all"))
+        roots = roots.join(least, F.col("root") == F.col("component"), "left").select("f1", "f2", "n", F.when(F.col("component").isNotNull(), F.col("of_all")).otherwise(F.col("least")).alias("least"), F.lit(True).alias("known"))
+        out = rows.join(roots, ["f1", "f2", "n"], "left").select("id", "n", F.when(F.col("known"), F.col("least")).otherwise(F.col("id")).alias("component"), "th")
+        out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"), F.col("th").alias("text_hash"))
+        return cut(out, "near-duplicates", outer=True)
 
 
 def op9(spark, sf_dir) -> DataFrame:
