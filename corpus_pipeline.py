@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages over documents, each calling one operator of fabula.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns
-of docs. Rows are kept or dropped whole; null texts count as empty, empty tables stay empty, further columns pass
-through, and of repeated rows (equal id and text) one stays from exact dedup on.
+of docs. Rows are kept or dropped whole, each by its own text where rows share an id; null texts count as empty, empty
+tables stay empty, further columns pass through, and of repeated rows (equal id and text) one stays from exact dedup on.
 """
 
 from __future__ import annotations
@@ -11,12 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fabula.llm import bpe, decontaminate, exact_dedup, near_dedup, toxicity
-from fabula.llm.common import cut, table
-
-
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids."""
-    return docs.join(ids.select(F.col("doc_id").alias("_kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+from fabula.llm.common import cut, drop_cut, scratch, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,20 +22,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id stays."""
-    kept = cut(exact_dedup.exact_duplicates(docs).where("kept").select("doc_id"), "kept")
-    out = _keep(docs, kept)
-    repeated = kept.groupBy("doc_id").count().where("count > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    return exact_dedup.first_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the smallest doc_id stays."""
-    return _keep(docs, near_dedup.near_duplicates(docs).where("kept"))
+    with scratch():
+        gone = cut(near_dedup.near_duplicates(docs).where("NOT kept").select("doc_id", "text_hash"), "near-copies", outer=True)
+    return without(docs, gone)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark passages by the contamination rule go."""
-    return _keep(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated"))
+    with scratch():
+        found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+        gone = cut(found.where("contaminated").select("doc_id", "text_hash"), "contaminated", outer=True)
+    return without(docs, gone)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; each stage's rows are written to the shared folder and read again."""
+    """All stages over the table documents; each stage's rows are written to the shared folder and read again, and a stage's own tables go when its rows are written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = cut(docs, name.replace(" ", "-"), sweep=True)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch():
+            kept = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"), outer=True)
+        drop_cut(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
