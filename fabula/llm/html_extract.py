@@ -1,8 +1,8 @@
 """Main text of web pages (operator 4): markup first, then a suffix array over each host's pages.
 
-A page is read into blocks. Markup decides most: text inside an article is content, text inside menus, headers,
-footers, sidebars, notices, adverts, forms and comments is not. What markup leaves open (pages without an article or
-main element) goes to the host's suffix array: the token streams of its pages are concatenated, runs of tokens that
+A page is read into blocks, once. Markup decides most: text inside an article is content, text inside menus, headers,
+footers, sidebars, notices, adverts, forms and comments is not. What markup leaves open (what stands beside an article
+in the main element, and all of pages without an article or main element) goes to the host's suffix array: the token streams of its pages are concatenated, runs of tokens that
 recur on distinct pages are boilerplate and are removed, unique runs stay. Removing repeated runs from articles too
 would lose reposted articles and quoted passages and would keep adverts that appear once (README, operator 4).
 
@@ -36,6 +36,10 @@ _NEVER = set("head nav footer aside form button select menu dialog template svg
 _NEVER_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _NEVER_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar cookie cookies consent gdpr notice popup modal overlay comment comments commentlist respond reply replies disqus breadcrumb breadcrumbs pagination pager navbar nav navigation menu footer masthead share sharing social related recommended recommendations newsletter subscribe subscription login signup toolbar".split())
 _COMMENT_WORDS = set("comment comments commentlist respond reply replies disqus".split())
+# Words that say where or as what something stands; a name made of these and at least one of the above is a part's name.
+_PART_WORDS = set("area bar block body bottom box button buttons column container content form footer header holder icons inner item items left level links list main media module outer page pages panel post posts primary right row secondary section site slot story stories sub text top unit widget widgets wrap wrapper".split())
+#: Elements that are no part of a page: what their names say is about the page, not about themselves.
+_WHOLE = {"html", "body", "main", "article"}
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)|[!?/][^>]*(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -59,10 +63,11 @@ def _kind(tag: str, rest: str) -> tuple[int, int]:
             rank = 2
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return 0, 2
-        elif name in ("class", "id"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & _NEVER_WORDS:
-                named = max(named, 2 if words & _COMMENT_WORDS else 1)
+        elif name in ("class", "id") and tag not in _WHOLE:
+            for one in value.split():
+                words = {w.lower() for w in _WORDS.findall(one)}
+                if words & _NEVER_WORDS and words <= _NEVER_WORDS | _PART_WORDS:
+                    named = max(named, 2 if words & _COMMENT_WORDS else 1)
     return (0, named) if named else (rank, 0)
 
 
@@ -129,13 +134,16 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def read(page: str | None) -> tuple[str | None, list[str]]:
-    """The text where markup decides, or None and the blocks that it leaves open."""
+def read(page: str | None) -> tuple[list[str], list[bool]]:
+    """A page's blocks that may be content, and which of them markup leaves open.
+
+    With an article, its blocks are content and what stands beside it in the main element is open; without one, the
+    main element's blocks are content; without either, all are open.
+    """
     found = blocks(page or "")
     best = max((r for r, _ in found), default=0)
-    if best or not found:
-        return "\n\n".join(t for r, t in found if r == best), []
-    return None, [t for _, t in found]
+    kept = [(t, r < best or not best) for r, t in found if r == best or r == best - 1 == 1]
+    return [t for t, _ in kept], [is_open for _, is_open in kept]
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -195,8 +203,8 @@ def repeated_tokens(streams: list[np.ndarray], run: int) -> list[np.ndarray]:
     return [covered[e - len(s) - 1 : e - 1] for s, e in zip(streams, ends, strict=True)]
 
 
-def _kept(blocks: list[list[str]], gone: np.ndarray, run: int) -> str:
-    """The text of a page's blocks (as words) without the covered tokens; the ends of blocks are tokens too."""
+def _kept(blocks: list[list[str]], gone: np.ndarray, run: int) -> list[str]:
+    """The blocks (as words) without the covered tokens, empty where nothing is left; the ends of blocks are tokens too."""
     at, kept = 0, []
     for b in blocks:
         covered = gone[at : at + len(b)]
@@ -206,13 +214,21 @@ def _kept(blocks: list[list[str]], gone: np.ndarray, run: int) -> str:
             covered = covered.copy()
             for i, j in edge.reshape(-1, 2):
                 covered[i:j] = j - i >= run
-        rest = [w for w, g in zip(b, covered, strict=True) if not g]
-        if rest:
-            kept.append(" ".join(rest))
-    return "\n\n".join(kept)
+        kept.append(" ".join(w for w, g in zip(b, covered, strict=True) if not g))
+    return kept
+
+
+def _page_text(blocks: list[str], is_open: list[bool], left: list[str]) -> str:
+    """A page's text: blocks that markup decides, and of open ones what the repeated runs left."""
+    rest = iter(left)
+    return "\n\n".join(t for b, o in zip(blocks, is_open, strict=True) if (t := next(rest) if o else b))
+
 
+def _open_blocks(blocks: list[str], is_open: list[bool]) -> list[str]:
+    return [b for b, o in zip(blocks, is_open, strict=True) if o]
 
-def unique_texts(pages: list[list[str]], run: int = RUN_TOKENS) -> list[str]:
+
+def unique_blocks(pages: list[list[str]], run: int = RUN_TOKENS) -> list[list[str]]:
     """Each page's blocks without runs that recur on the other pages."""
     known: dict[str, int] = {"": 0}
     words = [[b.split(" ") for b in p] for p in pages]
@@ -220,7 +236,7 @@ def unique_texts(pages: list[list[str]], run: int = RUN_TOKENS) -> list[str]:
     return [_kept(p, gone, run) for p, gone in zip(words, repeated_tokens(streams, run), strict=True)]
 
 
-def without_runs(blocks: list[str], starts: list[int], run: int) -> str:
+def without_runs(blocks: list[str], starts: list[int], run: int) -> list[str]:
     """A page's blocks without the runs of tokens that begin at starts."""
     words = [b.split(" ") for b in blocks]
     edge = np.zeros(sum(len(b) + 1 for b in words) + 1, np.int64)
@@ -230,7 +246,7 @@ def without_runs(blocks: list[str], starts: list[int], run: int) -> str:
 
 
 def recurring_runs(pages: DataFrame, run: int) -> DataFrame:
-    """host, content, starts: where in the tokens of a content runs begin that other contents of its host have too. pages: host, content, blocks."""
+    """host, content, starts: where in the tokens of a content runs begin that other contents of its host have too. pages: host, content, blocks (open ones)."""
     one = pages.groupBy("host", "content").agg(F.first("blocks").alias("blocks"))  # rows of equal content have equal blocks
     tokens = F.flatten(F.transform("blocks", lambda b: F.concat(F.split(b, " "), F.array(F.lit("")))))
     one = one.select("host", "content", tokens.alias("t")).where(F.size("t") >= run)
@@ -241,18 +257,11 @@ def recurring_runs(pages: DataFrame, run: int) -> DataFrame:
     return runs.join(often, ["host", "h"]).groupBy("host", "content").agg(F.collect_list("at").alias("starts"))
 
 
-def _decided(batches):
-    for batch in batches:
-        found = [read(p)[0] for p in batch.column(2).to_pylist()]
-        keep = pa.array([t is not None for t in found], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["id", "url", "text"]).filter(keep)
-
-
-def _left_open(batches):
+def _parsed(batches):
     for batch in batches:
         found = [read(p) for p in batch.column(2).to_pylist()]
-        keep = pa.array([t is None for t, _ in found], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b for _, b in found], pa.list_(pa.string()))], ["id", "url", "blocks"]).filter(keep)
+        flags = pa.array([f for _, f in found], pa.list_(pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b for b, _ in found], pa.list_(pa.string())), flags], ["id", "url", "blocks", "is_open"])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN_TOKENS, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -261,27 +270,33 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     bounded_batches(spark)
     types = dict(pages.dtypes)
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    sure = base.mapInArrow(_decided, f"id {types[id_col]}, url string, text string")
-    left = cut(base.mapInArrow(_left_open, f"id {types[id_col]}, url string, blocks array<string>"), "open")
+    parsed = cut(base.mapInArrow(_parsed, f"id {types[id_col]}, url string, blocks array<string>, is_open array<boolean>"), "parsed")
+    some = F.exists("is_open", lambda o: o)
+    sure = parsed.where(~some).select("id", "url", F.array_join("blocks", "\n\n").alias("text"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    left = left.withColumn("host", host).withColumn("size", F.length(F.concat_ws(" ", "blocks")))
-    sizes = left.groupBy("host").agg((F.sum("size") > shard_chars).alias("large"))
-    left = left.join(sizes, "host")
+    left = parsed.where(some).withColumn("host", host)
+    open_ones = F.transform(F.filter(F.arrays_zip("blocks", "is_open"), lambda x: x["is_open"]), lambda x: x["blocks"])
+    size = F.sum(F.aggregate(open_ones, F.lit(0).cast("long"), lambda n, x: n + F.length(x)))
+    left = left.join(left.groupBy("host").agg((size > shard_chars).alias("large")), "host")
     schema = f"id {types[id_col]}, url string, text string"
 
     def unique(rows: pa.Table) -> pa.Table:
-        texts = unique_texts(rows["blocks"].to_pylist(), run)
-        return pa.table({"id": rows["id"], "url": rows["url"], "text": pa.array(texts, pa.string())})
+        found = list(zip(rows["blocks"].to_pylist(), rows["is_open"].to_pylist(), strict=True))
+        rest = unique_blocks([_open_blocks(*f) for f in found], run)
+        return pa.table({"id": rows["id"], "url": rows["url"], "text": pa.array([_page_text(*f, r) for f, r in zip(found, rest, strict=True)], pa.string())})
 
     def clean(batches):
         for batch in batches:
-            texts = [without_runs(b, at or [], run) for b, at in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)
+            texts = [_page_text(b, o, without_runs(_open_blocks(b, o), at or [], run)) for b, o, at in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    rest = left.where("NOT large").select("host", "id", "url", "blocks").groupBy("host").applyInArrow(unique, schema)
-    large = left.where("large").withColumn("content", F.sha2(F.concat_ws("\n", "blocks"), 256))  # no block has a line end
-    found = large.join(recurring_runs(large.select("host", "content", "blocks"), run), ["host", "content"], "left")
-    rest = rest.unionByName(found.select("id", "url", "blocks", "starts").mapInArrow(clean, schema))
+    rest = left.where("NOT large").select("host", "id", "url", "blocks", "is_open").groupBy("host").applyInArrow(unique, schema)
+    large = left.where("large").withColumn("open_blocks", open_ones)
+    large = large.withColumn("content", F.sha2(F.concat_ws("\n", "open_blocks"), 256))  # no block has a line end
+    runs = recurring_runs(large.select("host", "content", F.col("open_blocks").alias("blocks")), run)
+    found = large.join(runs, ["host", "content"], "left")
+    rest = rest.unionByName(found.select("id", "url", "blocks", "is_open", "starts").mapInArrow(clean, schema))
     both = sure.unionByName(rest)
     return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars"))
 

@@ -95,12 +95,29 @@ def test_toxicity_cases(spark):
 PAGE = '<!DOCTYPE html><html><head><title>T</title><script>var a="</p>"</script></head><body><nav><a>Home</a></nav><div class="ad">Buy</div><article><h1>Title &amp;amp;</h1><p>One <b>two<br>three<p>four &lt;x&gt;<div class="comments"><p>no</p></div><aside>no</aside></article><footer>&copy; me</footer>'
 
 
+def sure(page):
+    """The text of a page of which markup leaves nothing open."""
+    found, is_open = html_extract.read(page)
+    assert not any(is_open)
+    return "\n\n".join(found)
+
+
 def test_html():
-    assert html_extract.read(PAGE) == ("Title &amp;\n\nOne two three\n\nfour <x>", [])
-    assert html_extract.read(None) == ("", []) and html_extract.read("") == ("", [])
-    assert html_extract.read("<article></article><p>x")[1] == ["x"]
-    assert html_extract.read('<main><p>a<a title="x>y">b</a></main>')[0] == "ab"
-    assert html_extract.read("<article><p>a<!-- <p>b")[0] == "a"
+    assert sure(PAGE) == "Title &amp;\n\nOne two three\n\nfour <x>"
+    assert html_extract.read(None) == ([], []) and html_extract.read("") == ([], [])
+    assert html_extract.read("<article></article><p>x") == (["x"], [True])
+    assert sure('<main><p>a<a title="x>y">b</a></main>') == "ab"
+    assert sure("<article><p>a<!-- <p>b") == "a"
+    assert html_extract.read("<p>out<main><h1>T</h1><article><p>a</article><p>b</main>") == (["T", "a", "b"], [True, False, True])
+
+
+def test_html_names():
+    for name in ("social-science", "related-work", "has-sidebar", "roadmap", "single comments-open", "thread", "noticeable"):
+        assert sure(f"<article><p class='{name}'>a</article>") == "a", name
+    for name in ("ad", "related-posts", "relatedPosts", "social-share", "sidebar_left", "x cookie-notice", "comment-list", "top-ad-banner ads"):
+        assert sure(f"<article><div id='{name}'>a</div><p>b</article>") == "b", name
+    for tag in ("html", "body", "main", "article"):
+        assert sure(f"<{tag} class='comments sidebar'><article><p>a</article>") == "a"
 
 
 def test_repeated_runs():
@@ -128,8 +145,60 @@ def test_html_pages(spark):
 
 
 def test_html_article_in_named_part():
-    assert html_extract.read("<body class='has-sidebar'><p>menu</p><article><p>a<p class='ad'>no</article>")[0] == "a"
-    assert html_extract.read("<div id='comments'><article>no</article></div><aside><article>no</article></aside><p>x") == (None, ["x"])
+    assert sure("<body class='has-sidebar'><p>menu</p><article><p>a<p class='ad'>no</article>") == "a"
+    assert sure("<div class='sidebar'><article><p>a</article></div>") == "a"
+    assert html_extract.read("<div id='comments'><article>no</article></div><aside><article>no</article></aside><p>x") == (["x"], [True])
+
+
+def brute_text(pages, run):
+    """{(page_id, url): text} by looking at each run of each page on its own."""
+    read = {key: html_extract.read(page) for key, page in pages}
+    host = lambda key: (key[1] or "").split("/")[2].lower() if "://" in (key[1] or "") else ""
+    streams = {key: [w for b, o in zip(*found) if o for w in (*b.split(" "), "")] for key, found in read.items()}
+    out = {}
+    for key, (found, is_open) in read.items():
+        own = streams[key]
+        others = [s for k, s in streams.items() if host(k) == host(key) and s != own]
+        seen = {tuple(s[i : i + run]) for s in others for i in range(len(s) - run + 1)}
+        gone = [False] * len(own)
+        for i in range(len(own) - run + 1):
+            if tuple(own[i : i + run]) in seen:
+                gone[i : i + run] = [True] * run
+        at, texts = 0, []
+        for b, o in zip(found, is_open):
+            if not o:
+                texts.append(b)
+                continue
+            words = b.split(" ")
+            here = gone[at : at + len(words)]
+            at += len(words) + 1
+            if not all(here):
+                i = 0
+                while i < len(here):
+                    j = i
+                    while j < len(here) and here[j] == here[i]:
+                        j += 1
+                    if here[i] and j - i < run:
+                        here[i:j] = [False] * (j - i)
+                    i = j
+            texts.append(" ".join(w for w, g in zip(words, here) if not g))
+        out[key] = "\n\n".join(t for t in texts if t)
+    return out
+
+
+def test_html_query_brute(spark):
+    rnd = random.Random(11)
+    words = lambda n: " ".join(rnd.choice("abcde") for _ in range(n))
+    shared = [words(9) for _ in range(5)]
+    part = lambda: rnd.choice([f"<p>{words(7)}</p>", f"<div>{rnd.choice(shared)} {words(3)}</div>", f"<nav>{words(4)}</nav>", f"<p>{words(2)}"])
+    forms = ["{}{}{}", "{}<article>{}{}</article>", "<main>{}<article><p>{}</article>{}</main>", "<main>{}{}</main>{}"]
+    rows = [(i, rnd.choice(["http://h/", "https://K.x/", "k"]) + str(i), rnd.choice(forms).format(part(), part(), part())) for i in range(60)]
+    rows += [(60, None, None), (61, "http://h/61", rows[0][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for run in (3, 8):
+        want = brute_text([((i, u), p) for i, u, p in rows], run)
+        for size in (html_extract.SHARD_CHARS, 100):
+            assert {(r.page_id, r.url): r.text for r in html_extract.extract_text(pages, run=run, shard_chars=size).collect()} == want
 
 
 def test_html_large_host(spark):
