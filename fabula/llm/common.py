@@ -86,14 +86,23 @@ def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+#: Most rows of a table that small() has broadcast; its rows are ids, hashes and numbers, some hundred bytes at most.
+SMALL_ROWS = 250_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it is counted to be no larger than SMALL_ROWS; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
 def text_hash(text: str) -> Column:
     """What tells rows of one id apart by their text; null is as empty."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose id and text_hash are in gone (a written table: Catalyst broadcasts it while it is small, and texts then don't move)."""
-    keys = gone.select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"))
+    """docs without the rows whose id and text_hash are in gone, a written table; texts don't move while that is small."""
+    keys = small(gone).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"))
     return docs.join(keys, docs[id_col].eqNullSafe(F.col("_id")) & (text_hash(text_col) == F.col("_th")), "left_anti")
 
 

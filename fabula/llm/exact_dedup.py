@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, delete, own_path, scratch
+from .common import cut, delete, own_path, scratch, small
 
 #: Disk-backed state; without space set aside ahead, which is megabytes for each of the many small stores.
 _STATE = {
@@ -68,7 +68,7 @@ def stream_state(log: DataFrame, files_per_batch: int | None = None) -> DataFram
 
 def _clashes(keyed: DataFrame, hits: DataFrame) -> DataFrame:
     """The hit digests that stand for several texts: full bytes are compared."""
-    texts = keyed.select(*_KEY, "body").join(hits.select(*_KEY), _KEY)
+    texts = keyed.select(*_KEY, "body").join(small(hits).select(*_KEY), _KEY)
     ends = texts.groupBy(*_KEY).agg(F.min("body").alias("first"), F.max("body").alias("last"))
     return cut(ends.where("first <> last").select(*_KEY), "clash")
 
@@ -95,7 +95,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not clash.isEmpty():
             other = cut(_apart(keyed, clash).select("id", *_KEY, "keep", "of", "size"), "apart", outer=True)
             rows = log.join(cut(clash, "clash", outer=True), _KEY, "left_anti")
-        groups = rows.join(sure, _KEY, "left").select("id", "digest", F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep"), F.when(alone, F.col("locator")).otherwise(F.col("of")).alias("of"), size.alias("size"))
+        groups = rows.join(small(sure), _KEY, "left").select("id", "digest", F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep"), F.when(alone, F.col("locator")).otherwise(F.col("of")).alias("of"), size.alias("size"))
     if other is not None:
         groups = groups.unionByName(other.drop("n_bytes"))
     return groups.select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("of").alias("keep_locator"))
@@ -109,14 +109,14 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         log = cut(keyed.drop("body"), "log")
         hits = stream_state(log, files_per_batch)
         clash = _clashes(keyed, hits)
-        firsts = log.join(hits.select(*_KEY, "keep"), _KEY).where(F.col("id").eqNullSafe(F.col("keep"))).groupBy(*_KEY).agg((F.count("*") > 1).alias("again"))
+        firsts = log.join(small(hits).select(*_KEY, "keep"), _KEY).where(F.col("id").eqNullSafe(F.col("keep"))).groupBy(*_KEY).agg((F.count("*") > 1).alias("again"))
         known = hits.join(clash, _KEY, "left_anti").join(firsts, _KEY).select(F.col("digest").alias("_digest"), F.col("keep").alias("_keep"), F.col("again").alias("_again"))
         known = cut(known, "known", outer=True)
         several = not clash.isEmpty()
         if several:
             clash = cut(clash.select(F.col("digest").alias("_digest")), "clash", outer=True)
     rows = docs.withColumn("_own", digest)
-    met = rows.join(known, F.col("_own") == F.col("_digest"), "left")
+    met = rows.join(small(known), F.col("_own") == F.col("_digest"), "left")
     out = met.where(F.col("_digest").isNull() | (F.col(id_col).eqNullSafe(F.col("_keep")) & ~F.col("_again"))).select(*docs.columns)
     again = known.where("_again")
     if not again.isEmpty():

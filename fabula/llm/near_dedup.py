@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, mix, scratch, signed, text_hash, texts_of, word_hashes
+from .common import bounded_batches, cut, mix, scratch, signed, small, text_hash, texts_of, word_hashes
 from .components import components
 
 #: Buckets of the table of shingle counts and its parts; the table is broadcast as one byte a bucket.
@@ -230,7 +230,7 @@ def _kept(fits):
 
 def _fitting(pairs: DataFrame, sets: DataFrame, column: str, fits) -> DataFrame:
     """Those of the written pairs (a, b) whose arrays fit. Only the arrays that a pair needs travel, to the pair."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
+    needed = small(pairs).select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
     both = sets.select("id", F.col(column).alias("x")).join(needed, "id").groupBy("a", "b").agg(F.collect_list("x").alias("both"))
     return both.mapInArrow(_kept(fits), "a long, b long")
 
@@ -244,11 +244,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """(v, rep, c, lesser): members, with their components, of the lists that hold more than one component; lesser: not of the list's largest one."""
-    now = lists.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("c"))
+    now = lists.join(small(groups).withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("c"))
     held = now.groupBy("v", "c").agg(F.count("*").alias("size"))
     several = held.groupBy("v").agg(F.count("*").alias("n"), F.max(F.struct("size", "c")).alias("most")).where("n > 1").select("v", F.col("most.c").alias("largest"))
     several = cut(several, "several")  # written first, so that the join can be split at a hot value
-    return cut(now.join(several, "v").select("v", "rep", "c", (F.col("c") != F.col("largest")).alias("lesser")), "open")
+    return cut(now.join(small(several), "v").select("v", "rep", "c", (F.col("c") != F.col("largest")).alias("lesser")), "open")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,8 +272,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         keys = sets.select(F.explode("keys").alias("v"), "rep")
         shared = cut(keys.groupBy("v").agg(F.count("*").alias("size")).where("size > 1"), "shared")
         lists = cut(keys.join(shared, "v"), "lists")
-        wanted = cut(sets.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "at"), "wanted")
-        full = base.join(wanted, base["id"].eqNullSafe(wanted["at.id"]) & (base["th"] == wanted["at.th"])).select("rep", "text").dropDuplicates(["rep"])
+        wanted = sets.join(small(cut(lists.select("rep").distinct(), "listed")), "rep", "left_semi").select("rep", "at.id", "at.th")
+        wanted = small(cut(wanted, "wanted")).select("rep", F.col("id").alias("_id"), F.col("th").alias("_th"))
+        full = base.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("rep", "text").dropDuplicates(["rep"])
         full = cut(full.mapInArrow(_sets(shingle), f"id long, n long, {', '.join(f'{o} long' for o in _ODD)}, low array<long>, shingles array<long>"), "sets")
 
         # At first each document meets one: of its lists' most central members, which are in the largest lists, the one it meets most often.
@@ -281,14 +282,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         central = ranked.groupBy("v").agg(F.max(F.struct("score", "rep")).alias("c")).select("v", F.col("c.rep").alias("hub"))
         met = lists.join(central, "v").where("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("met")).groupBy("rep").agg(F.max(F.struct("met", "hub")).alias("c"))
         groups = components(_linked(met.select(F.col("rep").alias("a"), F.col("c.hub").alias("b")), full, percent))
-        marks = full.select(F.col("id").alias("rep"), "n", *_ODD)
+        marks = small(full).select(F.col("id").alias("rep"), "n", *_ODD)
         rest, turn = lists.select("v", "rep"), 0
         while not (held := _open(rest, groups)).isEmpty():
             # Members outside a list's largest component meet all others, some of each list at a time, and leave: at last one component remains.
             order = F.xxhash64("rep", F.lit(turn))
             slots = F.pmod(order, F.lit(min(8 << 2 * turn, HUBS)))
             hubs = held.where("lesser").groupBy("v", slots).agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"))
-            hubs = cut(hubs.select("h.rep").distinct(), "hubs")
+            hubs = small(cut(hubs.select("h.rep").distinct(), "hubs"))
             both = held.join(marks, "rep").select("v", "rep", "c", "n", *_ODD)
             first = both.join(hubs, "rep", "left_semi").select("v", F.col("rep").alias("a"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(o).alias(f"{o}_a") for o in _ODD))
             odd = " + ".join(f"bit_count({o} ^ {o}_a)" for o in _ODD)

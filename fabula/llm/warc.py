@@ -4,15 +4,17 @@ Both derived records name the response they come from (WARC-Refers-To, its targe
 digest; the metadata record also lists the response's HTTP headers. Record ids are made from the response's id and the
 kind, so that a task that runs again writes the same records.
 
-Defined cases: a null url or html counts as empty; a null id is written as "null"; a block that is no HTTP message has
-no headers and its whole block as payload; bodies that are no UTF-8 are read with replacement letters; truncated
-records are refused with an error that names the offset; repeated rows give repeated records; an empty table gives an
-empty result; other columns are ignored.
+Defined cases: a null url or html counts as empty; a null id differs from every other; rows of one id and url with
+other html have ids of their own, repeated rows give repeated records; a block that is no HTTP message has no headers
+and its whole block as payload; codings that can't be undone leave the body as it is, which the metadata record says
+(source-problem); letters that the charset doesn't have are replaced; a file whose records can't be read on ends with a
+row that has a problem in place of a record; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
@@ -80,36 +82,81 @@ def parse_records(data: bytes) -> Iterator[Record]:
                 raise ValueError(f"record at offset {at} ends in its headers")
             lines.append(line)
         record = Record(_headers(lines), b"", at)
-        size = int(record.get("Content-Length", "0"))
+        length = record.get("Content-Length", "0").strip()
+        if not (length.isascii() and length.isdigit()):
+            raise ValueError(f"record at offset {at} has no length")
+        size = int(length)
         record.block = stream.read(size)
         if len(record.block) != size:
             raise ValueError(f"record at offset {at} is cut short")
         yield record
 
 
-def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
-    """Status line, headers and body of an HTTP response; transfer and content codings undone."""
+def _dechunked(body: bytes) -> bytes:
+    parts, at = [], 0
+    while at < len(body):
+        end = body.find(b"\r\n", at)
+        size = body[at : end if end >= 0 else len(body)].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
+            raise ValueError("bad chunk size")
+        n = int(size, 16)
+        if not n:
+            return b"".join(parts)
+        at = end + 2
+        if end < 0 or at + n > len(body):
+            raise ValueError("chunk is cut short")
+        parts.append(body[at : at + n])
+        at += n + 2
+    raise ValueError("chunks without an end")
+
+
+def http_parts(block: bytes) -> tuple[str, list[tuple[str, str]], bytes, bytes, str]:
+    """Status line, headers, body as it was sent, body with transfer and content codings undone, and what was wrong with these.
+
+    A coding that can't be undone, or isn't known, leaves the body as it was before it.
+    """
     if not block.startswith(b"HTTP/"):
-        return "", [], block
-    head, _, body = block.partition(b"\r\n\r\n")
+        return "", [], block, block, ""
+    head, _, sent = block.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     headers = _headers(lines[1:])
-    index = {k.lower(): v.lower() for k, v in headers}
-    if "chunked" in index.get("transfer-encoding", ""):
-        parts, rest = [], body
-        while rest:
-            size, _, rest = rest.partition(b"\r\n")
-            n = int(size.split(b";")[0] or b"0", 16)
-            if not n:
-                break
-            parts.append(rest[:n])
-            rest = rest[n + 2 :]
-        body = b"".join(parts)
-    if index.get("content-encoding") in ("gzip", "x-gzip"):
-        body = gzip.decompress(body)
-    elif index.get("content-encoding") == "deflate":
-        body = zlib.decompress(body)
-    return lines[0].decode("utf-8", "replace"), headers, body
+    index = {k.lower(): v.lower().strip() for k, v in headers}
+    undo = [_dechunked] if "chunked" in index.get("transfer-encoding", "") else []
+    for coding in reversed([c.strip() for c in index.get("content-encoding", "").split(",")]):
+        if coding in ("gzip", "x-gzip"):
+            undo.append(gzip.decompress)
+        elif coding == "deflate":
+            undo.append(_inflated)
+        elif coding not in ("", "identity"):
+            undo.append(lambda body, coding=coding: _unknown(coding))
+    body, problem = sent, ""
+    try:
+        for step in undo:
+            body = step(body)
+    except (ValueError, OSError, EOFError, zlib.error) as e:
+        problem = " ".join(str(e).split()) or type(e).__name__
+    return lines[0].decode("utf-8", "replace"), headers, sent, body, problem
+
+
+def _inflated(body: bytes) -> bytes:
+    try:
+        return zlib.decompress(body)
+    except zlib.error:
+        return zlib.decompress(body, -zlib.MAX_WBITS)  # without the wrapper, as some servers send it
+
+
+def _unknown(coding: str) -> bytes:
+    raise ValueError(f"unknown coding {coding}")
+
+
+def decoded(body: bytes, headers: list[tuple[str, str]]) -> str:
+    """The body's text in the charset that its Content-Type names, UTF-8 where it names none that is known."""
+    kind = next((v for k, v in headers if k.lower() == "content-type"), "")
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind, re.I)
+    try:
+        return body.decode(codecs.lookup(named[1]).name if named else "utf-8", "replace")
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace")
 
 
 def sha1(data: bytes) -> str:
@@ -145,7 +192,7 @@ def response(page_id, url: str | None, page: str | None, date: str) -> Record:
     """A response record for a crawled page."""
     body = (page or "").encode()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
-    own = record_id("response", "null" if page_id is None else str(page_id), url or "")
+    own = record_id("response", "no id" if page_id is None else f"id {page_id}", url or "", hashlib.sha256(body).hexdigest())
     return Record([("WARC-Type", "response"), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", url or ""), ("WARC-Payload-Digest", sha1(body)), ("WARC-Block-Digest", sha1(block)), ("Content-Type", "application/http; msgtype=response")], block)
 
 
@@ -153,12 +200,13 @@ def derive(source: Record) -> list[Record]:
     """The metadata and conversion records of a response record; other records have none."""
     if source.get("WARC-Type") != "response":
         return []
-    status, headers, body = http_parts(source.block)
-    digest = source.get("WARC-Payload-Digest") or sha1(body)
+    status, headers, sent, body, problem = http_parts(source.block)
+    digest = source.get("WARC-Payload-Digest") or sha1(sent)
     link = [("WARC-Date", source.get("WARC-Date")), ("WARC-Refers-To", source.get("WARC-Record-ID")), ("WARC-Refers-To-Target-URI", source.get("WARC-Target-URI")), ("WARC-Refers-To-Date", source.get("WARC-Date")), ("WARC-Target-URI", source.get("WARC-Target-URI"))]
     fields = [("source-payload-digest", digest), ("source-block-digest", source.get("WARC-Block-Digest") or sha1(source.block)), ("source-content-type", source.get("Content-Type")), ("http-status", status)]
+    fields += [("source-problem", problem)] if problem else []
     meta = "".join(f"{k}: {v}\r\n" for k, v in fields + [(f"http-header-{k.lower()}", v) for k, v in headers]).encode()
-    text = visible_text(body.decode("utf-8", "replace")).encode()
+    text = visible_text(decoded(body, headers)).encode("utf-8", "replace")
     out = []
     for kind, mime, block in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text)):
         own = record_id(kind, source.get("WARC-Record-ID"))
@@ -202,17 +250,26 @@ def derive_pages(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: s
 
 
 def derive_files(spark: SparkSession, path: str) -> DataFrame:
-    """Derived records of all response records in the WARC files under path, which Spark's reader opens (a file fits in a task's memory)."""
+    """Derived records of all response records in the WARC files under path, which Spark's reader opens (a file fits in a task's memory).
+
+    problem is null but for a last row of a file that can't be read to its end, which has nothing else.
+    """
+
+    def with_problem(rows: pa.RecordBatch, problem: str | None) -> pa.RecordBatch:
+        return rows.append_column("problem", pa.array([problem] * len(rows), pa.string()))
 
     def run(batches):
         for batch in batches:
             for name, data in zip(*(batch.column(j).to_pylist() for j in range(2)), strict=True):
-                for source in parse_records(data):
-                    if rows := _rows(source):
-                        yield _batch(pa.array([name] * len(rows)), "file", rows)
+                try:
+                    for source in parse_records(data):
+                        if rows := _rows(source):
+                            yield with_problem(_batch(pa.array([name] * len(rows)), "file", rows), None)
+                except (ValueError, OSError, EOFError, zlib.error) as e:
+                    yield with_problem(_batch(pa.array([name]), "file", [(None,) * len(_NAMES)]), str(e) or type(e).__name__)
 
     bounded_batches(spark, rows=1)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"file string, {_SCHEMA}")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"file string, {_SCHEMA}, problem string")
 
 
 def write_records(records: DataFrame, path: str, compression: str = "gzip") -> None:

@@ -59,6 +59,25 @@ def test_exact_in_batches(docs, texts):
     assert whole == parts
 
 
+def test_exact_clashes(spark, docs, texts, monkeypatch):
+    """Texts that differ under one digest are told apart by their bytes."""
+    from pyspark.sql import functions as F
+
+    want = {i: (r.keep_id, r.group_size, r.kept) for i, r in by_id(exact_dedup.exact_duplicates(docs)).items()}
+    whole = sorted(r.doc_id for r in exact_dedup.first_of_each(docs).collect())
+    assert whole == sorted(i for i, (_, _, kept) in want.items() if kept)
+    keyed = exact_dedup._keyed
+    monkeypatch.setattr(exact_dedup, "_keyed", lambda *a: keyed(*a).withColumns({"digest": F.unhex(F.lit("00")), "n_bytes": F.col("n_bytes") % 3}))
+    assert {i: (r.keep_id, r.group_size, r.kept) for i, r in by_id(exact_dedup.exact_duplicates(docs)).items()} == want
+
+
+def test_first_of_each(spark):
+    rows = [(3, "a", 1), (3, "a", 1), (4, "a", 2), (None, "a", 3), (None, "b", 4), (5, None, 5), (6, "", 6), (7, " c", 7), (7, "c", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest long")
+    assert sorted(r.digest for r in exact_dedup.first_of_each(docs).collect()) == [1, 4, 5, 7, 8]
+    assert exact_dedup.first_of_each(docs.where("false")).collect() == []
+
+
 def test_exact_repeated_rows(spark):
     docs = spark.createDataFrame([(3, "a"), (3, "a"), (None, "a"), (None, "b")], "doc_id long, text string")
     got = sorted(exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept").collect(), key=str)
@@ -93,6 +112,68 @@ def test_near(docs, texts, empty, size):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+def test_near_ids(spark):
+    a, b = "one two three four five six seven eight nine ten eleven", "red green blue cyan"
+    rows = [(1, a), (1, b), (2, a + " twelve"), (None, b), (None, "lone words"), (None, "lone  words"), (7, "lone"), (8, None), (8, None)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=2)
+    found = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=str)
+    want = [(1, 10, 1, True), (1, 3, 1, True), (2, 11, 1, False), (None, 3, 1, False), (None, 1, None, True), (None, 1, None, True), (7, 1, 7, True), (8, 0, 8, True), (8, 0, 8, True)]
+    assert found == sorted(want, key=str)
+
+
+def test_near_sketches_share_two_values():
+    """Of linked sets of any size, in whichever place they differ, two retained values are equal; sketches have a bounded size."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    bits = rnd.integers(1, 25, near_dedup.BUCKETS)
+    for n in (4, 5, 9, 17, 40, 100, 300, 1000, 6000):
+        for _ in range(30):
+            both = rnd.integers(1, 1 << 63, n, dtype=np.uint64)
+            most = 20 * n // 100  # elements that only one set has
+            left = int(rnd.integers(0, most + 1))
+            right = most - left
+            x = np.unique(both[: n - right])
+            y = np.unique(np.concatenate((both[left : n - right], rnd.integers(1, 1 << 63, right, dtype=np.uint64))))
+            if 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)) or len(x) == len(np.intersect1d(x, y)) == len(y):
+                continue
+            sizes = np.array([len(x), len(y)])
+            values, at = near_dedup.sketches(np.concatenate((x, y)), sizes, 80, bits)
+            assert len(np.intersect1d(values[: at[1]], values[at[1] :])) >= 2
+            assert len(values) <= 2 * 2 * near_dedup.MOST
+
+
+def test_odd_sketch_is_a_bound():
+    import numpy as np
+
+    rnd = np.random.default_rng(6)
+    for n in (5, 100, 3000):
+        x, y = (np.unique(rnd.integers(1, 2 * n, n).astype(np.uint64)) for _ in range(2))
+        marks = near_dedup.odd_sketch(np.concatenate((x, y)), np.repeat([0, 1], [len(x), len(y)]), 2).view(np.uint64)
+        assert int(np.bitwise_count(marks[0] ^ marks[1]).sum()) <= len(np.setxor1d(x, y))
+
+
+def thue_morse(n, a, b):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_cancel_out(spark):
+    """Words that a polynomial modulo a power of two takes for one another."""
+    filler = [f"v{i}" for i in range(34)]
+    for n in (64, 1024, 4096):
+        x, y = thue_morse(n, "a", "b"), thue_morse(n, "b", "a")
+        docs = spark.createDataFrame([(1, x), (2, y), (3, " ".join([*filler, x])), (4, " ".join([*filler, y]))], "doc_id long, text string")
+        assert {r.component_id for r in near_dedup.near_duplicates(docs, shingle=2).where("doc_id < 3").collect()} == {1, 2}
+        assert {r.n_removed for r in substring_dedup.remove_repeated(docs).collect()} == {0}
+    x, y = thue_morse(1 << 12, "a ", "b "), thue_morse(1 << 12, "b ", "a ")
+    from fabula.llm.common import FIRST, SECOND, word_hashes
+
+    hashes, at = word_hashes([x.encode(), y.encode()])
+    for kind in (FIRST, SECOND)[1:]:
+        one, two = kind.spans(kind.prefix(hashes), at[:-1], at[1:])
+        assert one != two
+
+
 def test_components(spark):
     rnd = random.Random(5)
     links = [(i, i + 1) for i in range(100, 160)] + [(rnd.randint(0, 60), rnd.randint(0, 60)) for _ in range(40)] + [(7, 7)]

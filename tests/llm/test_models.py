@@ -1,14 +1,18 @@
 """Tokenizers against the libraries, held-out accuracy of the toxicity model, HTML and WARC round trips, the pipeline."""
 
+import base64
 import gzip
 import hashlib
+import html.parser
 import random
+import re
 import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from fabula.llm import bpe, html_extract, token_counts, toxicity, warc
 
@@ -243,8 +247,85 @@ def test_warc_round_trip(spark, tmp_path):
 def test_warc_http():
     body = gzip.compress(b"<p>hi")
     chunked = b"%x\r\n" % len(body) + body + b"\r\n0\r\n\r\n"
-    _, headers, got = warc.http_parts(b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\nX-A: b\r\n c\r\n\r\n" + chunked)
-    assert got == b"<p>hi" and ("X-A", "b c") in headers
+    head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\nX-A: b\r\n c\r\n\r\n"
+    _, headers, sent, got, problem = warc.http_parts(head + chunked)
+    assert (sent, got, problem) == (chunked, b"<p>hi", "") and ("X-A", "b c") in headers
+    coded = lambda coding, body: warc.http_parts(b"HTTP/1.1 200 OK\r\nContent-Encoding: " + coding + b"\r\n\r\n" + body)[3:]
+    assert coded(b"deflate", zlib.compress(b"x")) == (b"x", "") and coded(b"identity", b"x") == (b"x", "")
+    assert coded(b"br", b"x") == (b"x", "unknown coding br")
+    for bad in (head + b"zz\r\nab", head + b"5\r\nab", head + b"2\r\nab\r\n0\r\n\r\n", b"HTTP/1.0 200\r\nContent-Encoding: gzip\r\nContent-Length: many\r\n\r\nplain"):
+        assert warc.http_parts(bad)[4]
+    assert warc.http_parts(b"junk")[2:] == (b"junk", b"junk", "")
+
+
+def test_warc_bad_records(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\n<p>a"
+    odd = warc.Record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Date", "d")], block)
+    meta, text = warc.derive(odd)
+    assert b"source-problem: bad chunk size" in meta.block and text.block.endswith(b"a")
+    assert warc.sha1(b"zz\r\n<p>a").encode() in meta.block  # the payload as it was sent
+    latin = warc.Record([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\n\r\n\xe9")
+    assert warc.derive(latin)[1].block == "é".encode()
+    unknown = warc.Record([("WARC-Type", "response")], b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=none\r\n\r\n\xe9")
+    assert warc.derive(unknown)[1].block == "\ufffd".encode()
+    good = warc.response(1, "http://h/", PAGE, "d").to_bytes()
+    for name, data in (("a", good + good[:-40]), ("b", b"no record"), ("c", good.replace(b"Content-Length: ", b"Content-Length: x")), ("d", gzip.compress(good)[:-9]), ("e", good)):
+        (tmp_path / name).write_bytes(data)
+    rows = warc.derive_files(spark, f"file://{tmp_path}").collect()
+    count = lambda name, bad: sum(r.file.endswith(name) and (r.problem is not None) == bad for r in rows)
+    assert [(count(n, False), count(n, True)) for n in "abce"] == [(2, 1), (0, 1), (0, 1), (2, 0)] and count("d", True) == 1
+
+
+def test_warc_ids(spark):
+    rows = [(1, "u", "<p>a"), (1, "u", "<p>b"), (None, "u", "<p>a"), (None, "u", "<p>a")]
+    pages = spark.createDataFrame([(str(i) if i else None, u, h) for i, u, h in rows] + [("null", "u", "<p>a")], "page_id string, url string, html string")
+    got = warc.derive_pages(pages.withColumn("record", F.lit(1))).where("warc_type = 'conversion'").collect()
+    assert len(got) == 5 and len({r.record_id for r in got}) == 4
+
+
+class Shown(html.parser.HTMLParser):
+    """What a page shows, read by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        if tag in html_extract._BLOCK or tag == "br":
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style")
+        if tag in html_extract._BLOCK:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data)
+
+
+def test_warc_pages_brute(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = {(r.warc_type, r.target_uri, r.source_digest): r for r in warc.derive_pages(pages).collect()}
+    seen = 0
+    for p in pages.collect():
+        digest = "sha1:" + base64.b32encode(hashlib.sha1((p.html or "").encode()).digest()).decode()
+        meta, text = (rows[kind, p.url, digest] for kind in ("metadata", "conversion"))
+        assert meta.refers_to == text.refers_to and meta.record_id != text.record_id
+        for r in (meta, text):
+            head, _, rest = r.record.partition(b"\r\n\r\n")
+            fields = dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])
+            block = rest[:-4]
+            assert rest.endswith(b"\r\n\r\n") and int(fields[b"Content-Length"]) == len(block) == r.n_bytes
+            assert fields[b"WARC-Refers-To"].decode() == r.refers_to and r.record_sha256 == hashlib.sha256(r.record).hexdigest()
+            assert r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+        shown = Shown()
+        shown.feed(p.html)
+        lines = [" ".join(x.split()) for x in "".join(shown.out).split("\n")]
+        assert text.record.partition(b"\r\n\r\n")[2][:-4].decode() == "\n".join(x for x in lines if x)
+        seen += 1
+    assert 2 * seen == len(rows) or seen > 10
 
 
 def test_pipeline(spark):
@@ -274,3 +355,76 @@ def test_pipeline_cases(spark):
     assert sorted(str(r.doc_id) for r in p.drop_near_copies(spark, docs, SF).collect()) == ["1", "2", "3", "3", "None"]
     assert p.drop_contaminated(spark, docs, SF).count() == 6
     assert hashlib.sha256(b"").hexdigest() in {r.ids_sha256 for r in p.encode(spark, docs, SF).collect()}
+
+
+def test_pipeline_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    clean = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, item), (1, clean), (2, clean + " more"), (None, "quite another text " * 9), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = lambda df: sorted((str(r.doc_id), r.text[:5]) for r in df.collect())
+    assert kept(p.drop_contaminated(spark, docs, SF)) == [("1", "word0"), ("2", "word0"), ("None", "quite")]
+    assert kept(p.drop_near_copies(spark, docs, SF)) == sorted([("1", item[:5]), ("1", "word0"), ("None", "quite")])
+
+
+def test_pipeline_brute(spark):
+    """The pipeline's rows by plain Python: the model's scores are taken, all that follows is computed anew."""
+    import tokenizers
+
+    import corpus_pipeline as p
+
+    table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    model = toxicity.fit(table("documents"), table("labels"))
+    left = {r.doc_id: r.text or "" for r in table("documents").collect() if model.score(r.text) < 0.3}
+    firsts = {}
+    for i in sorted(left):
+        firsts.setdefault(re.sub("[\x20\x09-\x0d]+", " ", left[i]), i)
+    left = {i: left[i] for i in firsts.values()}
+    lower = {c: c + 32 for c in range(65, 91)}
+
+    def shingles(text):
+        w = re.findall("[^\x20\x09-\x0d]+", text.translate(lower))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, root = {i: shingles(t) for i, t in left.items()}, {i: i for i in left}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    left = {i: t for i, t in left.items() if find(i) == i}
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(lower))
+    grams = {}
+    for r in table("benchmark").collect():
+        w = words(r.text)
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if n else 0):
+            grams.setdefault(n, set()).add(tuple(w[i : i + n]))
+
+    def clean(text):
+        w = words(text)
+        hit = set()
+        for n, known in grams.items():
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in known:
+                    hit.update(range(i, i + n))
+        return not hit or 20 * len(hit) < len(w)
+
+    coder = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    coder.no_truncation()
+    coder.no_padding()
+    want = {}
+    for i, t in left.items():
+        if clean(t):
+            ids = coder.encode(t, add_special_tokens=False).ids
+            decoded = coder.decode(ids, skip_special_tokens=False)
+            want[i] = (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in p.run(spark, SF).collect()} == want
