@@ -16,7 +16,7 @@ import codecs
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import pyarrow as pa
 import regex
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Most words that a worker remembers.
-CACHE = 400_000
+#: Most words that a worker remembers, letters of the longest such, and letters of a text that is taken at once.
+CACHE, REMEMBERED, PIECE = 400_000, 64, 1 << 20
 
 
 def byte_letters() -> dict[int, str]:
@@ -107,6 +107,7 @@ class WordBpe(Merges):
         self.letters = {b: c for b, c in byte_letters().items()}
         self.bytes_of = {c: b for b, c in self.letters.items()}
         self.names = {i: t for t, i in (spec["model"]["vocab"] | self.special).items()}
+        self.name_bytes = {i: t.encode() for i, t in self.names.items()}
         self.specials = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.cache: dict[str, bytes] = {}
 
@@ -130,32 +131,38 @@ class WordBpe(Merges):
         yield last + self.end
 
     def word(self, word: str) -> bytes:
-        """The ids of a pre-token as little-endian 32-bit numbers."""
+        """The ids of a pre-token as little-endian 32-bit numbers, by the transducer; those of short ones are remembered."""
         vocabulary = self.vocabulary
-        if len(word) > 64:
-            return b"".join(vocabulary[t].to_bytes(4, "little") for t in self.stream(self._symbols(word)))
-        out = self.cache.get(word)
-        if out is None:
+        out = b"".join(vocabulary[t].to_bytes(4, "little") for t in self.stream(self._symbols(word)))
+        if len(word) <= REMEMBERED:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            out = self.cache[word] = b"".join(vocabulary[t].to_bytes(4, "little") for t in self.merge(list(self._symbols(word))))
+            self.cache[word] = out
         return out
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit numbers, without added special tokens."""
-        parts = self.specials.split(text) if "<|" in text else [text]
-        out: list[bytes] = []
+    def encode_stream(self, text: str) -> Iterator[bytes]:
+        """Ids of a whole text as little-endian 32-bit numbers, without added special tokens, piece by piece."""
         cache, slow = self.cache, self.word
-        for part in parts:
+        for part in self.specials.split(text) if "<|" in text else [text]:
             if part in self.special:
-                out.append(self.special[part].to_bytes(4, "little"))
-            elif part:
-                out += [cache.get(w) or slow(w) for w in self.words.findall(self.normalise(part))]
-        return b"".join(out)
+                yield self.special[part].to_bytes(4, "little")
+            elif len(part) < PIECE:
+                yield b"".join([cache.get(w) or slow(w) for w in self.words.findall(self.normalise(part))])
+            else:  # words one after the other, not all at once
+                found = (m.group() for m in self.words.finditer(self.normalise(part)))
+                while some := list(islice(found, 4096)):
+                    yield b"".join([cache.get(w) or slow(w) for w in some])
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.encode_stream(text))
+
+    def decoder(self) -> "Decoder":
+        return Decoder(self)
 
     def decode(self, ids: Iterable[int]) -> str:
         """As the library decodes a file without a decoder: the tokens' names, parted by spaces."""
-        return " ".join(map(self.names.__getitem__, ids))
+        machine = self.decoder()
+        return (machine.feed(ids) + machine.end()).decode()
 
     def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
         """The text behind ids, piece by piece: bytes go through an incremental UTF-8 machine that holds only an unfinished letter."""
@@ -172,6 +179,26 @@ class WordBpe(Merges):
         yield machine.decode(b"", True)
 
 
+class Decoder:
+    """Decoding as a machine with one state, whether a token has come: ids in, in any portions, bytes of the text out.
+
+    The rule is the library's for files without a decoder: names of tokens with a space between them. Every name is
+    whole UTF-8, so portions are too.
+    """
+
+    def __init__(self, coder: WordBpe):
+        self.names, self.begun = coder.name_bytes, False
+
+    def feed(self, ids: Iterable[int]) -> bytes:
+        out = b" ".join(map(self.names.__getitem__, ids))
+        lead, self.begun = b" " if self.begun and out else b"", self.begun or bool(out)
+        return lead + out
+
+    def end(self) -> bytes:
+        self.begun = False
+        return b""
+
+
 _loaded: dict[str, WordBpe] = {}
 
 
@@ -190,13 +217,19 @@ def _code(path: str, with_ids: bool):
         for batch in batches:
             n, ids, back, raw = [], [], [], []
             for text in batch.column(1).to_pylist():
-                code = coder.encode(text or "")
-                numbers = struct.unpack(f"<{len(code) // 4}I", code)
-                n.append(len(numbers))
-                ids.append(hashlib.sha256(code).hexdigest())
-                back.append(hashlib.sha256(coder.decode(numbers).encode()).hexdigest())
-                if with_ids:
-                    raw.append(numbers)
+                code, text_out, machine, numbers = hashlib.sha256(), hashlib.sha256(), coder.decoder(), []
+                count = 0
+                for piece in coder.encode_stream(text or ""):  # piece by piece: nothing grows with the text but the ids asked for
+                    own = struct.unpack(f"<{len(piece) // 4}I", piece)
+                    count += len(own)
+                    code.update(piece)
+                    text_out.update(machine.feed(own))
+                    if with_ids:
+                        numbers += own
+                n.append(count)
+                ids.append(code.hexdigest())
+                back.append(text_out.hexdigest())
+                raw.append(numbers)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
             yield pa.record_batch(columns + ([pa.array(raw, pa.list_(pa.int32()))] if with_ids else []), ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else []))
 

@@ -109,7 +109,7 @@ WITH t(license, template) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS body FROM documents),
 l AS (SELECT r, trim(regexp_replace(unnest(list_concat(string_split(body, chr(10)), regexp_split_to_array(body, '\n[ \t\r]*\n'), [body])), '[^a-z0-9]+', ' ', 'g')) AS line FROM d),
 w AS (SELECT r, string_split(line, ' ') AS w FROM l),
-g AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) BETWEEN 2 AND 1000),
+g AS (SELECT r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) >= 2),
 s AS (SELECT r, license, len(list_intersect(grams, template)) AS c, len(grams) + len(template) AS s FROM g, t),
 h AS (SELECT r, license, max(2.0 * c / s) AS score FROM s WHERE 200 * c >= 80 * s GROUP BY r, license),
 b AS (SELECT r, count(*) AS n_licenses, string_agg(license, ',' ORDER BY license) AS license_ids, arg_min(license, (-score, license)) AS best_license, max(score) AS best_score FROM h GROUP BY r)

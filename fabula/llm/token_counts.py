@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-#: Pre-tokens whose counts a worker remembers.
-CACHE = 400_000
+#: Pre-tokens whose counts a worker remembers, and letters of the longest such.
+CACHE, REMEMBERED = 400_000, 64
 _SPACE = "▁"
 
 
@@ -107,9 +107,10 @@ class PieceCounter:
         if len(cache) > CACHE:
             cache.clear()
         new = list(set().union(*lists) - cache.keys())
-        if new:
-            cache.update(zip(new, self.count_words(new).tolist(), strict=True))
-        return [sum(map(cache.__getitem__, words)) for words in lists]
+        counts = dict(zip(new, self.count_words(new).tolist(), strict=True)) if new else {}
+        out = [sum(cache[w] if w in cache else counts[w] for w in words) for words in lists]
+        cache.update((w, n) for w, n in counts.items() if len(w) <= REMEMBERED)
+        return out
 
 
 _loaded: dict[str, PieceCounter] = {}

@@ -55,6 +55,52 @@ def test_bpe_stream_is_whole():
         assert list(coder.stream(iter(symbols))) == coder.merge(list(symbols))
 
 
+def test_bpe_lookahead_of_random_lists():
+    """Blocks no longer than the computed lookahead needs give the tokens of the whole, for lists that chain."""
+    rnd = random.Random(21)
+    for _ in range(120):
+        tokens, rules = list("abc"), []
+        for _ in range(rnd.randint(1, 14)):
+            pair = (rnd.choice(tokens), rnd.choice(tokens))
+            if pair not in rules and len("".join(pair)) <= 12:
+                rules.append(pair)
+                tokens.append("".join(pair))
+        merges = bpe.Merges({t: i for i, t in enumerate(tokens)}, rules)
+        for _ in range(12):
+            symbols = [rnd.choice("abc") for _ in range(rnd.randint(1, 40) + 4 * merges.lookahead)]
+            assert list(merges.stream(iter(symbols))) == merges.merge(list(symbols)), (rules, "".join(symbols))
+
+
+def test_bpe_lookahead_of_chains():
+    """Chains of the tokenizer's own list: each rule's second part begins a rule of lower rank, which may take it away."""
+    coder, rnd = bpe.load(bpe.default_path()), random.Random(22)
+    by_first = {}
+    for (a, b), rank in coder.ranks.items():
+        by_first.setdefault(a, []).append((rank, b))
+    for _ in range(40):
+        (a, b), rank = rnd.choice(list(coder.ranks.items()))
+        chain = [a, b]
+        while lower := [x for x in by_first.get(chain[-1], []) if x[0] < rank]:
+            rank, nxt = rnd.choice(lower)
+            chain.append(nxt)
+        text = "".join(chain).replace(coder.end, "")
+        symbols = list(text * (2 + 4 * coder.lookahead // len(text)))
+        assert list(coder.stream(iter(symbols))) == coder.merge(list(symbols))
+
+
+def test_bpe_pieces(monkeypatch):
+    coder = bpe.load(bpe.default_path())
+    texts = odd_texts(300) + ["word " * 9000 + "<|endoftext|>" + "x" * 700]
+    whole = [coder.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "PIECE", 5)
+    assert [coder.encode(t) for t in texts] == whole
+    for code in whole:
+        ids = struct.unpack(f"<{len(code) // 4}I", code)
+        machine = coder.decoder()
+        parts = b"".join(machine.feed(ids[i : i + 3]) for i in range(0, len(ids), 3)) + machine.end()
+        assert parts.decode() == coder.decode(ids) == " ".join(coder.names[i] for i in ids)
+
+
 def test_bpe_decode_text():
     coder = bpe.load(bpe.default_path())
     code = coder.encode("héllo 漢 wörld <|endoftext|>")
