@@ -107,6 +107,46 @@ def segments(cards: DataFrame, group: list[str], order: str, scene: str, facets:
     return rows.groupBy(*group, "bucket").agg(F.count("*").alias("scene_count"), listed(by_order).alias("scene_ids"), F.greatest(*filled)["facet"].alias("dominant"), listed(strongest).alias("evidence"))
 
 
+def numbered(rows: DataFrame, group: list[str], order: list, out: str) -> DataFrame:
+    """rows with their place from one within a group."""
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def usage_totals(calls: DataFrame, group: list[str], usage: str) -> DataFrame:
+    """Tokens that a run's calls say they used (usage: map of counts as text); what is no whole number doesn't count."""
+    kinds = ["prompt_tokens", "completion_tokens", "total_tokens"]
+    number = lambda k: F.when(F.element_at(usage, k).rlike(r"^-?[0-9]+$"), F.element_at(usage, k).cast("long"))
+    return calls.groupBy(*group).agg(*(F.coalesce(F.sum(number(k)), F.lit(0).cast("long")).alias(k) for k in kinds))
+
+
+def build_totals(nodes: DataFrame, arcs: DataFrame, movie: str, character: str) -> DataFrame:
+    """How many roles, nodes and arcs a movie's build has."""
+    zero = F.lit(0).cast("long")
+    both = nodes.select(movie, F.col(character).alias("_c"), F.lit(1).alias("_n"), F.lit(0).alias("_a")).unionByName(arcs.select(movie, F.lit(None).cast(nodes.schema[character].dataType).alias("_c"), F.lit(0).alias("_n"), F.lit(1).alias("_a")))
+    return both.groupBy(movie).agg(F.countDistinct("_c").alias("selected_focal_character_count"), F.coalesce(F.sum("_n"), zero).alias("timeline_node_count"), F.coalesce(F.sum("_a"), zero).alias("arc_count"))
+
+
+def repair_totals(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """One row over all movies: how many, and the sum of each kind of change."""
+    return rows.agg(F.count("*").alias("movies"), *(F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in kinds))
+
+
+def role_stats(samples: DataFrame, language: str, movie: str, character: str) -> DataFrame:
+    """Of each language, and of all: movies, roles and samples that were found."""
+    role = F.struct(movie, character)
+    out = samples.rollup(language).agg(F.grouping(language).alias("_all"), F.countDistinct(movie).alias("movies"), F.countDistinct(role).alias("characters"), F.count("*").alias("samples"))
+    return out.withColumn(language, F.when(F.col("_all") == 1, "all").otherwise(F.col(language))).drop("_all")
+
+
+def run_outputs(reports: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each finished run: its score, its path score (the older field where there is no newer one), hit and recall; unreadable ones are null.
+
+    reports: keys, core_score, path_score, legacy_path_score, hit_at_k, recall_at_k (text as found in result files).
+    """
+    number = lambda c: F.col(c).try_cast("double")
+    return reports.select(*keys, number("core_score").alias("score"), F.coalesce(number("path_score"), number("legacy_path_score")).alias("path_score"), number("hit_at_k").alias("hit_at_k"), number("recall_at_k").alias("recall_at_k"))
+
+
 def retrieval_summary(turns: DataFrame, group: list[str], selected: str, sources: str, size: Column) -> DataFrame:
     """Means over turns; hit and recall only over turns that have sources."""
     known = F.size(sources) > 0

@@ -9,6 +9,7 @@ from fabula.functions import text as T
 
 # Our own wording: what each call asks for, in English and Chinese.
 INSTRUCTIONS: dict[str, tuple[str, str]] = {
+    "propose_nodes": ("Propose the moments that change the character, from these scenes alone. Return JSON {\"proposed_nodes\": [..]}.", "仅根据这些场景提出改变人物的时刻。返回 JSON {\"proposed_nodes\": [..]}。"),
     "select_roles": ("Choose the characters whose story carries the film. Return JSON {\"characters\": [..]}.", "选出承载影片故事的人物。返回 JSON {\"characters\": [..]}。"),
     "beat": ("Summarise this beat and what changes for each character. Return JSON.", "概括这一情节点以及每个人物的变化。返回 JSON。"),
     "scene_role": ("Say what part the character plays in this scene and what shifts. Return JSON.", "说明人物在此场景中的作用和变化。返回 JSON。"),
@@ -50,8 +51,108 @@ def messages(user: Column, system: Column | None = None) -> Column:
     return F.array(*([one("system", system)] if system is not None else []), one("user", user))
 
 
-def scene_role(language: Column, name: Column, title: Column, content: Column, most: int = 7000) -> Column:
-    return prompt("scene_role", language, character=name, scene=title, text=T.excerpt(content, most))
+def _json(c: Column) -> Column:
+    return F.to_json(c)
+
+
+def select_roles(language: Column, candidates: Column, most: int) -> Column:
+    """candidates: JSON of the speakers, or of the merged list."""
+    return messages(prompt("select_roles", language, most=F.lit(str(most)), candidates=candidates))
+
+
+def propose_nodes(language: Column, name: Column, aliases: Column, cards: Column, least: int = 4, most: int = 10) -> Column:
+    """cards: JSON of scene cards, whose excerpts are 700 letters at most."""
+    return messages(prompt("propose_nodes", language, character=name, aliases=F.array_join(aliases, ", "), number=F.lit(f"{least}-{most}"), scenes=cards))
+
+
+def refine(name: Column, candidates: Column, language: Column | None = None, least: int = 7, most: int = 9) -> Column:
+    return messages(prompt("refine", F.lit("en") if language is None else language, character=name, number=F.lit(f"{least}-{most}"), nodes=candidates))
+
+
+def beat(language: Column, title: Column, heading: Column, index: Column, text: Column, most: int = 7000) -> Column:
+    return messages(prompt("beat", language, scene=title, heading=F.coalesce(heading, F.lit("")), beat=index.cast("string"), text=T.excerpt(text, most)))
+
+
+def ground(language: Column, name: Column, node: Column, text: Column, most: int = 5000) -> Column:
+    """node: JSON of the draft; text: the beat or the scene that must bear it out."""
+    return messages(prompt("ground_node", language, character=name, node=node, text=T.excerpt(text, most)))
+
+
+def arcs(language: Column, name: Column, nodes: Column) -> Column:
+    """nodes: array of structs in story order."""
+    return messages(prompt("arcs", language, character=name, nodes=_json(nodes)))
+
+
+def same_development(name: Column, gold: Column, predicted: Column) -> Column:
+    return prompt("same_development", F.lit("en"), character=name, gold=_json(gold), predicted=_json(predicted))
+
+
+def same_state(name: Column, gold: Column, predicted: Column) -> Column:
+    return prompt("same_state", F.lit("en"), character=name, gold=_json(gold), predicted=_json(predicted))
+
+
+def arc_links(name: Column, gold: Column, predicted: Column) -> Column:
+    return prompt("arc_links", F.lit("en"), character=name, gold=_json(gold), predicted=_json(predicted))
+
+
+def arc_focus(language: Column, name: Column, gold: Column, predicted: Column) -> Column:
+    return prompt("arc_focus", language, character=name, gold=_json(gold), predicted=_json(predicted))
+
+
+def arc_progress(language: Column, name: Column, gold: Column, predicted: Column) -> Column:
+    return prompt("arc_progress", language, character=name, gold=_json(gold), predicted=_json(predicted))
+
+
+def coherent(language: Column, name: Column, before: Column, after: Column, scene_before: Column, scene_after: Column, most: int = 900) -> Column:
+    """before and after: nodes; scenes: their texts, of which collapsed excerpts are shown."""
+    shown = lambda c: T.excerpt(T.clean_text(c), most)
+    return prompt("coherent", language, character=name, earlier_node=_json(before), later_node=_json(after), earlier_scene=shown(scene_before), later_scene=shown(scene_after))
+
+
+def timeline_facts(language: Column, name: Column, timeline: Column, most: int = 8) -> Column:
+    return messages(prompt("facts", language, character=name, most=F.lit(str(most)), timeline=timeline))
+
+
+def facts_supported(language: Column, name: Column, facts: Column, timeline: Column) -> Column:
+    return messages(prompt("facts_supported", language, character=name, facts=_json(facts), timeline=timeline))
+
+
+def scene_role(language: Column, name: Column, title: Column, content: Column, most: int = 7000, order: Column | None = None) -> Column:
+    place = {} if order is None else {"order": order.cast("string")}
+    return prompt("scene_role", language, character=name, scene=title, **place, text=T.excerpt(content, most))
+
+
+def scene_roles(language: Column, name: Column, scenes: Column, most: int = 1200) -> Column:
+    """scenes: array of (scene_id, scene_order, title, content); their texts are cut."""
+    cut = F.transform(scenes, lambda s: F.struct(s["scene_id"].alias("scene_id"), s["scene_order"].alias("scene_order"), s["title"].alias("scene_title"), T.excerpt(s["content"], most).alias("scene_text")))
+    return messages(prompt("scene_roles", language, character=name, scenes=_json(cut)))
+
+
+def segment(language: Column, name: Column, bucket: Column, cards: Column, most: int = 10) -> Column:
+    return messages(prompt("segment", language, character=name, part=bucket, cards=_json(F.slice(cards, 1, most))))
+
+
+def compare(language: Column, name: Column, a: Column, b: Column) -> Column:
+    return messages(prompt("compare", language, character=name, a=_json(a), b=_json(b)))
+
+
+def render_node(language: Column, name: Column, card: Column, content: Column, most: int = 6000) -> Column:
+    return messages(prompt("render_node", language, character=name, card=_json(card), text=T.excerpt(content, most)))
+
+
+def timeline_summary(language: Column, name: Column, nodes: Column, most: int = 24) -> Column:
+    """nodes: array of structs in story order, the first `most` of which are shown."""
+    return messages(prompt("timeline_summary", language, character=name, nodes=_json(F.slice(nodes, 1, most))))
+
+
+def repair_nodes(language: Column, name: Column, aliases: Column, nodes: Column, most: int = 5000) -> Column:
+    """nodes: array of structs with scene_text, which is cut."""
+    cut = F.transform(nodes, lambda n: n.withField("scene_text", T.excerpt(n["scene_text"], most)))
+    return messages(prompt("repair_nodes", language, character=name, aliases=F.array_join(aliases, ", "), nodes=_json(cut)))
+
+
+def mend_json(text: Column) -> Column:
+    return messages(prompt("mend_json", F.lit("en"), text=text))
 
 
 def actor(language: Column, persona: Column, memories: Column, relations: Column, history: Column, turn: Column) -> Column:
@@ -59,7 +160,14 @@ def actor(language: Column, persona: Column, memories: Column, relations: Column
     return messages(F.concat_ws("\n", history, F.concat(F.lit("user: "), turn)), system)
 
 
-def judge_turn(language: Column, metric: str, question: Column, answer: Column, facts: Column, forbidden: Column) -> Column:
+def judge_turn(language: Column, metric: str, question: Column, answer: Column, facts: Column, forbidden: Column, history: Column | None = None, constraints: Column | None = None) -> Column:
+    """history and constraints: what an episode adds, the dialogue so far and what earlier turns bind."""
     if metric not in MULTI_TURN_METRICS:
         raise ValueError(metric)
-    return messages(prompt("judge_turn", language, metric=F.lit(metric), question=question, answer=answer, facts=T.bullets(facts), forbidden=T.bullets(forbidden)))
+    more = ({} if history is None else {"dialogue": history}) | ({} if constraints is None else {"constraints": T.bullets(constraints)})
+    return messages(prompt("judge_turn", language, metric=F.lit(metric), **more, question=question, answer=answer, facts=T.bullets(facts), forbidden=T.bullets(forbidden)))
+
+
+def judge_path(language: Column, name: Column, turns: Column, episode: Column) -> Column:
+    """turns: array of (turn_index, user, answer); episode: what the story says of it."""
+    return messages(prompt("judge_path", language, character=name, episode=episode, turns=_json(turns)))

@@ -500,7 +500,7 @@ def dialogue_fold(table):
     return dialogue.play_episodes(turns, ["conv_id"], "turn", "text", "history")
 
 
-@query()
+@query("""SELECT event_id, '{' || string_agg('"' || k || '":' || json_extract(props, '$.' || k), ',' ORDER BY k) || '}' AS json FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) GROUP BY event_id""")
 def tolerant_json(table):
     broken = F.concat(F.lit("Here it is:\n```json\n"), F.regexp_replace("props", r"\}$", ",}"), F.lit("\n```"))
     return table("events").select("event_id", extract_json(broken).alias("json"))

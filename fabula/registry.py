@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from fabula.plans import queries  # noqa: E402, F401  registers
+from fabula.plans import queries, queries_story  # noqa: E402, F401  registers
