@@ -38,6 +38,12 @@ def unit(a: Column, least: float = 1e-12) -> Column:
     return F.transform(a, lambda x: x.cast("double") / n)
 
 
+def unit_or_zero(a: Column, least: float = 1e-12) -> Column:
+    """The vector at length one; of hardly any length, all zeros."""
+    n = norm(a)
+    return F.transform(a, lambda x: F.when(n > least, x.cast("double") / n).otherwise(0.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 for empty vectors, vectors of other sizes and vectors without length."""
     size = norm(a) * norm(b)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.functions.text import CJK, clean_text
 from fabula.functions.values import dot, temporal_bucket, unit
 from fabula.operators.matching import band_neighbours
 
@@ -57,7 +58,7 @@ def reciprocal_rank_fusion(ranked: DataFrame, group: list[str], doc: str, k: int
 
 
 def select_memories(memories: DataFrame, scores: DataFrame, keys: list[str], memory: str, order: str, mode: str, k: int = 4) -> DataFrame:
-    """The memories a sample sees: none (persona_only), all (full_memory_all_in) or the k best (bm25_topk, embedding_topk).
+    """The memories a sample sees, with scores of six places: none (persona_only), all (full_memory_all_in) or the k best (bm25_topk, embedding_topk).
 
     memories: keys, memory, order; scores: keys, memory, score (a missing score is 0). Equal scores go by order, where
     a missing one is 0; the whole list goes by order, where a missing one is last.
@@ -70,7 +71,7 @@ def select_memories(memories: DataFrame, scores: DataFrame, keys: list[str], mem
     if mode not in ("bm25_topk", "embedding_topk"):
         raise NotImplementedError(mode)
     both = memories.join(scores.select(*keys, memory, "score"), [*keys, memory], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return top_k(both, keys, k, F.coalesce(order, F.lit(0)), memory)
+    return top_k(both, keys, k, F.coalesce(order, F.lit(0)), memory).withColumn("score", F.round("score", 6))
 
 
 def shortlist(scenes: DataFrame, group: list[str], order: str, score: str, most: int = 120, each: int = 24, strong: int = 6, reach: int = 2) -> DataFrame:
@@ -89,4 +90,40 @@ def shortlist(scenes: DataFrame, group: list[str], order: str, score: str, most:
 
 
 def persona_summary(traits: Column, style: Column, constraints: Column) -> Column:
-    return F.concat_ws("; ", F.array_join(F.slice(traits, 1, 6), ", "), F.array_join(F.slice(style, 1, 4), ", "), F.array_join(F.slice(constraints, 1, 3), ", "))
+    """Up to six traits, four traits of style and three constraints, a line each; lines without any are left out."""
+    listed = lambda c, n: F.slice(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), clean_text), lambda x: x != ""), 1, n)
+    line = lambda name, c, n, by: F.when(F.size(listed(c, n)) > 0, F.concat(F.lit(f"{name}: "), F.array_join(listed(c, n), by)))
+    return F.concat_ws("\n", line("Traits", traits, 6, ", "), line("Style", style, 4, ", "), line("Constraints", constraints, 3, " "))
+
+
+def memory_document(text: Column, facts: Column, tags: Column) -> Column:
+    """What a memory is found by: its text, its grounded facts and its tags, a line each."""
+    listed = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), clean_text), lambda x: x != "")
+    line = lambda name, c, by: F.when(F.size(listed(c)) > 0, F.concat(F.lit(f"{name}: "), F.array_join(listed(c), by)))
+    return F.concat_ws("\n", clean_text(text), line("Grounded facts", facts, " "), line("Tags", tags, ", "))
+
+
+def memory_tokens(c: Column, language: Column) -> Column:
+    """Tokens of memories and questions: of Chinese runs of ASCII letters, digits and _ and single letters, else runs of a-z, 0-9 and '."""
+    low = F.lower(clean_text(c))
+    return F.when(F.lower(language) == "chinese", F.regexp_extract_all(low, F.lit(rf"[a-z0-9_]+|[{CJK}]"), 0)).otherwise(F.regexp_extract_all(low, F.lit("[a-z0-9']+"), 0))
+
+
+def memory_query(persona: Column, history: Column, turn: Column) -> Column:
+    """What memories are sought with: the persona, the dialogue so far (lines with a text) and the current turn. history: array of (speaker, text)."""
+    said = F.filter(F.coalesce(history, F.array().cast("array<struct<speaker:string,text:string>>")), lambda x: clean_text(x["text"]) != "")
+    lines = F.transform(said, lambda x: F.concat(clean_text(x["speaker"]), F.lit(": "), clean_text(x["text"])))
+    return F.concat_ws("\n\n", persona, F.when(F.size(lines) > 0, F.concat(F.lit("Dialogue history:\n"), F.array_join(lines, "\n"))), F.concat(F.lit("Current user turn:\n"), clean_text(turn)))
+
+
+def relation_context(relations: Column) -> Column:
+    """A role's relations with collapsed texts; the summary stands in for a relation without a name."""
+    text = lambda r, f: clean_text(r[f])
+    return F.transform(relations, lambda r: F.struct(text(r, "relation_id").alias("relation_id"), text(r, "target_character").alias("target_character"), F.when(text(r, "relation") != "", text(r, "relation")).otherwise(text(r, "relation_summary")).alias("relation"), text(r, "relation_summary").alias("relation_summary")))
+
+
+def with_vectors(ranked: DataFrame, docs: DataFrame, queries: DataFrame, index: list[str], doc: str, query: str, k: int, source: str = "vector") -> DataFrame:
+    """Rank lists (index, query, doc, rank, source) and, beside them, those of the vectors in docs and queries."""
+    scores = vector_scores(docs, queries, index, doc, query, "vector")
+    lists = top_k(scores, [*index, query], k, doc).select(*index, query, doc, "rank", F.lit(source).alias("source"))
+    return ranked.select(*index, query, doc, "rank", "source").unionByName(lists)

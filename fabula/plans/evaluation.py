@@ -155,8 +155,8 @@ def evaluate(gold: dict[str, DataFrame], predicted: dict[str, DataFrame], scenes
         out = arcs.join(listed, ["movie_id", "character", "arc_id"], "left").withColumn("scenes", F.coalesce("scenes", F.array().cast("array<string>")))
         return embed_column(out.withColumn("text", arc_text(F.struct(*[c for c in arcs.columns if c not in ("movie_id", "character")]))), "text", "vector", provider).withColumn("role", F.concat_ws("|", "movie_id", "character"))
 
-    p_arcs = predicted["arcs"].join(who, ["movie_id", "character"]).drop("character").withColumnRenamed("gold_character", "character")
-    g_arcs = linked(gold["arcs"].join(p_roles.select("movie_id", "character"), ["movie_id", "character"], "left_semi"), g_nodes)
+    p_arcs = predicted["arcs"].drop("language").join(who, ["movie_id", "character"]).drop("character").withColumnRenamed("gold_character", "character")
+    g_arcs = linked(gold["arcs"].drop("language").join(p_roles.select("movie_id", "character"), ["movie_id", "character"], "left_semi"), g_nodes)
     p_arcs = linked(p_arcs, p_nodes)
     best = matching.best_arc_match(g_arcs, p_arcs, "role")
     shown = ["title", "arc_focus", "arc_summary", "start_state", "end_state", "unresolved_issue", "scenes"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -77,6 +78,17 @@ def ask_json(provider: Provider, messages: Sequence[dict], tries: int = 4) -> st
     return None
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows that calls were paid for: written to spark.checkpoint.dir and read again where that is set, else persisted, so that no later step asks again."""
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return rows.persist()
+    path = f"{folder.rstrip('/')}/answers-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def complete_column(rows: DataFrame, messages: str, out: str, provider: Callable[[], Provider], as_json: bool = False) -> DataFrame:
     """rows with the model's answer to the column of messages (array of role and content); a provider for each task."""
     schema = rows.withColumn(out, F.lit(None).cast("string")).schema
@@ -88,7 +100,7 @@ def complete_column(rows: DataFrame, messages: str, out: str, provider: Callable
             answers = [None if m is None else ask_json(model, m) if as_json else model.complete(m) for m in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], [*batch.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return kept(rows.mapInArrow(run, schema))
 
 
 def embed_column(rows: DataFrame, text: str, out: str, provider: Callable[[], Provider], prefix: str = "", size: int = 32) -> DataFrame:
@@ -103,7 +115,7 @@ def embed_column(rows: DataFrame, text: str, out: str, provider: Callable[[], Pr
             vectors = [v for i in range(0, len(texts), size) for v in model.embed(texts[i : i + size])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float64()))], [*batch.schema.names, out])
 
-    return rows.mapInArrow(run, schema)
+    return kept(rows.mapInArrow(run, schema))
 
 
 def judge_column(provider: Callable[[], Provider]):

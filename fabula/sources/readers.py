@@ -103,9 +103,26 @@ def filter_roles(rows: DataFrame, languages: list[str] | None = None, movies: li
 
 
 def provenance(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """movie_id, scene_id, name of every Character entity; unreadable files give nothing."""
+    """movie_id, scene_order (text), name: what every Character entity goes by, its name and its description; unreadable files give nothing."""
     rows = _files(spark, paths).select("movie_id", F.explode(F.from_json("value", S.EXTRACTION)).alias("key", "d"))
-    return rows.select("movie_id", F.coalesce("d.document_metadata.scene_id", "key").alias("scene_id"), F.explode("d.entities").alias("e")).where("e.type = 'Character'").select("movie_id", "scene_id", "e.name").distinct()
+    rows = rows.select("movie_id", T.clean_text("d.document_metadata.scene_id").alias("scene_order"), F.explode("d.entities").alias("e")).where("e.type = 'Character' AND scene_order <> ''")
+    names = F.filter(F.array(T.clean_text("e.name"), T.clean_text("e.description")), lambda n: n != "")
+    return rows.select("movie_id", "scene_order", F.explode(names).alias("name")).distinct()
+
+
+def discover(spark: SparkSession, root: str, languages: list[str] | None = None, needed: list[str] | None = None, movies: list[str] | None = None) -> DataFrame:
+    """language, movie_id, folder of the movies below root that have all the needed files (script.json), sorted; below root come a folder for each language and one for each movie."""
+    needed = needed or ["script.json"]
+    names = {"en": "English", "zh": "Chinese"}
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).select("path")  # names only: contents aren't read
+    parts = F.split("path", "/")
+    rows = found.select(F.element_at(parts, -1).alias("file"), F.element_at(parts, -2).alias("movie_id"), F.element_at(parts, -3).alias("kind"), F.regexp_replace("path", "/[^/]*$", "").alias("folder")).where(F.col("file").isin(needed))
+    language = F.coalesce(*(F.when(F.col("kind") == name, k) for k, name in names.items()))
+    rows = rows.withColumn("language", language).where(F.col("language").isin(languages or list(names)))
+    if movies:
+        rows = rows.where(F.col("movie_id").isin(movies))
+    whole = rows.groupBy("language", "movie_id", "folder").agg(F.countDistinct("file").alias("n")).where(F.col("n") == len(set(needed)))
+    return whole.select("language", "movie_id", "folder").orderBy("language", "movie_id")
 
 
 def results(spark: SparkSession, root: str, schema: str) -> DataFrame:
