@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from fabula.functions import payload as P
 from fabula.functions import text as T
 from fabula.functions import values as V
-from fabula.operators import matching, summaries
-from fabula.plans import beat_story, evaluation, repairs
+from fabula.operators import matching, retrieval, summaries
+from fabula.plans import beat_story, evaluation, repairs, timeline
 from fabula.registry import query
 
 _WS = r"[\s\x0B\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -274,3 +274,52 @@ def bullet_lists(table):
     e = F.col("event_type")
     items = F.when(e == "click", F.array(F.lit(" a"), F.lit(""), F.lit("b  c"))).when(e == "view", F.array(F.lit(" "))).when(e == "error", F.array("props"))
     return table("events").select("event_id", T.bullets(items).alias("bullets"))
+
+
+@query("""SELECT p_partkey, p_name || CASE WHEN p_size % 3 > 0 THEN chr(10) || 'Grounded facts: ' || CASE p_size % 3 WHEN 1 THEN p_type ELSE p_type || ' ' || p_brand END ELSE '' END || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Tags: ' || p_brand || ', x' ELSE '' END AS document FROM part""")
+def memory_documents(table):
+    k = F.col("p_size")
+    facts = F.when(k % 3 == 1, F.array("p_type", F.lit(" "))).when(k % 3 == 2, F.array("p_type", "p_brand"))
+    tags = F.when(k % 2 == 0, F.array("p_brand", F.lit("\n x ")))
+    return table("part").select("p_partkey", retrieval.memory_document(F.concat(F.lit(" "), "p_name"), facts, tags).alias("document"))
+
+
+@query("""SELECT user_id, 'Traits: ' || array_to_string(t[1:6], ', ') || chr(10) || 'Constraints: ' || array_to_string(t[1:3], ' ') AS persona, 'Traits: ' || array_to_string(t[1:6], ', ') || chr(10) || 'Constraints: ' || array_to_string(t[1:3], ' ') || chr(10) || chr(10)
+|| CASE WHEN user_id % 2 = 0 THEN 'Dialogue history:' || chr(10) || 'a: ' || t[1] || chr(10) || 'b c: ' || t[2] || chr(10) || chr(10) ELSE '' END || 'Current user turn:' || chr(10) || CAST(n AS VARCHAR) AS query
+FROM (SELECT user_id, list_sort(list(DISTINCT event_type || CAST(event_id % 3 AS VARCHAR))) AS t, count(*) AS n FROM events GROUP BY user_id) WHERE len(t) >= 3""")
+def memory_queries(table):
+    rows = table("events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.concat("event_type", F.col("event_id") % 3))).alias("t"), F.count("*").alias("n")).where(F.size("t") >= 3)
+    persona = retrieval.persona_summary(F.col("t"), F.array(F.lit(" ")), F.col("t"))
+    line = lambda s, t: F.struct(s.alias("speaker"), t.alias("text"))
+    history = F.when(F.col("user_id") % 2 == 0, F.array(line(F.lit("a"), F.col("t")[0]), line(F.lit("nobody"), F.lit("  ")), line(F.lit(" b  c"), F.concat(F.col("t")[1], F.lit(" ")))))
+    return rows.select("user_id", persona.alias("persona"), retrieval.memory_query(persona, history, F.concat(F.lit("  "), "n")).alias("query"))
+
+
+@query("""SELECT s_suppkey, 'r' || CAST(s_suppkey AS VARCHAR) || '|' || s_name || '|' || CASE WHEN s_suppkey % 2 = 0 THEN 'kin' ELSE 'of ' || CAST(s_nationkey AS VARCHAR) END || '|' || 'of ' || CAST(s_nationkey AS VARCHAR) AS relation FROM supplier""")
+def relation_contexts(table):
+    summary = F.concat(F.lit("of  "), "s_nationkey")
+    one = F.struct(F.concat(F.lit("r"), "s_suppkey").alias("relation_id"), F.concat("s_name", F.lit(" ")).alias("target_character"), F.when(F.col("s_suppkey") % 2 == 0, "kin").alias("relation"), summary.alias("relation_summary"))
+    r = retrieval.relation_context(F.array(one))[0]
+    return table("supplier").select("s_suppkey", F.concat_ws("|", r["relation_id"], r["target_character"], r["relation"], r["relation_summary"]).alias("relation"))
+
+
+@query("""WITH u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), v AS (SELECT vec_id, label, list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-12)) AS e FROM u),
+s AS (SELECT q.vec_id AS query, d.vec_id AS vec_id, list_sum(list_transform(list_zip(d.e, q.e), lambda z: z[1] * z[2])) AS score, abs(d.vec_id - q.vec_id) AS far FROM v d, v q WHERE q.vec_id % 100 = 0),
+l AS (SELECT query, vec_id, 'vector' AS src, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s UNION ALL SELECT query, vec_id, 'near', row_number() OVER (PARTITION BY query ORDER BY far, vec_id) FROM s),
+f AS (SELECT query, vec_id, sum(1.0::DOUBLE / (60 + rank)) AS score, string_agg(src, '+' ORDER BY src) AS trace FROM l WHERE rank <= 8 GROUP BY ALL)
+SELECT query, vec_id, trace, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, vec_id) AS rank FROM f) WHERE rank <= 8""")
+def vector_fusion(table):
+    """The stated queries against all rows, by vectors and by a second list, fused."""
+    rows = table("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query")
+    at = F.explode(F.sequence(F.col("query") - 8, F.col("query") + 8)).alias("vec_id")
+    near = asked.select("query", at).join(rows.select("vec_id"), "vec_id").withColumn("score", -F.abs(F.col("vec_id") - F.col("query")).cast("double"))
+    lists = retrieval.top_k(near, ["query"], 8, "vec_id").withColumn("source", F.lit("near"))
+    fused = retrieval.with_vectors(lists, rows, asked, [], "vec_id", "query", 8)
+    return retrieval.reciprocal_rank_fusion(fused, ["query"], "vec_id", 8).select("query", "vec_id", "trace", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct([p_name, p_name || ' decision conflict', p_name || ' relationship change', p_name || ' goal failure success', p_brand, p_type])), '|') AS queries FROM part""")
+def role_queries(table):
+    q = timeline.queries_of(F.col("p_name"), F.array("p_brand", "p_type", F.lit("more")))
+    return table("part").select("p_partkey", F.array_join(F.array_sort(q), "|").alias("queries"))
