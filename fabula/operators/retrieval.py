@@ -12,22 +12,32 @@ from fabula.operators.matching import band_neighbours
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
+def bounded(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """Rows of a stated query set, to be broadcast if they are counted to be no more than `most`; else as they are."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, index: list[str], doc: str, query: str, tokens: str = "tokens") -> DataFrame:
     """index, query, doc, score of documents that hold a token of the query; every statistic is the index's own.
 
     docs: index, doc, tokens; queries: index, query, tokens (repeated tokens count again). A token in most documents
-    has the floor share of the mean inverse frequency. Documents without a hit score 0 and have no row.
+    has the floor share of the mean inverse frequency. Documents without a hit score 0 and have no row. overlap counts
+    the distinct tokens that are shared.
     """
     d = docs.select(*index, doc, tokens)
     stats = d.groupBy(*index).agg(F.count("*").alias("_N"), F.avg(F.size(tokens)).alias("_avg"))
-    tf = d.select(*index, doc, F.size(tokens).alias("_len"), F.explode(tokens).alias("_t")).groupBy(*index, doc, "_len", "_t").agg(F.count("*").alias("_tf"))
-    df = tf.groupBy(*index, "_t").agg(F.count("*").alias("_df")).join(stats, index)
+    # A document counts once for a token, so frequencies need no row for each document and token beyond the scan.
+    df = d.select(*index, F.explode(F.array_distinct(tokens)).alias("_t")).groupBy(*index, "_t").agg(F.count("*").alias("_df")).join(stats, index)
     df = df.withColumn("_idf", F.log(F.col("_N") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5))
     mean = df.groupBy(*index).agg(F.avg("_idf").alias("_mean"))
-    idf = df.join(mean, index).select(*index, "_t", "_avg", F.when(F.col("_idf") < 0, FLOOR * F.col("_mean")).otherwise(F.col("_idf")).alias("_idf"))
-    asked = queries.select(*index, query, F.explode(tokens).alias("_t")).groupBy(*index, query, "_t").agg(F.count("*").alias("_q")).join(idf, [*index, "_t"])
+    words = queries.select(*index, query, F.explode(tokens).alias("_t"))
+    terms = bounded(words.select(*index, "_t").distinct())
+    idf = df.join(terms, [*index, "_t"]).join(mean, index).select(*index, "_t", "_avg", F.when(F.col("_idf") < 0, FLOOR * F.col("_mean")).otherwise(F.col("_idf")).alias("_idf"))
+    asked = bounded(words.groupBy(*index, query, "_t").agg(F.count("*").alias("_q")).join(idf, [*index, "_t"]))
+    said = d.select(*index, doc, F.size(tokens).alias("_len"), F.explode(tokens).alias("_t")).join(terms, [*index, "_t"])
+    tf = said.groupBy(*index, doc, "_len", "_t").agg(F.count("*").alias("_tf"))
     part = F.col("_q") * F.col("_idf") * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return tf.join(asked, [*index, "_t"]).groupBy(*index, query, doc).agg(F.sum(part).alias("score"))
+    return tf.join(asked, [*index, "_t"]).groupBy(*index, query, doc).agg(F.sum(part).alias("score"), F.count("*").alias("overlap"))
 
 
 def top_k(scores: DataFrame, group: list[str], k: int, *ties, digits: int = 9) -> DataFrame:

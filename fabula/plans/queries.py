@@ -258,15 +258,16 @@ bm AS (SELECT source, item_id, doc_id, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.
 bmr AS (SELECT source, item_id, doc_id, row_number() OVER (PARTITION BY source, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)"""
 
 
-def _bm25(table, k):
+def _bm25(table):
     docs = table("documents").select("source", "doc_id", T.tokens("text", F.lit("en")).alias("tokens"))
-    asked = docs.select("source").distinct().join(F.broadcast(table("benchmark").select("item_id", T.tokens("text", F.lit("en")).alias("tokens"), F.lit(1).alias("k"))), F.col("k") == 1).drop("k")
-    return retrieval.top_k(retrieval.bm25_scores(docs, asked, ["source"], "doc_id", "item_id"), ["source", "item_id"], k, "doc_id")
+    sources = table("documents").select("source").distinct()
+    asked = sources.crossJoin(F.broadcast(table("benchmark").select("item_id", T.tokens("text", F.lit("en")).alias("tokens"))))  # the stated queries of each index
+    return retrieval.bm25_scores(docs, asked, ["source"], "doc_id", "item_id")
 
 
 @query(f"WITH {_BM25} SELECT * FROM bmr WHERE rank <= 4")
 def bm25_topk(table):
-    return _bm25(table, 4).select("source", "item_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.top_k(_bm25(table), ["source", "item_id"], 4, "doc_id").select("source", "item_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 _VEC = """u AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), v AS (SELECT vec_id, label, list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-12)) AS e FROM u),
@@ -289,15 +290,13 @@ def vector_topk(table):
 f AS (SELECT source, item_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, string_agg(src, '+' ORDER BY src) AS trace FROM (SELECT *, 'bm25' AS src FROM bmr WHERE rank <= 12 UNION ALL SELECT *, 'overlap' FROM wr WHERE rank <= 12) GROUP BY ALL)
 SELECT source, item_id, doc_id, trace, rank FROM (SELECT *, row_number() OVER (PARTITION BY source, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 12""")
 def rrf_fusion(table):
-    from pyspark.sql.types import LongType
-
-    words = table("documents").select("source", "doc_id", F.explode(F.array_distinct(T.tokens("text", F.lit("en")))).alias("w"))
-    asked = F.broadcast(table("benchmark").select("item_id", F.explode(F.array_distinct(T.tokens("text", F.lit("en")))).alias("w")))
-    overlap = words.join(asked, "w").groupBy("source", "item_id", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    lists = _bm25(table, 12).withColumn("source_list", F.lit("bm25")).unionByName(retrieval.top_k(overlap, ["source", "item_id"], 12, "doc_id").withColumn("source_list", F.lit("overlap")))
-    ranked = lists.select(F.col("source").alias("movie"), "item_id", "doc_id", "rank", F.col("source_list").alias("source"))
+    """BM25 and word overlap of one pass over the documents, fused by rank."""
+    scores = _bm25(table)
+    best = lambda score, name: retrieval.top_k(scores.select("source", "item_id", "doc_id", score.alias("score")), ["source", "item_id"], 12, "doc_id").withColumn("list", F.lit(name))
+    lists = best(F.col("score"), "bm25").unionByName(best(F.col("overlap").cast("double"), "overlap"))
+    ranked = lists.select(F.col("source").alias("movie"), "item_id", "doc_id", "rank", F.col("list").alias("source"))
     out = retrieval.reciprocal_rank_fusion(ranked, ["movie", "item_id"], "doc_id", 12)
-    return out.select(F.col("movie").alias("source"), "item_id", "doc_id", "trace", F.col("rank").cast(LongType()).alias("rank"))
+    return out.select(F.col("movie").alias("source"), "item_id", "doc_id", "trace", F.col("rank").cast("long").alias("rank"))
 
 
 @query("""WITH m AS (SELECT c_custkey AS role, o_orderkey AS memory, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 11 END AS o, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE floor(o_totalprice / 10000) END AS s FROM orders JOIN customer ON o_custkey = c_custkey)
