@@ -192,7 +192,8 @@ class Residues:
 
 #: Odd numbers; changing them changes hashes, not results.
 BYTES, FIRST, SECOND = Rolling(0x9F3B62C7D1E8A4B5), Rolling(0xC2B2AE3D27D4EB4F), Residues()
-_SEGMENT = 2 << 20
+#: Letters that are hashed at once; a worker holds some ten numbers for each.
+_SEGMENT = 1 << 19
 
 
 def word_table(separators: bytes | tuple[int, ...]) -> np.ndarray:

@@ -70,10 +70,10 @@ def _blocks(text: bytes):
 
 
 class Model:
-    """What scoring needs: the softmax's log-odds of each bucket's vector, and of an empty bag."""
+    """What scoring needs: the softmax's log-odds of each bucket's vector, and of an empty bag; pool: how a document's words become one (max or mean)."""
 
-    def __init__(self, odds: np.ndarray, bias: float):
-        self.odds, self.bias = odds.astype(np.float32), float(bias)
+    def __init__(self, odds: np.ndarray, bias: float, pool: str = "max"):
+        self.odds, self.bias, self.pool = odds.astype(np.float32), float(bias), pool
 
     def words(self, text: bytes) -> np.ndarray:
         """Log-odds of each word: of the average of its bag, as the softmax is linear."""
@@ -83,12 +83,20 @@ class Model:
         return np.add.reduceat(self.odds[buckets], at[:-1], dtype=np.float64) / np.diff(at)
 
     def score(self, text: str | None) -> float:
-        best = max((float(w.max()) for b in _blocks(prepare(text)) if len(w := self.words(b))), default=0.0)
+        parts = [w for b in _blocks(prepare(text)) if len(w := self.words(b))]
+        if self.pool == "mean":
+            best = sum(float(w.sum()) for w in parts) / max(1, sum(map(len, parts)))
+        else:
+            best = max((float(w.max()) for w in parts), default=0.0)
         return float(1 / (1 + np.exp(-np.clip(self.bias + best, -30, 30))))
 
 
-def train(rows: list[tuple[str, int]], dims: int = 8, sharp: float = 10.0, epochs: int = 3, batch: int = 64, rate: float = 0.2, prior: float = 10.0, seed: int = 1, rate_of_toxic: float | None = None) -> Model:
-    """Fit vectors and softmax together. rows: texts and labels."""
+def train(rows: list[tuple[str, int]], dims: int = 8, sharp: float = 10.0, epochs: int = 3, batch: int = 64, rate: float = 0.2, prior: float = 10.0, seed: int = 1, rate_of_toxic: float | None = None, pool: str = "max", start: str = "ratios") -> Model:
+    """Fit vectors and softmax together. rows: texts and labels.
+
+    pool and start exist for comparison (README has the figures): mean averages all words of a document, random starts
+    vectors without the labels' ratios.
+    """
     labels = np.array([y for _, y in rows], float)
     if not len(rows) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), -30.0)
@@ -106,6 +114,7 @@ def train(rows: list[tuple[str, int]], dims: int = 8, sharp: float = 10.0, epoch
     bags = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     del words, parts
     rng = np.random.default_rng(seed)
+    sharp = 0.0 if pool == "mean" else sharp
     # Vectors start along the softmax's direction, as far as documents of one label hold a bucket more than is usual.
     held = np.zeros((2, BUCKETS))
     for words, y in zip(docs, labels.astype(int), strict=True):
@@ -117,7 +126,7 @@ def train(rows: list[tuple[str, int]], dims: int = 8, sharp: float = 10.0, epoch
     lift = np.log((held + prior * usual) / ((held.sum(0) + prior) * usual))
     weights = rng.normal(0, 1, dims)  # the softmax's difference of classes
     weights /= np.linalg.norm(weights)
-    vectors = (lift[1] - lift[0])[:, None] * weights + rng.normal(0, 0.01, (BUCKETS, dims))
+    vectors = (lift[1] - lift[0])[:, None] * weights * (start == "ratios") + rng.normal(0, 0.01, (BUCKETS, dims))
     bias, grown, grown_w = -3.0, np.full(BUCKETS, 1e-6), 1e-6
     share = np.where(labels > 0, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     for _ in range(epochs):
@@ -150,7 +159,7 @@ def train(rows: list[tuple[str, int]], dims: int = 8, sharp: float = 10.0, epoch
     # The softmax's scale and bias once more, on whole documents' scores at the labels' own rate.
     odds = vectors @ weights
     each = np.add.reduceat(odds[bags], at[:-1]) / np.diff(at) if len(known) else np.zeros(0)
-    best = np.array([each[words].max() if len(words) else 0.0 for words in docs])
+    best = np.array([(each[words].mean() if pool == "mean" else each[words].max()) if len(words) else 0.0 for words in docs])
     share = np.where(labels > 0, rate_of_toxic / labels.mean(), (1 - rate_of_toxic) / (1 - labels.mean()))
     x, fit = np.stack([best, np.ones(len(best))], 1), np.array([1.0, bias])
     for _ in range(50):  # Newton's method, drawn a little to scale 1
@@ -158,7 +167,7 @@ def train(rows: list[tuple[str, int]], dims: int = 8, sharp: float = 10.0, epoch
         slope = x.T @ (share * (q - labels)) + np.array([fit[0] - 1, 0.0])
         curve = (x * (share * q * (1 - q))[:, None]).T @ x + np.diag([1.0, 1e-3])
         fit = fit - np.clip(np.linalg.solve(curve, slope), -1, 1)
-    return Model(odds * max(fit[0], 0.1), fit[1])
+    return Model(odds * max(fit[0], 0.1), fit[1], pool)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, sample_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: bool = True) -> tuple[list[tuple[str, int]], float]:
@@ -174,7 +183,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, s
     return [(r["text"], r["y"]) for r in sorted(got.collect(), key=lambda r: (str(r["id"]), r["y"]))], rate
 
 
-def _score(shared, threshold: float):
+def _score(shared, threshold: float):  # shared: odds, bias and pool
     def run(batches):
         model = Model(*shared.value)
         for batch in batches:
@@ -189,14 +198,14 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_co
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = dict(docs.dtypes)[id_col]
-    shared = spark.sparkContext.broadcast((model.odds, model.bias))
+    shared = spark.sparkContext.broadcast((model.odds, model.bias, model.pool))
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_score(shared, threshold), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def filter_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text scores below the threshold."""
     bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((model.odds, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.odds, model.bias, model.pool))
     at = docs.columns.index(text_col)
 
     def run(batches):

@@ -127,6 +127,29 @@ def test_toxicity_held_out(spark):
     assert found > 0.8 and wrong < 0.03
 
 
+def test_toxicity_ablation():
+    """What the departures from plain averaging are for: one toxic word in a long text is lost in the average of all."""
+    import pyarrow.parquet as pq
+
+    read = lambda name: pq.read_table(f"/root/testdata/sf0.1/{name}.parquet").to_pylist()
+    text = {r["doc_id"]: r["text"] for r in read("documents")}
+    known = [(r["doc_id"], r["toxic"]) for r in read("labels") if r["toxic"] in (0, 1)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    rows = [(text[i], y) for i, y in known if not held(i) and len(text[i] or "") <= 20_000]
+    test = [(text[i], y) for i, y in known if held(i)]
+    rate = sum(y for _, y in rows) / len(rows)
+
+    def found(**how):
+        model = toxicity.train(rows, rate_of_toxic=rate, **how)
+        said = [(model.score(t) >= 0.3, y) for t, y in test]
+        return sum(p for p, y in said if y), sum(p for p, y in said if not y)
+
+    toxic = sum(y for _, y in test)
+    right, wrong = found()
+    assert right >= 0.85 * toxic and wrong <= 0.02 * len(test)
+    assert found(pool="mean")[1] > 20 * max(1, wrong) and found(start="random")[0] < right
+
+
 def test_toxicity_cases(spark):
     rows = [("good day to all people here", 0)] * 90 + [("you are an idiot my friend", 1)] * 10
     model = toxicity.train(rows)
