@@ -3,8 +3,8 @@
 Both sides keep the smallest k-gram hash of every sliding window of hashes (the leftmost of equal ones). Any shared span
 of `window` words holds one full window of hashes, so both sides keep the same k-gram of it: joining fingerprints finds
 every shared span, and extending each hit word by word on both sides confirms it. Benchmark items with the same words
-are one until the end. Items of fewer words than the window are one window of their own length and are matched by the
-hash of all their words.
+are one until the end. Items of fewer words than the window are one window of their own length: their first two words (or
+the only one) are joined, and all their words compared.
 
 Defined cases: null texts and texts without words have no words and no hits (items: no window); repeated rows are
 separate rows of the result; an empty table gives an empty result; other columns are ignored.
@@ -35,16 +35,23 @@ def _run(steps: list[F.Column]) -> F.Column:
     return reduce(lambda rest, c: F.when(c, F.lit(1) + rest).otherwise(F.lit(0)), reversed(steps), F.lit(0))
 
 
+def _agreeing(x: F.Column, y: F.Column) -> F.Column:
+    """How many words two arrays begin with alike."""
+    differs = F.array_position(F.zip_with(x, y, lambda a, b: F.coalesce(a == b, F.lit(False))), False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(x)).cast("int")
+
+
 def _hash(at: F.Column, size: int) -> F.Column:
     return F.xxhash64(*(F.get("words", at + j) for j in range(size)))
 
 
 def _fingerprints(texts: DataFrame, window: int, *keep: str) -> DataFrame:
-    """texts (with words) -> keep, words, pos, g: the winnowed k-grams."""
+    """texts (with words) -> keep, words, pos, g: the winnowed k-grams. Each word is hashed once, a k-gram from its words' hashes."""
     span = window - GRAM + 1  # hashes in a window
-    grams = F.when(F.size("words") >= window, F.transform(F.sequence(F.lit(0), F.size("words") - GRAM), lambda i: _hash(i, GRAM)))
+    hashed = texts.select(*keep, "words", F.when(F.size("words") >= window, F.transform("words", lambda w: F.xxhash64(w))).alias("x"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("x") - GRAM), lambda i: F.xxhash64(*(F.get("x", i + j) for j in range(GRAM))))
     # Outer, since for an inner explode Catalyst adds a filter that splits the text anew for every word.
-    rows = texts.select(*keep, "words", grams.alias("h")).select(*keep, "words", "h", F.posexplode_outer("h").alias("pos", "g"))
+    rows = hashed.select(*keep, "words", F.when(F.col("x").isNotNull(), grams).alias("h")).select(*keep, "words", "h", F.posexplode_outer("h").alias("pos", "g"))
     left = _run([F.get("h", F.col("pos") - d) > F.col("g") for d in range(1, span)])
     right = _run([F.get("h", F.col("pos") + d) >= F.col("g") for d in range(1, span)])
     return rows.where(left + right + 1 >= span).select(*keep, "words", "pos", "g")
@@ -74,8 +81,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     checked = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
 
     reach = window - GRAM
-    back = _run([F.get("words", F.col("pos") - d) == F.get("before", F.lit(d - 1)) for d in range(1, reach + 1)])
-    on = _run([F.get("words", F.col("pos") + GRAM + d) == F.get("after", F.lit(d)) for d in range(reach)])
+    # Short expressions: they become part of the join's condition, where long ones would keep the stage from being compiled.
+    back = _agreeing(F.reverse(F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)))), F.col("before"))
+    on = _agreeing(F.slice("words", F.col("pos") + GRAM + 1, reach), F.col("after"))
 
     def met(rows: DataFrame, known: DataFrame) -> DataFrame:
         if (small := checked(known)) is not None:
@@ -86,13 +94,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
 
     hits = met(_fingerprints(texts, window, "id", "th"), entries).where(F.slice("words", F.col("pos") + 1, GRAM) == F.col("gram"))
     hits = hits.select("id", "th", "item", (F.col("pos") - back).alias("a"), (F.col("pos") + GRAM + on).alias("b")).where(F.col("b") - F.col("a") >= window)
-    short = same_words.where(F.size("words") < window)
-    for n in sorted(r[0] for r in short.select(F.size("words")).distinct().collect()):  # fewer lengths than the window has words
-        known = short.where(F.size("words") == n).select("item", _hash(F.lit(0), n).alias("g"), F.col("words").alias("gram"))
-        places = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
-        rows = texts.select("id", "th", "words", F.explode_outer(places).alias("pos")).where("pos IS NOT NULL").withColumn("g", _hash(F.col("pos"), n))
-        more = met(rows, known).where(F.slice("words", F.col("pos") + 1, n) == F.col("gram"))
-        hits = hits.unionByName(more.select("id", "th", "item", F.col("pos").alias("a"), (F.col("pos") + n).alias("b")))
+    short = same_words.where(F.size("words") < window).withColumn("n", F.size("words"))
+    for lead in (1, 2):  # items of one word by that word, longer ones by their first two
+        known = short.where("n = 1" if lead == 1 else "n > 1")
+        if known.isEmpty():
+            continue
+        known = known.select("item", _hash(F.lit(0), lead).alias("g"), F.col("words").alias("gram"), "n")
+        places = F.when(F.size("words") >= lead, F.transform(F.sequence(F.lit(0), F.size("words") - lead), lambda i: _hash(i, lead)))
+        rows = texts.select("id", "th", "words", places.alias("h")).select("id", "th", "words", F.posexplode_outer("h").alias("pos", "g")).where("pos IS NOT NULL")
+        more = met(rows, known).where(F.slice("words", F.col("pos") + 1, F.col("n")) == F.col("gram"))
+        hits = hits.unionByName(more.select("id", "th", "item", F.col("pos").alias("a"), (F.col("pos") + F.col("n")).alias("b")))
 
     spots = hits.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.collect_set("item").alias("items"))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"] - 1))))).cast("long")
