@@ -77,8 +77,12 @@ def license_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES
     admitted = _admitted(docs.sparkSession, known, percent)
     least, most = min(min(_bounds(len(g), percent)) for _, g in known), max(max(_bounds(len(g), percent)) for _, g in known)
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER).alias("body"))
-    parts = F.array_distinct(F.concat(F.split("body", "\n"), F.split("body", "\n[ \t\r]*\n"), F.array("body")))
-    lines = base.select("id", "th", F.explode_outer(parts).alias("line")).select("id", "th", F.trim(F.regexp_replace("line", "[^a-z0-9]+", " ")).alias("line"))
+    # Every letter is normalised once, line by line; paragraphs and the whole text are made of the normalised lines.
+    raw = base.select("id", "th", F.split("body", "\n").alias("raw")).withColumn("lines", F.transform("raw", lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " "))))
+    filled = lambda c: F.array_join(F.filter(c, lambda x: x != ""), " ")
+    marked = filled(F.zip_with("raw", "lines", lambda x, n: F.when(F.btrim(x, F.lit(" \t\r")) == "", "\n").otherwise(n)))
+    parts = F.array_distinct(F.concat("lines", F.transform(F.split(marked, "\n"), lambda x: F.trim(x)), F.array(filled(F.col("lines")))))
+    lines = raw.select("id", "th", F.explode_outer(parts).alias("line"))
     count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))  # bigrams, repeated ones too
     # n distinct bigrams have at most n + 1 distinct words; the start of a segment may end in part of one.
     start = F.size(F.array_distinct(F.split(F.substring("line", 1, _START), " "))) <= most + 2
