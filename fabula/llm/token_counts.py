@@ -107,9 +107,12 @@ class PieceCounter:
         if len(cache) > CACHE:
             cache.clear()
         new = list(set().union(*lists) - cache.keys())
-        counts = dict(zip(new, self.count_words(new).tolist(), strict=True)) if new else {}
-        out = [sum(cache[w] if w in cache else counts[w] for w in words) for words in lists]
-        cache.update((w, n) for w, n in counts.items() if len(w) <= REMEMBERED)
+        if new:
+            cache.update(zip(new, self.count_words(new).tolist(), strict=True))
+        out = [sum(map(cache.__getitem__, words)) for words in lists]
+        for w in new:
+            if len(w) > REMEMBERED:
+                del cache[w]
         return out
 
 
