@@ -102,8 +102,8 @@ def text_hash(text: str) -> Column:
 
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose id and text_hash are in gone, a written table; texts don't move while that is small."""
-    keys = small(gone).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th"))
-    return docs.join(keys, docs[id_col].eqNullSafe(F.col("_id")) & (text_hash(text_col) == F.col("_th")), "left_anti")
+    keys = small(gone).select(F.col(id_col).alias("_fabula_id"), F.col("text_hash").alias("_fabula_th"))
+    return docs.join(keys, docs[id_col].eqNullSafe(F.col("_fabula_id")) & (text_hash(text_col) == F.col("_fabula_th")), "left_anti")
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

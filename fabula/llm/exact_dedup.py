@@ -113,23 +113,23 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         hits = stream_state(log, files_per_batch)
         clash = _clashes(keyed, hits)
         firsts = log.join(small(hits).select(*_KEY, "keep"), _KEY).where(F.col("id").eqNullSafe(F.col("keep"))).groupBy(*_KEY).agg((F.count("*") > 1).alias("again"))
-        known = hits.join(clash, _KEY, "left_anti").join(firsts, _KEY).select(F.col("digest").alias("_digest"), F.col("keep").alias("_keep"), F.col("again").alias("_again"))
+        known = hits.join(clash, _KEY, "left_anti").join(firsts, _KEY).select(F.col("digest").alias("_fabula_digest"), F.col("keep").alias("_fabula_keep"), F.col("again").alias("_fabula_again"))
         known = cut(known, "known", outer=True)
         several = not clash.isEmpty()
         if several:
-            clash = cut(clash.select(F.col("digest").alias("_digest")), "clash", outer=True)
-    rows = docs.withColumn("_own", digest)
-    met = rows.join(small(known), F.col("_own") == F.col("_digest"), "left")
-    out = met.where(F.col("_digest").isNull() | (F.col(id_col).eqNullSafe(F.col("_keep")) & ~F.col("_again"))).select(*docs.columns)
-    again = known.where("_again")
+            clash = cut(clash.select(F.col("digest").alias("_fabula_digest")), "clash", outer=True)
+    rows = docs.withColumn("_fabula_own", digest)
+    met = rows.join(small(known), F.col("_fabula_own") == F.col("_fabula_digest"), "left")
+    out = met.where(F.col("_fabula_digest").isNull() | (F.col(id_col).eqNullSafe(F.col("_fabula_keep")) & ~F.col("_fabula_again"))).select(*docs.columns)
+    again = known.where("_fabula_again")
     if not again.isEmpty():
-        rest = rows.join(again, (F.col("_own") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_keep")))
-        out = out.unionByName(rest.dropDuplicates(["_own"]).select(*docs.columns))
+        rest = rows.join(again, (F.col("_fabula_own") == F.col("_fabula_digest")) & F.col(id_col).eqNullSafe(F.col("_fabula_keep")))
+        out = out.unionByName(rest.dropDuplicates(["_fabula_own"]).select(*docs.columns))
     if several:
-        rest = rows.join(clash, F.col("_own") == F.col("_digest"), "left_semi").withColumn("_body", normalised(text_col))
-        least = rest.groupBy("_own", "_body").agg(F.min(id_col).alias("_keep"))
-        rest = rest.join(least, ["_own", "_body"]).where(F.col(id_col).eqNullSafe(F.col("_keep"))).dropDuplicates(["_own", "_body"])
-        out = out.join(clash, digest == F.col("_digest"), "left_anti").unionByName(rest.select(*docs.columns))
+        rest = rows.join(clash, F.col("_fabula_own") == F.col("_fabula_digest"), "left_semi").withColumn("_fabula_body", normalised(text_col))
+        least = rest.groupBy("_fabula_own", "_fabula_body").agg(F.min(id_col).alias("_fabula_keep"))
+        rest = rest.join(least, ["_fabula_own", "_fabula_body"]).where(F.col(id_col).eqNullSafe(F.col("_fabula_keep"))).dropDuplicates(["_fabula_own", "_fabula_body"])
+        out = out.join(clash, digest == F.col("_fabula_digest"), "left_anti").unionByName(rest.select(*docs.columns))
     return out
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from fabula.llm import components, decontaminate, exact_dedup, licenses, near_dedup, substring_dedup
 
@@ -61,8 +62,6 @@ def test_exact_in_batches(docs, texts):
 
 def test_exact_clashes(spark, docs, texts, monkeypatch):
     """Texts that differ under one digest are told apart by their bytes."""
-    from pyspark.sql import functions as F
-
     want = {i: (r.keep_id, r.group_size, r.kept) for i, r in by_id(exact_dedup.exact_duplicates(docs)).items()}
     whole = sorted(r.doc_id for r in exact_dedup.first_of_each(docs).collect())
     assert whole == sorted(i for i, (_, _, kept) in want.items() if kept)
@@ -76,6 +75,12 @@ def test_first_of_each(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest long")
     assert sorted(r.digest for r in exact_dedup.first_of_each(docs).collect()) == [1, 4, 5, 7, 8]
     assert exact_dedup.first_of_each(docs.where("false")).collect() == []
+    named = docs.withColumnsRenamed({"digest": "keep"}).withColumns({"body": F.col("text"), "size": F.col("keep"), "_id": F.col("keep"), "_th": F.col("text"), "n": F.col("keep"), "rep": F.col("keep")})
+    assert sorted(r.keep for r in exact_dedup.first_of_each(named).collect()) == [1, 4, 5, 7, 8]
+    from fabula.llm.common import cut, without
+
+    gone = cut(near_dedup.near_duplicates(named).where("doc_id = 4").select("doc_id", "text_hash"), "gone")
+    assert without(named, gone).columns == named.columns and without(named, gone).count() == 8
 
 
 def test_exact_repeated_rows(spark):
