@@ -81,7 +81,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     checked = lambda df: F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else None
 
     reach = window - GRAM
-    # Short expressions: they become part of the join's condition, where long ones would keep the stage from being compiled.
     back = _agreeing(F.reverse(F.slice("words", F.greatest(F.col("pos") - reach, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(reach)))), F.col("before"))
     on = _agreeing(F.slice("words", F.col("pos") + GRAM + 1, reach), F.col("after"))
 
@@ -93,7 +92,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
         return found.join(again, F.col("id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))).drop("_id", "_th")
 
     hits = met(_fingerprints(texts, window, "id", "th"), entries).where(F.slice("words", F.col("pos") + 1, GRAM) == F.col("gram"))
-    hits = hits.select("id", "th", "item", (F.col("pos") - back).alias("a"), (F.col("pos") + GRAM + on).alias("b")).where(F.col("b") - F.col("a") >= window)
+    # Through an array of one: as a plain column, the length would become part of the join's condition, which then isn't
+    # compiled with the rows before it, and every fingerprint of a long text would be copied out with all its words.
+    found = F.struct((F.col("pos") - back).alias("a"), (F.col("pos") + GRAM + on).alias("b"))
+    hits = hits.select("id", "th", "item", F.explode(F.array(found)).alias("x")).where(F.col("x.b") - F.col("x.a") >= window).select("id", "th", "item", "x.a", "x.b")
     short = same_words.where(F.size("words") < window).withColumn("n", F.size("words"))
     for lead in (1, 2):  # items of one word by that word, longer ones by their first two
         known = short.where("n = 1" if lead == 1 else "n > 1")
