@@ -106,7 +106,7 @@ def bucket_bits(survey: DataFrame) -> np.ndarray:
     for r in some.groupBy("part").applyInArrow(lambda k, t: _add(k, t), "part int, counts binary").collect():
         counts[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     share = (counts.reshape(-1) + 1) * BUCKETS / (counts.sum() + BUCKETS)  # 1 is a usual bucket
-    return np.clip(np.round(16 - 2 * np.log2(share)), 1, 24).astype(np.int64)
+    return np.clip(np.round(16 - 2 * np.log2(share)), 1, 24).astype(np.uint8)
 
 
 def level_sizes(most: int) -> np.ndarray:
