@@ -291,10 +291,11 @@ f AS (SELECT source, item_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score, s
 SELECT source, item_id, doc_id, trace, rank FROM (SELECT *, row_number() OVER (PARTITION BY source, item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f) WHERE rank <= 12""")
 def rrf_fusion(table):
     """BM25 and word overlap of one pass over the documents, fused by rank."""
-    scores = _bm25(table)
-    best = lambda score, name: retrieval.top_k(scores.select("source", "item_id", "doc_id", score.alias("score")), ["source", "item_id"], 12, "doc_id").withColumn("list", F.lit(name))
-    lists = best(F.col("score"), "bm25").unionByName(best(F.col("overlap").cast("double"), "overlap"))
-    ranked = lists.select(F.col("source").alias("movie"), "item_id", "doc_id", "rank", F.col("list").alias("source"))
+    own = Window.partitionBy("source", "item_id")
+    place = lambda c: F.row_number().over(own.orderBy(F.desc(c), "doc_id"))
+    scores = _bm25(table).select("source", "item_id", "doc_id", place(F.round("score", 9)).alias("a"), place(F.col("overlap")).alias("b")).where("a <= 12 OR b <= 12")
+    lists = F.explode(F.array(F.struct(F.col("a").alias("rank"), F.lit("bm25").alias("list")), F.struct(F.col("b").alias("rank"), F.lit("overlap").alias("list"))))
+    ranked = scores.select(F.col("source").alias("movie"), "item_id", "doc_id", lists.alias("x")).where("x.rank <= 12").select("movie", "item_id", "doc_id", "x.rank", F.col("x.list").alias("source"))
     out = retrieval.reciprocal_rank_fusion(ranked, ["movie", "item_id"], "doc_id", 12)
     return out.select(F.col("movie").alias("source"), "item_id", "doc_id", "trace", F.col("rank").cast("long").alias("rank"))
 
