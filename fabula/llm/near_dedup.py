@@ -41,6 +41,8 @@ MOST, UNION = 96, 64
 STEP, SPARE = 1.4, 1.25
 #: Most members of a list that all others are held against in a turn, and words of a set's odd sketch.
 HUBS, ODD = 512, 8
+#: About how many members of a list one row holds at most, where members are held against others.
+BLOCK = 128
 _ODD = [f"odd{k}" for k in range(ODD)]
 
 
@@ -243,12 +245,29 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """(v, rep, c, lesser): members, with their components, of the lists that hold more than one component; lesser: not of the list's largest one."""
+    """(v, rep, c, lesser, blocks): members, with their components, of the lists that hold more than one component; lesser: not of the list's largest one; blocks: how many the list is dealt into, a power of two."""
     now = lists.join(small(groups).withColumnRenamed("id", "rep"), "rep", "left").select("v", "rep", F.coalesce("component", "rep").alias("c"))
     held = now.groupBy("v", "c").agg(F.count("*").alias("size"))
-    several = held.groupBy("v").agg(F.count("*").alias("n"), F.max(F.struct("size", "c")).alias("most")).where("n > 1").select("v", F.col("most.c").alias("largest"))
+    several = held.groupBy("v").agg(F.count("*").alias("n"), F.max(F.struct("size", "c")).alias("most"), F.sum("size").alias("all")).where("n > 1")
+    several = several.select("v", F.col("most.c").alias("largest"), F.expr(f"CAST(pow(2, ceil(log2(greatest(1, all / {BLOCK})))) AS long)").alias("blocks"))
     several = cut(several, "several")  # written first, so that the join can be split at a hot value
-    return cut(now.join(small(several), "v").select("v", "rep", "c", (F.col("c") != F.col("largest")).alias("lesser")), "open")
+    return cut(now.join(small(several), "v").select("v", "rep", "c", (F.col("c") != F.col("largest")).alias("lesser"), "blocks"), "open")
+
+
+def _meetings(held: DataFrame, hubs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each hub with the members of its lists that are of other components and that size and odd sketch leave possible.
+
+    Two sets close to the similarity share a hundred lists, so a hub meets blocks of lists, and what it met in like blocks
+    is made one before it becomes rows. Blocks go by the members' hashes: a pair is in the same block of lists of like size.
+    """
+    both = held.join(marks, "rep")
+    blocks = both.groupBy("v", "blocks", F.pmod(F.xxhash64("rep"), "blocks").alias("block")).agg(F.collect_list(F.struct("rep", "c", "n", *_ODD)).alias("members"))
+    first = both.join(hubs, "rep", "left_semi").select("v", F.col("rep").alias("a"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(o).alias(f"{o}_a") for o in _ODD))
+    odd = " + ".join(f"bit_count(x.{o} ^ {o}_a)" for o in _ODD)
+    possible = f"x.c <> d AND 100 * least(x.n, m) >= {percent} * greatest(x.n, m) AND ({100 + percent}) * ({odd}) <= ({100 - percent}) * (x.n + m)"
+    met = blocks.join(first, "v").select("a", "blocks", "block", F.expr(f"transform(filter(members, x -> {possible}), x -> x.rep)").alias("met"))
+    once = met.groupBy("a", "blocks", "block").agg(F.array_distinct(F.flatten(F.collect_list("met"))).alias("met"))
+    return once.select("a", F.explode("met").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,11 +309,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             slots = F.pmod(order, F.lit(min(8 << 2 * turn, HUBS)))
             hubs = held.where("lesser").groupBy("v", slots).agg(F.min(F.struct(order.alias("o"), "rep")).alias("h"))
             hubs = small(cut(hubs.select("h.rep").distinct(), "hubs"))
-            both = held.join(marks, "rep").select("v", "rep", "c", "n", *_ODD)
-            first = both.join(hubs, "rep", "left_semi").select("v", F.col("rep").alias("a"), F.col("c").alias("d"), F.col("n").alias("m"), *(F.col(o).alias(f"{o}_a") for o in _ODD))
-            odd = " + ".join(f"bit_count({o} ^ {o}_a)" for o in _ODD)
-            near = both.join(first, "v").where(f"c <> d AND 100 * least(n, m) >= {percent} * greatest(n, m) AND ({100 + percent}) * ({odd}) <= ({100 - percent}) * (n + m)")
-            found = _linked(near.select("a", F.col("rep").alias("b")), full, percent)
+            found = _linked(_meetings(held, hubs, marks, percent), full, percent)
             rest = held.join(hubs, "rep", "left_anti").select("v", "rep")
             if not found.isEmpty():
                 groups = components(found.unionByName(groups.select(F.col("id").alias("a"), F.col("component").alias("b"))))

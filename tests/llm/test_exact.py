@@ -117,6 +117,26 @@ def test_near(docs, texts, empty, size):
     assert near_dedup.near_duplicates(empty).collect() == []
 
 
+def test_near_meets_once(spark, monkeypatch):
+    """Documents just below the similarity share a hundred lists; as a pair they are looked at once, from either side."""
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join("x" + w + str(k) if i % 32 == 2 * k and i < 288 else w for i, w in enumerate(words)) for k in range(16)]
+    texts += [texts[0].replace("w299", "end"), texts[9].replace("w299", "end")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, linked = [], near_dedup._linked
+
+    def counted(pairs, sets, percent):
+        a, b = pairs.columns
+        seen.append((pairs.count(), pairs.select(F.least(a, b), F.greatest(a, b)).distinct().count()))
+        return linked(pairs, sets, percent)
+
+    monkeypatch.setattr(near_dedup, "_linked", counted)
+    got = by_id(near_dedup.near_duplicates(docs, shingle=2))
+    assert {i: r.component_id for i, r in got.items()} == {**{i: i for i in range(16)}, 16: 0, 17: 9}
+    assert len(seen) > 1 and all(n <= 2 * once for n, once in seen[1:])
+    assert seen[1][1] > 20
+
+
 def test_near_ids(spark):
     a, b = "one two three four five six seven eight nine ten eleven", "red green blue cyan"
     rows = [(1, a), (1, b), (2, a + " twelve"), (None, b), (None, "lone words"), (None, "lone  words"), (7, "lone"), (8, None), (8, None)]
