@@ -425,7 +425,8 @@ r AS (SELECT role, 0::BIGINT AS k, 0 AS phase, 0 AS n, []::BIGINT[] AS kept, []:
 f AS (SELECT role, unnest(arg_max(kept, k)) AS i FROM r GROUP BY role)
 SELECT role, scene_id, scene_order, beat_index, rank, candidate_score, change_type, n_quotes, l_orderkey FROM u JOIN f USING (role, i)""")
 def prune_candidates(table):
-    return folds.per_role(_candidate_rows(table), ["role"], folds.prune, ["scene_order", "beat_index", "l_orderkey", "scene_id", "candidate_score", "change_type", "n_quotes"])
+    order = ["scene_order", "beat_index", "l_orderkey", "scene_id", "candidate_score", "change_type", "n_quotes"]
+    return folds.per_role(folds.prune_pool(_candidate_rows(table), ["role"], order), ["role"], folds.prune, order)
 
 
 @query()

@@ -196,3 +196,21 @@ def test_prune_and_repair(rows):
     kept = folds.prune(nodes)
     assert len(kept) <= 14 and all(sum(k["scene_id"] == n["scene_id"] for k in kept) <= 2 for n in kept)
     assert len(folds.repair(nodes[:3], nodes[3:])) <= 9
+
+
+def test_prune_pool(spark):
+    """prune keeps the same nodes of the pool as of all, ties and full scenes included, and the pool of a long role is short."""
+    import random
+
+    rnd = random.Random(4)
+    order = ["scene_order", "beat_index", "no", "scene_id", "change_type", "n_quotes"]
+    kinds = ["other", " Other ", "career_move"]
+    rows = []
+    for role, (n, scenes, places, ranks) in enumerate([(3000, 40, 97, 9), (3000, 3, 97, 9), (2000, 500, 3, 2), (500, 5, 9, 1), (40, 9, 30, 5), (3, 2, 2, 2), (900, 2, 1, 4)]):
+        rows += [(role, f"s{rnd.randrange(scenes)}", rnd.randrange(places), rnd.randrange(4), rnd.randrange(ranks), rnd.choice(kinds), rnd.randrange(2), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "role long, scene_id string, scene_order long, beat_index int, rank int, change_type string, n_quotes int, no long").repartition(5)
+    pool = folds.prune_pool(df, ["role"], order)
+    assert max(r["count"] for r in pool.groupBy("role").count().collect()) <= 3 * 2 * 14
+    kept = lambda x: sorted(tuple(r[c] for c in df.columns) for r in folds.per_role(x, ["role"], folds.prune, order).collect())
+    assert folds.per_role(pool, ["role"], folds.prune, order).schema == df.schema
+    assert kept(pool) == kept(df)
