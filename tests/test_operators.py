@@ -214,3 +214,32 @@ def test_prune_pool(spark):
     kept = lambda x: sorted(tuple(r[c] for c in df.columns) for r in folds.per_role(x, ["role"], folds.prune, order).collect())
     assert folds.per_role(pool, ["role"], folds.prune, order).schema == df.schema
     assert kept(pool) == kept(df)
+
+
+def test_arcs_of_a_kind_are_scored_once(spark):
+    """Many arcs of few vectors and scenes: the join makes no row for each pair, and the first of equal ones is found."""
+    arcs = lambda n, k: spark.createDataFrame([(i % 2, i, 1000 - i, [float(i % 3 + 1), 2.0], [i % k, 0, i % k]) for i in range(n)], "role long, arc_id long, pos long, vector array<double>, scenes array<long>")
+    gold, predicted = arcs(600, 4), arcs(900, 5)
+    got = {(r.role, r.arc_id): (r.predicted_id, r.score) for r in matching.best_arc_match(gold, predicted, "role").collect()}
+
+    def score(g, p):
+        a, b, s, t = g.vector, p.vector, set(g.scenes), set(p.scenes)
+        dot = lambda x, y: sum(i * j for i, j in zip(x, y, strict=True))
+        return 0.85 * dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5) + (1 - 0.85) * (len(s & t) / len(s | t))
+
+    others = predicted.collect()
+    assert len(got) == 600
+    for g in gold.collect()[::37]:
+        best, first = max((round(score(g, p), 9), -p.pos) for p in others if p.role == g.role)
+        found, points = got[g.role, g.arc_id]
+        assert (found, round(points, 9)) == (1000 + first, best)
+    plan = matching.best_arc_match(gold, predicted, "role")
+    plan.collect()
+    nodes, made = [plan._jdf.queryExecution().executedPlan().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        kids = node.plan().children() if node.getClass().getSimpleName().endswith("QueryStageExec") else node.children()
+        if "Join" in node.nodeName():
+            made.append(node.metrics().apply("numOutputRows").value())
+        nodes += [kids.apply(i) for i in range(kids.size())] or ([node.plan()] if node.getClass().getSimpleName().endswith("QueryStageExec") else [])
+    assert made and max(made) <= 900
