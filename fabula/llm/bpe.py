@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Most words that a worker remembers, letters of the longest such, and letters of a text that is taken at once.
 CACHE, REMEMBERED, PIECE = 400_000, 64, 1 << 20
@@ -240,7 +240,7 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False, id_col:
     """One row for each row of docs: id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, the ids."""
     bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_code(path, with_ids), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_code(path, with_ids)), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")).withColumnRenamed("id", id_col)
 
 
 def default_path() -> str:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, mix, scratch, signed, small, text_hash, texts_of, word_hashes
+from .common import bounded_batches, cut, mix, scratch, signed, small, text_hash, texts_of, tidy, word_hashes
 from .components import components
 
 #: Buckets of the table of shingle counts and its parts; the table is broadcast as one byte a bucket.
@@ -234,7 +234,7 @@ def _fitting(pairs: DataFrame, sets: DataFrame, column: str, fits) -> DataFrame:
     """Those of the written pairs (a, b) whose arrays fit. Only the arrays that a pair needs travel, to the pair."""
     needed = small(pairs).select(F.explode(F.array("a", "b")).alias("id"), "a", "b")
     both = sets.select("id", F.col(column).alias("x")).join(needed, "id").groupBy("a", "b").agg(F.collect_list("x").alias("both"))
-    return both.mapInArrow(_kept(fits), "a long, b long")
+    return both.mapInArrow(tidy(_kept(fits)), "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,10 +281,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         bounded_batches(spark, mb=2)
         kind = dict(docs.dtypes)[id_col]
         base = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
-        survey = cut(base.mapInArrow(_survey(shingle), f"id {kind}, th long, n long, f1 long, f2 long, part int, counts binary"), "survey")
+        survey = cut(base.mapInArrow(tidy(_survey(shingle)), f"id {kind}, th long, n long, f1 long, f2 long, part int, counts binary"), "survey")
         bits = spark.sparkContext.broadcast(bucket_bits(survey))
         rows = survey.where("part IS NULL").select("id", "th", "n", "f1", "f2")
-        keyed = base.mapInArrow(_keys(shingle, percent, bits), f"id {kind}, th long, n long, f1 long, f2 long, keys array<long>").where("n > 0")
+        keyed = base.mapInArrow(tidy(_keys(shingle, percent, bits)), f"id {kind}, th long, n long, f1 long, f2 long, keys array<long>").where("n > 0")
         sets = keyed.groupBy("f1", "f2", "n").agg(F.min("id").alias("least"), F.min(F.struct("id", "th")).alias("at"), F.first("keys").alias("keys"))
         sets = cut(sets.withColumn("rep", F.monotonically_increasing_id()), "distinct")  # written, so that the numbers stay
 
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         wanted = sets.join(small(cut(lists.select("rep").distinct(), "listed")), "rep", "left_semi").select("rep", "at.id", "at.th")
         wanted = small(cut(wanted, "wanted")).select("rep", F.col("id").alias("_id"), F.col("th").alias("_th"))
         full = base.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("rep", "text").dropDuplicates(["rep"])
-        full = cut(full.mapInArrow(_sets(shingle), f"id long, n long, {', '.join(f'{o} long' for o in _ODD)}, low array<long>, shingles array<long>"), "sets")
+        full = cut(full.mapInArrow(tidy(_sets(shingle)), f"id long, n long, {', '.join(f'{o} long' for o in _ODD)}, low array<long>, shingles array<long>"), "sets")
 
         # At first each document meets one: of its lists' most central members, which are in the largest lists, the one it meets most often.
         ranked = lists.join(lists.groupBy("rep").agg(F.sum("size").alias("score")), "rep")

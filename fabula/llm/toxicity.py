@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTES, bounded_batches
+from .common import BYTES, bounded_batches, tidy
 
 BUCKETS, GRAMS = 1 << 17, (3, 4, 5)
 #: Separators: ASCII other than letters and digits. Texts are lower-cased before.
@@ -199,7 +199,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, id_co
     bounded_batches(spark)
     kind = dict(docs.dtypes)[id_col]
     shared = spark.sparkContext.broadcast((model.odds, model.bias, model.pool))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_score(shared, threshold), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_score(shared, threshold)), f"id {kind}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def filter_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -213,7 +213,7 @@ def filter_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text
         for batch in batches:
             yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds) -> Model:

@@ -4,10 +4,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fabula.llm import components, decontaminate, exact_dedup, licenses, near_dedup, substring_dedup
+from fabula.llm import components, decontaminate, exact_dedup, licenses, near_dedup, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, id string, th string, words string"
 
@@ -303,3 +304,36 @@ def test_license_repeats(spark):
     text = [" ".join([notice] * 4), "Released under the MIT License. " * 60, "Released under the MIT License. " * 900, " ".join(f"w{i}" for i in range(5000)), "one two " * 5000]
     got = [r.license_ids for r in licenses.license_matches(spark.createDataFrame(enumerate(text), "doc_id long, text string")).orderBy("doc_id").collect()]
     assert got == ["Apache-2.0", "MIT", "MIT", "", ""]
+
+
+def test_stores_are_closed_when_their_tasks_end(docs):
+    """Else the stores of all partitions stay in an executor's memory for a minute, beside the stages that follow."""
+    exact_dedup.first_of_each(docs).count()
+    assert docs.sparkSession._jvm.org.apache.spark.sql.execution.streaming.state.RocksDBMemoryManager.getNumRocksDBInstances(True) == 0
+
+
+def test_idle_workers_hold_no_freed_memory(spark):
+    def held(batches):
+        """How many MB a worker could give back: freed memory that it holds all the same."""
+        import pyarrow as pa
+
+        from fabula.llm.common import give_back
+
+        def mb():
+            with open("/proc/self/smaps_rollup") as f:
+                return int(re.search(r"\nPss_Anon:\s+(\d+)", f.read())[1]) / 1024
+
+        for _ in batches:
+            pass
+        before = mb()
+        give_back()
+        yield pa.record_batch([pa.array([before - mb()])], ["mb"])
+
+    long = spark.range(4000, numPartitions=4).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 1500), k -> hex(hash(id, k))), ' ') AS text").localCheckpoint()
+    freed = {}
+    stages = {"toxicity": lambda: toxicity.filter_documents(long, toxicity.Model(np.zeros(toxicity.BUCKETS), -3.0)), "near dedup": lambda: near_dedup.near_duplicates(long)}
+    for name, stage in stages.items():
+        with near_dedup.scratch():
+            stage().write.format("noop").mode("overwrite").save()
+        freed[name] = max(r.mb for r in spark.range(4, numPartitions=4).mapInArrow(held, "mb double").collect())
+    assert max(freed.values()) < 32, freed
